@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import tempfile
 import uuid
+from array import array
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -86,21 +88,55 @@ def per_worker(key, make: Callable):
     return _workers[key]
 
 
-def library_encoder(path: str, split: re.Pattern, width: str = "<u4") -> PieceCache:
-    """The tokenizers library's file at path, piece by piece; strings of special tokens in a text are ordinary text."""
+#: What the two files' pre-tokenizers match, written for ASCII text (the first after lower-casing).
+ASCII_LOWER_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
+ASCII_BYTE_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
+
+
+def byte_letters() -> dict[int, str]:
+    """Byte-level BPE's letter for each ASCII byte: printable ones stand for themselves, others follow from U+0100."""
+    other = [b for b in range(128) if not 33 <= b <= 126]
+    return {b: chr(256 + n) for n, b in enumerate(other)}
 
-    def make() -> PieceCache:
-        import numpy as np
 
+def library_encoder(path: str, split: re.Pattern, width: str = "<u4", limit: int = 400_000) -> PieceCache:
+    """The tokenizers library's file at path, piece by piece; strings of special tokens in a text are ordinary text.
+
+    Words of ASCII pieces go to the library's model one by one and are remembered; other pieces take its whole pipeline.
+    ``split`` is WORDS for the lower-casing tokenizer with word ends, SEGMENTS for byte-level ones.
+    """
+
+    def make() -> PieceCache:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
         tok.encode_special_tokens = True
+        model, letters, lower = tok.model, byte_letters(), split.pattern == WORDS.pattern
+        words_of = (ASCII_LOWER_WORDS if lower else ASCII_BYTE_WORDS).findall
+        code = {"<u2": "H", "<u4": "I"}[width]
+        words: dict[str, bytes] = {}
 
-        def encode(pieces: list[str]) -> list[bytes]:
-            return [np.array(e.ids, dtype=width).tobytes() for e in tok.encode_batch_fast(pieces, add_special_tokens=False)]
+        def word_ids(word: str) -> bytes:
+            ids = array(code, [t.id for t in model.tokenize(word.translate(letters))]).tobytes()
+            if len(words) < limit and len(word) <= 64:
+                words[word] = ids
+            return ids
 
-        return PieceCache(encode, split)
+        def encode(pieces: list[str]) -> list[bytes]:
+            out: list[bytes | None] = []
+            for p in pieces:
+                if p.isascii():
+                    ws = words_of(p.lower() if lower else p)
+                    out.append(b"".join([words.get(w) or word_ids(w) for w in ws]))
+                else:
+                    out.append(None)
+            rest = [p for p, ids in zip(pieces, out) if ids is None]
+            encoded = iter(tok.encode_batch_fast(rest, add_special_tokens=False))
+            return [array(code, next(encoded).ids).tobytes() if ids is None else ids for ids in out]
+
+        if sys.byteorder != "little":
+            raise RuntimeError("ids are written by little-endian machines")
+        return PieceCache(encode, split, limit)
 
     return per_worker((path, split.pattern, width), make)
