@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, sstable, url_filters
+from . import bpe, language_id, packing, sstable, substring_dedup, url_filters, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,5 +46,58 @@ def op9_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read(sstable.token_table(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op3_url_filters, op9_sstable)}
-ORACLE_SQL: dict[str, str] = {"op3_url_filters": OP3_SQL}
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's text without repeats of what other documents have first, and the spans of its own that went."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.dedup(docs).select("doc_id", F.col("kept_text").alias("text"), F.size("removed").alias("n_removed"), "removed")
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.train(docs.where(~language_id.held_out(F.col("doc_id"))))
+    predicted = language_id.predict(docs.select("doc_id", "text"), model)
+    return predicted.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "language.*")
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    coded = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern), path, pattern)
+    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audits an archive of all pages (1000 ids a file) against a replica derived from it: a bit of every 97th page's
+    html has flipped, and files whose number leaves 3 by 7 have lost their last 100 ids. A row for each bad record."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    file = F.floor(F.col("page_id") / 1000)
+    rotten = F.when(F.col("page_id") % 97 == 5, F.concat(F.lit("#"), F.expr("substr(html, 2)"))).otherwise(F.col("html"))
+    replica = pages.withColumn("html", rotten).where(~((file % 7 == 3) & (F.col("page_id") % 1000 >= 900)))
+    return warc.audit(warc.leaves(pages, file), warc.leaves(replica, file)).drop("node", "volume")
+
+
+OP10_SQL = """
+WITH record AS (
+  SELECT page_id, page_id // 1000 AS file,
+         'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10)
+         || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' AS head,
+         coalesce(html, '') AS body, CASE WHEN page_id % 97 = 5 THEN '#' || substr(coalesce(html, ''), 2) ELSE coalesce(html, '') END AS rotten
+  FROM pages),
+bytes AS (
+  SELECT page_id, file, head || octet_length(encode(body)) || repeat(chr(13) || chr(10), 2) || body || repeat(chr(13) || chr(10), 2) AS l,
+         CASE WHEN file % 7 = 3 AND page_id % 1000 >= 900 THEN NULL
+              ELSE head || octet_length(encode(rotten)) || repeat(chr(13) || chr(10), 2) || rotten || repeat(chr(13) || chr(10), 2) END AS r
+  FROM record),
+hashed AS (
+  SELECT page_id, file, octet_length(encode(l)) AS llen, octet_length(encode(r)) AS rlen, sha256(l) AS lsha, sha256(r) AS rsha FROM bytes),
+placed AS (
+  SELECT *, coalesce(sum(llen) OVER before, 0)::BIGINT AS loff, coalesce(sum(rlen) OVER before, 0)::BIGINT AS roff FROM hashed
+  WINDOW before AS (PARTITION BY file ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT file, page_id, loff AS "offset", llen::BIGINT AS length, sha256(loff || ':' || llen || ':' || lsha) AS digest,
+       CASE WHEN rsha IS NOT NULL THEN roff END AS right_offset, rlen::BIGINT AS right_length, CASE WHEN rsha IS NOT NULL THEN sha256(roff || ':' || rlen || ':' || rsha) END AS right_digest
+FROM placed WHERE rsha IS NULL OR loff <> roff OR llen <> rlen OR lsha <> rsha"""
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_packing, op3_url_filters, op5_substring_dedup, op6_language_id, op7_bpe, op9_sstable, op10_warc)
+}
+ORACLE_SQL: dict[str, str] = {"op3_url_filters": OP3_SQL, "op10_warc": OP10_SQL}
