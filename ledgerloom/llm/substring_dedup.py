@@ -1,7 +1,7 @@
 """Substring dedup by line and passage hashing.
 
-A text's units are its lines and, inside lines, pieces that end at sentence marks or before a capitalised word. Units are
-normalised (lower case, white space collapsed) and hashed to 64 bits; digests are grouped globally, and the occurrence
+A text's units are its lines and, inside lines, pieces that end at sentence marks or before a capitalised or long word (cuts
+follow content, so a passage inside another line is cut alike). Units are normalised (lower case, white space collapsed) and hashed to 64 bits; digests are grouped globally, and the occurrence
 that comes first by (doc_id, place) is kept. Elsewhere a line of at least ``line_words`` words goes, and so does a run of
 neighbouring pieces (pieces under MIN_WORDS words neither make nor break a run) of at least ``run_words`` words.
 
@@ -27,8 +27,8 @@ from pyspark.sql import types as T
 
 from .common import parts, text_bytes
 
-CUT = re.compile(r"\s*\n\s*|(?<=[.!?。！？])\s+|\s+(?=[A-ZÀ-ÖØ-ÞΑ-ΩА-Я])|(?<=[。！？])(?=\S)")
-MIN_WORDS = 4
+CUT = re.compile(r"\s*\n\s*|(?<=[.!?。！？])\s+|\s+(?=[A-ZÀ-ÖØ-ÞΑ-ΩА-Я])|\s+(?=\w{8})|(?<=[。！？])(?=\S)")
+MIN_WORDS = 3
 REMOVED = "array<struct<start:int,end:int>>"
 
 
