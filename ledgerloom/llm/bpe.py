@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import SEGMENTS, PieceCache, per_worker
 
 LONG_WORD = 128
-BLOCK_BYTES = 200_000
+BLOCK_BYTES = 100_000
 
 ENCODE = """
 WITH RECURSIVE symbols(word, step, key, following, token) AS (
@@ -66,7 +66,7 @@ class Tables:
         self.words = regex.compile(pattern).findall
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int64)
         pairs = [((left << 32) + right, token) for word, token in self.ranks.items() for i in range(1, len(word)) if (left := self.ranks.get(word[:i])) is not None and (right := self.ranks.get(word[i:])) is not None]
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "500MB", "temp_directory": ""})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         merges = pd.DataFrame(pairs, columns=["pair", "merged"])
         vocabulary = pd.DataFrame({"token": list(self.ranks.values()), "hex": [w.hex() for w in self.ranks]})
         self.con.execute("CREATE TABLE merges AS SELECT * FROM merges")
@@ -131,7 +131,7 @@ class Tables:
         out, at = [b""] * len(ids), 0
         while at < len(ids):
             end, size = at, 0
-            while end < len(ids) and (end == at or size + len(ids[end]) // 4 <= 400_000):
+            while end < len(ids) and (end == at or size + len(ids[end]) // 4 <= 150_000):
                 size += len(ids[end]) // 4
                 end += 1
             lengths = np.array([len(x) // 4 for x in ids[at:end]])
@@ -147,15 +147,29 @@ def tables(path: str, pattern: str) -> Tables:
     return per_worker(("bpe", path, pattern), lambda: Tables(path, pattern))
 
 
-def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """df with a binary column of the text's ids as little-endian uint32."""
+def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """df with a binary column of the text's ids as little-endian uint32, and if asked one of the bytes that these decode to.
 
-    @F.pandas_udf("binary")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    Both come from one Python worker a task, so its tables exist once.
+    """
+    out = F.pandas_udf("ids binary, decoded binary")
+
+    @out
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        own = tables(path, pattern)
         for batch in batches:
-            yield pd.Series(list(tables(path, pattern).cache.texts(batch)), dtype=object)
+            coded, back, chunk, chars = [], [], [], 0
+            for t in [*batch, None]:
+                chunk.append(t)
+                chars += len(t or "")
+                if chars >= 500_000 or len(coded) + len(chunk) > len(batch):
+                    coded += own.cache.texts(chunk)
+                    back += own.decode(coded[len(back) :]) if decoded else [None] * (len(coded) - len(back))
+                    chunk, chars = [], 0
+            yield pd.DataFrame({"ids": coded[: len(batch)], "decoded": back[: len(batch)]}, dtype=object)
 
-    return df.withColumn(ids, run(F.col(text)))
+    both = df.withColumn("_coded", run(F.col(text)))
+    return both.withColumns({ids: F.col("_coded.ids")} | ({decoded: F.col("_coded.decoded")} if decoded else {})).drop("_coded")
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -167,4 +181,3 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", decoded: st
             yield pd.Series(tables(path, pattern).decode([bytes(x) if x is not None else b"" for x in batch]), dtype=object)
 
     return df.withColumn(decoded, run(F.col(ids)))
-

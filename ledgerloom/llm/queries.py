@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, packing, sstable, substring_dedup, url_filters, warc
+from . import bpe, jaccard_join, language_id, packing, sstable, substring_dedup, url_filters, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,10 @@ def op9_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read(sstable.token_table(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(_table(spark, sf_dir, "documents"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's text without repeats of what other documents have first, and the spans of its own that went."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -61,7 +65,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    coded = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern), path, pattern)
+    coded = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern, decoded="decoded")
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -98,6 +102,6 @@ FROM placed WHERE rsha IS NULL OR loff <> roff OR llen <> rlen OR lsha <> rsha""
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op3_url_filters, op5_substring_dedup, op6_language_id, op7_bpe, op9_sstable, op10_warc)
+    f.__name__: f for f in (op1_packing, op3_url_filters, op4_jaccard_join, op5_substring_dedup, op6_language_id, op7_bpe, op9_sstable, op10_warc)
 }
 ORACLE_SQL: dict[str, str] = {"op3_url_filters": OP3_SQL, "op10_warc": OP10_SQL}
