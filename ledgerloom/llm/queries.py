@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard_join, language_id, packing, sstable, substring_dedup, url_filters, warc
+from . import bpe, fingerprints, jaccard_join, language_id, packing, sstable, substring_dedup, url_filters, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,18 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fingerprints.edited(_table(spark, sf_dir, "documents")).withColumn("edited_marks", fingerprints.marks(F.col("edited")))
+    rows = rows.select(
+        "doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), fingerprints.hashes(F.col("marks")).alias("own"),
+        fingerprints.hashes(F.col("edited_marks")).alias("other"), "next_hashes",
+    )
+    return rows.select(
+        "doc_id", "n_chars", "edited_sha256", fingerprints.text_form(F.col("own")).alias("fingerprint"), fingerprints.text_form(F.col("other")).alias("edited_fingerprint"),
+        fingerprints.likeness(F.col("own"), F.col("other")).alias("near_edited"), fingerprints.likeness(F.col("own"), F.col("next_hashes")).alias("near_next"),
+    )
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filters.judge(pages).select("page_id", "judged.*")
@@ -102,6 +114,6 @@ FROM placed WHERE rsha IS NULL OR loff <> roff OR llen <> rlen OR lsha <> rsha""
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op3_url_filters, op4_jaccard_join, op5_substring_dedup, op6_language_id, op7_bpe, op9_sstable, op10_warc)
+    f.__name__: f for f in (op1_packing, op2_fingerprints, op3_url_filters, op4_jaccard_join, op5_substring_dedup, op6_language_id, op7_bpe, op9_sstable, op10_warc)
 }
 ORACLE_SQL: dict[str, str] = {"op3_url_filters": OP3_SQL, "op10_warc": OP10_SQL}
