@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, jaccard_join, language_id, packing, sstable, substring_dedup, url_filters, warc
+from . import ann, bpe, fingerprints, jaccard_join, language_id, packing, sstable, substring_dedup, url_filters, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,11 @@ SELECT h.page_id, h.host, h.path, f.rule,
 FROM hosts h LEFT JOIN fits f USING (page_id)"""
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = ann.usable(_table(spark, sf_dir, "embeddings"))
+    return ann.search(vectors, vectors.where(F.col("id") % 20 == 0))
+
+
 def op9_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read(sstable.token_table(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
@@ -114,6 +119,6 @@ FROM placed WHERE rsha IS NULL OR loff <> roff OR llen <> rlen OR lsha <> rsha""
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_fingerprints, op3_url_filters, op4_jaccard_join, op5_substring_dedup, op6_language_id, op7_bpe, op9_sstable, op10_warc)
+    f.__name__: f for f in (op1_packing, op2_fingerprints, op3_url_filters, op4_jaccard_join, op5_substring_dedup, op6_language_id, op7_bpe, op8_ann, op9_sstable, op10_warc)
 }
 ORACLE_SQL: dict[str, str] = {"op3_url_filters": OP3_SQL, "op10_warc": OP10_SQL}
