@@ -99,10 +99,11 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(256 + n) for n, b in enumerate(other)}
 
 
-def library_encoder(path: str, split: re.Pattern, width: str = "<u4", limit: int = 400_000) -> PieceCache:
+def library_encoder(path: str, split: re.Pattern, width: str = "<u4", limit: int = 120_000, most_words: int = 350_000) -> PieceCache:
     """The tokenizers library's file at path, piece by piece; strings of special tokens in a text are ordinary text.
 
     Words of ASCII pieces go to the library's model one by one and are remembered; other pieces take its whole pipeline.
+    At most ``limit`` pieces and ``most_words`` words are remembered.
     ``split`` is WORDS for the lower-casing tokenizer with word ends, SEGMENTS for byte-level ones.
     """
 
@@ -119,7 +120,7 @@ def library_encoder(path: str, split: re.Pattern, width: str = "<u4", limit: int
 
         def word_ids(word: str) -> bytes:
             ids = array(code, [t.id for t in model.tokenize(word.translate(letters))]).tobytes()
-            if len(words) < limit and len(word) <= 64:
+            if len(words) < most_words and len(word) <= 64:
                 words[word] = ids
             return ids
 
