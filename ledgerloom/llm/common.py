@@ -17,6 +17,19 @@ from pyspark.sql import functions as F
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORDS = re.compile(f"[^{WHITE}]+")
 SEGMENTS = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+#: What keeps a text from being cut by str.split and str.replace alone, with the same result.
+NOT_PLAIN_WORDS = re.compile("[\x1c-\x1f]")
+NOT_PLAIN_SEGMENTS = re.compile(f"[\0\t\x0b-\r\x85\xa0{WHITE[WHITE.index(chr(92) + 'u1680'):]}]|[ \n][ \n]")
+
+
+def cut_words(text: str) -> list[str]:
+    """WORDS.findall(text)."""
+    return WORDS.findall(text) if NOT_PLAIN_WORDS.search(text) else text.split()
+
+
+def cut_segments(text: str) -> list[str]:
+    """SEGMENTS.findall(text), but that an empty piece may come first."""
+    return SEGMENTS.findall(text) if NOT_PLAIN_SEGMENTS.search(text) else text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -50,7 +63,8 @@ class PieceCache:
     """
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], split: re.Pattern = SEGMENTS, limit: int = 250_000):
-        self.encode, self.split, self.limit, self.known = encode, split, limit, {}
+        self.encode, self.limit, self.known = encode, limit, {}
+        self.cut = cut_words if split.pattern == WORDS.pattern else cut_segments
 
     def texts(self, texts: Iterable[str | None], chunk_chars: int = 1_000_000) -> Iterable[bytes]:
         chunk, chars = [], 0
@@ -65,7 +79,7 @@ class PieceCache:
 
     def _chunk(self, texts: list[str]) -> list[bytes]:
         known = self.known
-        pieces = [self.split.findall(t) for t in texts]
+        pieces = [self.cut(t) for t in texts]
         new = list({p for ps in pieces for p in ps if p not in known})
         if new:
             known.update(zip(new, self.encode(new), strict=True))
