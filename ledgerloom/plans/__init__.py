@@ -1 +1,6 @@
+"""Registered queries over the given tables."""
 
+from . import audit
+from .base import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES", "audit"]
