@@ -68,9 +68,9 @@ def excel_date(text: Column) -> Column:
     """A day from an Excel serial (20000 to 60000) or one of five written forms; else null."""
     t = F.trim(text)
     serial = t.try_cast("double")
-    written = F.coalesce(*[F.when(t.rlike(p), F.try_to_date(t, F.lit(f))) for p, f in (
+    written = F.coalesce(*[F.when(t.rlike(p), F.try_to_date(t, f)) for p, f in (
         (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"), (r"^\d{1,2}-[A-Za-z]{3}-\d{4}$", "d-MMM-yyyy"), (r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy"),
-        (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"), (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"))], F.try_to_date(F.substring(t, 1, 10), F.lit("yyyy-MM-dd")))
+        (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"), (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"))], F.try_to_date(F.substring(t, 1, 10), "yyyy-MM-dd"))
     return F.when(serial.between(20000, 60000), F.date_add(F.lit("1899-12-30").cast("date"), F.floor(serial).cast("int"))).otherwise(written)
 
 

@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Synonyms of places, in order, and words that say nothing about one.
 SYNONYMS = (
@@ -18,13 +19,13 @@ SYNONYMS = (
 STOPWORDS = ("THE", "OF", "AND", "&", "YARD", "WH", "WAREHOUSE", "STATION", "POWER", "PLANT", "PROJECT", "SAMSUNG", "DSV", "LLC", "FZE", "PJSC", "ROAD", "RD", "ST", "STREET", "AREA", "ZONE", "ABU", "DHABI")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Compatibility composition, which Spark has no function for."""
     return text.map(lambda t: unicodedata.normalize("NFKC", t) if isinstance(t, str) else None)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity; equal pairs of a batch are computed once."""
     known: dict[tuple, float] = {}
@@ -36,7 +37,7 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """100 * 2 * LCS / (len(a) + len(b)), the indel similarity."""
 

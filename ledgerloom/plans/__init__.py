@@ -1,6 +1,6 @@
 """Registered queries over the given tables."""
 
-from . import audit
+from . import audit, texts
 from .base import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "audit"]
+__all__ = ["ORACLE", "QUERIES", "audit", "texts"]
