@@ -4,8 +4,8 @@ A text's set holds its distinct 5-word shingles. Texts of equal sets are one cla
 similarity of 0.75 or more; components are returned.
 
 Which classes meet: each class offers the first shingles of its set in one global order, in which shingles that a mergeable
-heavy-hitter summary of all documents calls frequent come last. Of n shingles it offers n - ceil(0.75 n) + 1 + n // 20, so two
-linked classes share at least ``need`` = 1 + floor(0.75 n / 20) offered shingles (prefix filter with surplus); a class with
+heavy-hitter summary of all documents calls frequent come last. Of n shingles it offers n - ceil(0.75 n) + 1 + n // 8, so two
+linked classes share at least ``need`` = 1 + floor(0.75 n / 8) offered shingles (prefix filter with surplus); a class with
 fewer shared ones is out, and may leave out its need - 1 largest blocks, since linked classes still meet in the smallest
 block that they share. A block is what shares a shingle.
 
@@ -30,7 +30,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import parts, text_bytes, written
@@ -39,6 +39,7 @@ from .shingles import chunks, sets
 
 FREQUENT = 65_536  # counters of the heavy-hitter summary, and the bound of what is broadcast from it
 MEMBERS, SHINGLES = 2_000, 2_000_000  # bounds of what one task joins at once
+SURPLUS = 8  # a class offers n // SURPLUS shingles more than a prefix filter needs
 LEAF, FAN = 8, 8
 
 
@@ -81,11 +82,12 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def offered(n: int) -> int:
-    return min(n, n - -(-3 * n // 4) + 1 + n // 20)
+    return min(n, n - -(-3 * n // 4) + 1 + n // SURPLUS)
 
 
-def needed(n: np.ndarray) -> np.ndarray:
-    return 1 + (3 * n // 4) // 20
+def needed(n: str) -> Column:
+    """How many offered shingles a class of size column n shares with any other that it links with, at least."""
+    return 1 + F.floor(F.floor(3 * F.col(n) / 4) / SURPLUS)
 
 
 def offers(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], buckets: int) -> DataFrame:
@@ -248,10 +250,14 @@ def tree_links(own: list[np.ndarray], labels: list[int]) -> list[tuple[int, int]
 def _join_blocks(members: DataFrame, texts: DataFrame, whole: bool) -> DataFrame:
     """Joins each (block, part) of members (block, part, class, n, component): edges (a, b), or with whole each (class, component).
 
-    Blocks are dealt to buckets of about a quarter of a task's bound; a class's text goes once to each of its buckets.
+    Blocks with the same smallest class, which mostly have the same members, go to one bucket (to several, if they are too
+    many), and a class's text once to each of its buckets.
     """
+    size = members.groupBy("block", "part").agg(F.min("class").alias("lead"), F.sum("n").alias("size"))
+    share = size.groupBy("lead").agg(F.ceil(F.sum("size") / (4 * SHINGLES)).alias("shares"))
     total = members.agg(F.sum("n").alias("n")).first()["n"] or 0
-    bucket = F.pmod(F.xxhash64("block", "part"), F.lit(parts(total, SHINGLES // 4))).alias("bucket")
+    bucket = F.pmod(F.xxhash64("lead", F.when(F.col("shares") > 1, F.pmod(F.xxhash64("block", "part"), F.col("shares"))).otherwise(0)), F.lit(parts(total, SHINGLES // 4)))
+    members = members.join(size.join(share, "lead").select("block", "part", bucket.alias("bucket")), ["block", "part"])
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("class")
@@ -276,7 +282,7 @@ def _join_blocks(members: DataFrame, texts: DataFrame, whole: bool) -> DataFrame
             return pd.DataFrame(edges, columns=["a", "b"]).astype("int64")
         return pd.DataFrame({"a": np.array(classes, dtype=np.int64), "b": np.array([classes[r] for r in links.roots()], dtype=np.int64)})
 
-    packed = members.groupBy(bucket, "class").agg(F.min("component").alias("component"), F.collect_list(F.struct("block", "part")).alias("blocks"))
+    packed = members.groupBy("bucket", "class").agg(F.min("component").alias("component"), F.collect_list(F.struct("block", "part")).alias("blocks"))
     filled = packed.join(texts, "class").select("bucket", "class", "component", "blocks", "text")
     return filled.groupBy("bucket").applyInPandas(run, "a long, b long")
 
@@ -287,18 +293,22 @@ def _sized(rows: DataFrame) -> DataFrame:
     return rows.join(size.drop("rows"), "block")
 
 
-def _across(multi: DataFrame, component: DataFrame) -> DataFrame:
-    """Rows (block, class, n, component) in which classes of different components may still link; of blocks alike, one."""
+def _mixed(multi: DataFrame, component: DataFrame) -> DataFrame:
+    """Rows (token, class, n, component, rows) of multi in which classes of different components may still link."""
     rows = multi.join(component, "class", "left").withColumn("component", F.coalesce("component", "class"))
     for _ in range(2):
         mixed = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("rows")).where("lo < hi").select("token", "rows")
         rows = rows.drop("rows").join(mixed, "token")
-        enough = rows.groupBy("class").agg(F.count("*").alias("shared"), F.max("n").alias("size")).where(F.col("shared") >= 1 + F.floor(F.floor(3 * F.col("size") / 4) / 20)).select("class")
+        enough = rows.groupBy("class").agg(F.count("*").alias("shared"), F.max("n").alias("n")).where(F.col("shared") >= needed("n")).select("class")
         rows = rows.join(enough, "class", "left_semi")
+    return rows
+
+
+def _blocks(mixed: DataFrame) -> DataFrame:
+    """(block, class, n, component): each class leaves its need - 1 largest blocks; of blocks alike, one stays."""
     place = F.row_number().over(Window.partitionBy("class").orderBy(F.desc("rows"), "token"))
-    rows = rows.withColumn("place", place).where(F.col("place") > F.floor(F.floor(3 * F.col("n") / 4) / 20))
-    rows = rows.select(F.col("token").alias("block"), "class", "n", "component")
-    alike = rows.groupBy("block").agg(F.count("*").alias("rows"), F.sum(F.xxhash64("class").cast("decimal(20,0)")).alias("hash")).where("rows > 1")
+    rows = mixed.withColumn("place", place).where(F.col("place") >= needed("n")).select(F.col("token").alias("block"), "class", "n", "component")
+    alike = rows.groupBy("block").agg(F.count("*").alias("rows"), F.sum(F.xxhash64("class").cast("decimal(20,0)")).alias("hash"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
     return rows.join(alike.groupBy("rows", "hash").agg(F.min("block").alias("block")).select("block"), "block", "left_semi")
 
 
@@ -312,7 +322,7 @@ def join(docs: DataFrame, bucket_bytes: int = 24 << 20) -> DataFrame:
     frequent = (top["token"].to_numpy(dtype=np.int64).astype(np.uint64), top["seen"].to_numpy(dtype=np.int64))
     multi = offers(docs, frequent, parts(text_bytes(docs), bucket_bytes))
     multi = written(multi, "jaccard-offers")
-    enough = multi.groupBy("class").agg(F.count("*").alias("shared"), F.max("n").alias("size")).where(F.col("shared") >= 1 + F.floor(F.floor(3 * F.col("size") / 4) / 20)).select("class")
+    enough = multi.groupBy("class").agg(F.count("*").alias("shared"), F.max("n").alias("n")).where(F.col("shared") >= needed("n")).select("class")
     lead = rows.where("doc_id is not null and n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
     texts = written(lead.join(enough, "class", "left_semi").join(docs, "doc_id").select("class", "text"), "jaccard-texts")
 
@@ -325,11 +335,11 @@ def join(docs: DataFrame, bucket_bytes: int = 24 << 20) -> DataFrame:
 
     few = F.row_number().over(Window.partitionBy("block", "component").orderBy(F.xxhash64("class", "block")))
     for complete in (False, True):
-        across = _across(multi, component)
+        mixed = written(_mixed(multi, component), "jaccard-mixed")
+        if mixed.isEmpty():
+            break
+        multi, across = mixed.select("token", "class", "n"), _blocks(mixed)
         if not complete:
-            across = written(across, "jaccard-across")
-            if across.isEmpty():
-                break
             across = across.withColumn("k", few).where("k <= 4").drop("k")
         sized = _sized(across)
         own = F.pmod(F.xxhash64("class"), F.col("many"))
