@@ -1,6 +1,6 @@
 """Registered queries over the given tables."""
 
-from . import audit, texts
+from . import audit, shipments, texts
 from .base import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "audit", "texts"]
+__all__ = ["ORACLE", "QUERIES", "audit", "shipments", "texts"]
