@@ -3,14 +3,14 @@
 Vectors get one more component, sqrt(M^2 - |x|^2) with M the largest norm of all, so that the largest inner product is the
 smallest distance. Centroids are fitted on a sample of at most ``sample_rows`` distinct vectors (a documented bound; large
 clusters are split, so lists are balanced); every vector is indexed. A vector goes to its nearest centroid's list and, on
-a boundary, to others whose distance is within ``1 + closure`` of the nearest, unless such a centroid is nearer to one that
-it has already. Centroids are linked in a graph of nearest and random neighbours, searched best first in batches. A query
+a boundary, to others whose distance is within ``1 + closure`` of the nearest, unless such a centroid is much nearer to one
+that it has already. Centroids are linked in a graph of nearest and random neighbours, searched best first in batches. A query
 takes the lists whose centroid lies within ``1 + prune`` of its nearest one (squared distances), and in any case enough of
 them to hold TOP + 1 vectors.
 
 Equal vectors are one entry with the TOP + 1 smallest ids of their group, the only ones that a tie can ever return, and
-equal queries are searched once; so a hot vector makes no hot list. Lists are split into parts of at most PART entries and
-meet at most PART queries at once. The driver and each task hold centroids (at most ``most_lists``) and sizes of lists.
+equal queries are searched once; so a hot vector makes no hot list. Lists are dealt to buckets of about PART entries by list
+and by entry, and a bucket meets at most about PART queries at once. The driver and each task hold centroids (at most ``most_lists``) and sizes of lists.
 
 Defined results: vectors that are null, zero, hold null or non-finite components, or have another length than most take no
 part, as queries or candidates; so do rows without id. Of rows that share an id each may be found, and none finds its own
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-PART = 2_048
+PART = 8_192
 
 
 @dataclass
@@ -82,7 +82,7 @@ class Index:
         return ids[:, :k], d[:, :k]
 
     def assign(self, x: np.ndarray) -> list[list[int]]:
-        """Lists of each row: the nearest and those of the boundary, none nearer to one taken before than to the row."""
+        """Lists of each row: the nearest and those of the boundary, none within half the row's distance of one taken before."""
         ids, d = self.nearest(x, 4 * self.copies)
         out = []
         for own, dist in zip(ids.tolist(), d.tolist()):
@@ -90,7 +90,7 @@ class Index:
             for c, v in zip(own[1:], dist[1:]):
                 if len(taken) == self.copies or v > (1 + self.closure) ** 2 * dist[0] + 1e-12:
                     break
-                if all(((self.centroids[c] - self.centroids[t]) ** 2).sum() > v for t in taken):
+                if all(4 * ((self.centroids[c] - self.centroids[t]) ** 2).sum() > v for t in taken):
                     taken.append(c)
             out.append(taken)
         return out
@@ -168,7 +168,7 @@ def usable(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -
     return rows.where(F.size("v") == (most["d"] if most else 0))
 
 
-def search(vectors: DataFrame, queries: DataFrame, top: int = 20, list_rows: int = 96, sample_rows: int = 40_000, most_lists: int = 8_192, closure: float = 0.12, prune: float = 0.45, copies: int = 6, beam: int = 96, seed: int = 7) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, top: int = 20, list_rows: int = 256, sample_rows: int = 40_000, most_lists: int = 8_192, closure: float = 0.02, prune: float = 0.36, copies: int = 3, beam: int = 128, seed: int = 7) -> DataFrame:
     """(query_id, rank, vec_id, score): the `top` rows of vectors found nearest to each row of queries, both as of usable()."""
     spark = vectors.sparkSession
     place = F.row_number().over(Window.partitionBy("v").orderBy("id"))
@@ -203,40 +203,61 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = 20, list_rows: int
         counts[:, r["list"]] = r["n"], r["home"]
     sizes = spark.sparkContext.broadcast(counts)
 
+    buckets = max(1, -(-int(counts[0].sum()) // PART))
+    slices = -(-counts[0] // PART)  # a list above the bound is cut into as many buckets' shares
+
+    def bucket_of(list_: np.ndarray, slice_: np.ndarray) -> np.ndarray:
+        return (list_ * 7919 + slice_) % buckets
+
     def select(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for i in range(0, len(batch), 512):
                 rows = batch.iloc[i : i + 512]
-                own = sent.value.lists(sent.value.lift(matrix(rows["v"]), query=True), sizes.value[1], top + 1)
-                yield rows.assign(list=own).explode("list").astype({"list": "int32"})
+                out = []
+                for query, v, own in zip(rows["query"], rows["v"], sent.value.lists(sent.value.lift(matrix(rows["v"]), query=True), sizes.value[1], top + 1)):
+                    by: dict[int, set[int]] = {}
+                    for c in own:
+                        for k in range(int(slices[c])):
+                            by.setdefault(int(bucket_of(c, k)), set()).add(c)
+                    out += [(query, v, b, sorted(cs)) for b, cs in by.items()]
+                yield pd.DataFrame(out, columns=["query", "v", "bucket", "lists"]).astype({"bucket": "int32"})
 
     asked = queries.groupBy("v").agg(F.min("id").alias("query"))
-    asked = written(asked.select("query", "v").mapInPandas(select, "query long, v array<double>, list int"), "ann-asked")
-    grid = [(int(r["list"]), -(-int(counts[0, r["list"]]) // PART), -(-int(r["n"]) // PART)) for r in asked.groupBy("list").agg(F.count("*").alias("n")).collect()]
-    grid = F.broadcast(spark.createDataFrame(grid, "list int, parts int, turns int"))
-
-    def every(column: str) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.greatest(F.col(column) - 1, F.lit(0))))
-
-    left = asked.join(grid, "list").withColumn("turn", F.pmod(F.xxhash64("query"), F.col("turns")).cast("int")).withColumn("part", every("parts"))
-    right = postings.join(grid, "list").withColumn("part", F.pmod(F.xxhash64("entry"), F.col("parts")).cast("int")).withColumn("turn", every("turns"))
+    asked = written(asked.select("query", "v").mapInPandas(select, "query long, v array<double>, bucket int, lists array<int>"), "ann-asked")
+    turns = asked.groupBy("bucket").agg(F.ceil(F.count("*") / PART).cast("int").alias("turns"))
+    left = asked.join(turns, "bucket").withColumn("turn", F.pmod(F.xxhash64("query"), F.col("turns")).cast("int"))
+    cuts = F.broadcast(spark.createDataFrame([(i, int(n)) for i, n in enumerate(slices)], "list int, slices int"))
+    share = F.pmod(F.xxhash64("entry"), F.greatest(F.col("slices"), F.lit(1)))
+    right = postings.join(cuts, "list").withColumn("bucket", F.pmod(F.col("list").cast("long") * 7919 + share, F.lit(buckets)).cast("int")).join(turns, "bucket")
+    right = right.withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
 
     def compare(asking: pd.DataFrame, having: pd.DataFrame) -> pd.DataFrame:
-        columns = ["query", "score", "ids"]
         if not len(asking) or not len(having):
             return pd.DataFrame({"query": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64"), "ids": pd.Series(dtype=object)})
-        having = having.sort_values("entry")
-        q, v, ids, found = matrix(asking["v"]), matrix(having["v"]), having["ids"].tolist(), []
-        for i in range(0, len(q), 256):
-            scores = np.zeros((len(q[i : i + 256]), len(v)))
-            for j in range(v.shape[1]):
-                scores += q[i : i + 256, j, None] * v[None, :, j]
-            best = np.argsort(-scores, axis=1, kind="stable")[:, : top + 1]
-            found += [(query, scores[row, b], ids[b]) for row, query in enumerate(asking["query"].iloc[i : i + 256]) for b in best[row]]
-        return pd.DataFrame(found, columns=columns)
-
-    keys = ["list", "part", "turn"]
-    found = left.select(*keys, "query", "v").groupBy(*keys).cogroup(right.select(*keys, "entry", "v", "ids").groupBy(*keys)).applyInPandas(compare, "query long, score double, ids array<long>")
+        having = having.sort_values(["list", "entry"])
+        v, ids, entry = matrix(having["v"]), having["ids"].tolist(), having["entry"].to_numpy()
+        first = dict(zip(*np.unique(having["list"].to_numpy(), return_index=True)))
+        size = dict(zip(*np.unique(having["list"].to_numpy(), return_counts=True)))
+        found = []
+        for query, q, own in zip(asking["query"], asking["v"], asking["lists"]):
+            q = np.asarray(q, dtype=np.float64)
+            at = np.concatenate([np.arange(first[c], first[c] + size[c]) for c in own if c in first] or [np.zeros(0, dtype=np.int64)])
+            if not len(at):
+                continue
+            rough = v[at] @ q
+            if len(at) > 4 * top + 4:
+                least = np.partition(rough, len(at) - 4 * top - 4)[len(at) - 4 * top - 4]
+                at = at[rough >= least - 1e-9 * max(1.0, abs(least))]
+            at = at[np.unique(entry[at], return_index=True)[1]]
+            scores = np.zeros(len(at))
+            for j in range(len(q)):
+                scores += v[at, j] * q[j]
+            best = np.argsort(-scores, kind="stable")[: top + 1]
+            found += [(query, scores[b], ids[at[b]]) for b in best]
+        return pd.DataFrame(found, columns=["query", "score", "ids"])
+
+    keys = ["bucket", "turn"]
+    found = left.select(*keys, "query", "v", "lists").groupBy(*keys).cogroup(right.select(*keys, "list", "entry", "v", "ids").groupBy(*keys)).applyInPandas(compare, "query long, score double, ids array<long>")
     found = found.select("query", "score", F.explode("ids").alias("vec_id")).groupBy("query", "vec_id").agg(F.max("score").alias("score"))
     best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
     found = found.withColumn("k", best).where(F.col("k") <= top + 1).groupBy("query").agg(F.sort_array(F.collect_list(F.struct("k", "vec_id", "score"))).alias("found"))
