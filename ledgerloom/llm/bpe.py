@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEGMENTS, PieceCache, per_worker
+from .common import SEGMENTS, PieceCache, per_worker, small_batches
 
 LONG_WORD = 128
 BLOCK_BYTES = 100_000
@@ -168,7 +168,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
                     chunk, chars = [], 0
             yield pd.DataFrame({"ids": coded[: len(batch)], "decoded": back[: len(batch)]}, dtype=object)
 
-    both = df.withColumn("_coded", run(F.col(text)))
+    both = small_batches(df).withColumn("_coded", run(F.col(text)))
     return both.withColumns({ids: F.col("_coded.ids")} | ({decoded: F.col("_coded.decoded")} if decoded else {})).drop("_coded")
 
 

@@ -50,6 +50,14 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(text)).alias("b")).first()["b"] or 0
 
 
+def small_batches(df: DataFrame, rows: int = 1_000) -> DataFrame:
+    """df, whose texts Python workers shall get in batches of at most so many rows (a setting of the session)."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(df.sparkSession.conf.get(key)) > rows:
+        df.sparkSession.conf.set(key, str(rows))
+    return df
+
+
 def parts(total: int, each: int) -> int:
     """How many parts of about `each` make `total`; 1 at least."""
     return max(1, -(-total // each))

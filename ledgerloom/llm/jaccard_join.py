@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import parts, text_bytes, written
+from .common import parts, small_batches, text_bytes, written
 from .components import components
 from .shingles import chunks, sets
 
@@ -315,7 +315,7 @@ def _blocks(mixed: DataFrame) -> DataFrame:
 def join(docs: DataFrame, bucket_bytes: int = 24 << 20) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of docs (doc_id, text); see the module's text."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
+    docs = small_batches(docs).select("doc_id", "text")
     scanned = written(scan(docs), "jaccard-scan")
     rows = scanned.where("token is null").select("doc_id", "n", "class")
     top = scanned.where("token is not null").groupBy("token").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "token").limit(FREQUENT).toPandas().sort_values("token", key=lambda t: t.astype("uint64"))

@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST = 5
 
@@ -95,7 +97,7 @@ def _scores(counts: DataFrame, most: int, languages: list[str]) -> dict[str, np.
 class Predictor:
     """Scores texts; rows of scores are kept for known words and for the first `limit` others."""
 
-    def __init__(self, model: Model, limit: int = 200_000):
+    def __init__(self, model: Model, limit: int = 100_000):
         self.model, self.limit = model, limit
         self.rows: dict[str, int] = {w: i for i, w in enumerate(model.words)}
         self.scores = np.array(list(model.words.values()) or np.zeros((0, len(model.languages))))
@@ -136,9 +138,9 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             for t in batch:
                 chunk.append(t)
                 chars += len(t) if isinstance(t, str) else 0
-                if chars >= 1_000_000:
+                if chars >= 500_000:
                     out += predictor.texts(chunk)
                     chunk, chars = [], 0
             yield pd.DataFrame(out + predictor.texts(chunk), columns=["lang_pred", "score"])
 
-    return docs.withColumn("language", run(F.col(text)))
+    return small_batches(docs).withColumn("language", run(F.col(text)))

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import WORDS, library_encoder
+from .common import WORDS, library_encoder, small_batches
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -132,4 +132,4 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 2
         if ids:
             yield group(ids, doc_ids, number)
 
-    return docs.select("doc_id", "text").mapInPandas(run, SCHEMA)
+    return small_batches(docs).select("doc_id", "text").mapInPandas(run, SCHEMA)

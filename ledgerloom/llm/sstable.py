@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEGMENTS, library_encoder, parts, shared_dir, text_bytes, written
+from .common import SEGMENTS, library_encoder, parts, shared_dir, small_batches, text_bytes, written
 
 MAGIC = b"LLSST\x00\x00\x01"
 FOOTER = struct.Struct("<QQQQQQB7x8s")  # index at, Bloom at, Bloom bits, hashes, entries, ids, id width, magic
@@ -171,7 +171,7 @@ def write(docs: DataFrame, encode: Callable[[], object], end_id: int, width: int
         yield pd.DataFrame({"shard": [f"{folder}/{name}"], "first_key": [first], "last_key": [key], "n_docs": [len(writer.keys)], "n_ids": [writer.ids], "bytes": [size]})
 
     n = parts(text_bytes(docs), shard_bytes)
-    dealt = docs.select("doc_id", "text").withColumn("h", F.xxhash64("text"))
+    dealt = small_batches(docs).select("doc_id", "text").withColumn("h", F.xxhash64("text"))
     dealt = dealt.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "h").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h").select("doc_id", "text")
     return written(dealt.mapInPandas(run, META), "sstable-meta")
 
