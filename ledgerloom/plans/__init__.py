@@ -1,6 +1,6 @@
 """Registered queries over the given tables."""
 
-from . import audit, shipments, texts
+from . import audit, io, shipments, texts
 from .base import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "audit", "shipments", "texts"]
+__all__ = ["ORACLE", "QUERIES", "audit", "io", "shipments", "texts"]
