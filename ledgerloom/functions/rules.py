@@ -298,7 +298,52 @@ def promote_executed(method: Column, current: Column, lane_id: Column, actual: C
 
 def upload_kind(name: Column, mime: Column) -> Column:
     n = F.lower(name)
-    return F.when(n.endswith(".pdf") | (mime == "application/pdf"), "pdf").when(n.rlike(r"\.(xlsx|xlsm|xls)$"), "excel").when(n.endswith(".md"), "md").when(n.endswith(".txt"), "txt").when(n.endswith(".json"), "json").otherwise("unsupported")
+    out = F.when((mime == "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet") | n.endswith(".xlsx"), "xlsx")
+    return out.when((mime == "text/markdown") | n.endswith(".md"), "md").when((mime == "text/plain") | n.endswith(".txt"), "txt").when((mime == "application/pdf") | n.endswith(".pdf"), "pdf").otherwise("unknown")
+
+
+def issue_codes(checks: dict[str, Column]) -> Column:
+    """Codes of the checks that hold, in order."""
+    return F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(False)), code) for code, bad in checks.items()]))
+
+
+def vision_issues(doc_type: Column, confidence: Column, length: Column, has_amount: Column, has_shipment: Column) -> Column:
+    """Codes of what a parsed page lacks; any makes it AMBER."""
+    invoice = doc_type.isin("CARRIER_RHS", "CARRIER_EVG", "CARRIER_CMA", "PORT_ALLIED", "PORT_CSP", "AIRPORT_FEES")
+    return issue_codes({
+        "UNKNOWN_DOCTYPE": doc_type == "UNKNOWN", "VISION_LOW_CONFIDENCE": confidence < 0.6, "LOW_TEXT_LENGTH": length < 80, "CUSTOMS_FINAL_REVIEW_REQUIRED": doc_type == "BOE_CUSTOMS",
+        "INVOICE_AMOUNT_MISSING": invoice & ~has_amount, "NO_SHIPMENT_NO": ~has_shipment,
+    })
+
+
+def evidence_status(doc_type: Column, has_amount: Column) -> Column:
+    return F.when(has_amount, "MATCHED_AMOUNT").when(doc_type.isin("DELIVERY_ORDER", "DELIVERY_NOTE", "AIRPORT_APPOINTMENT"), "NOT_APPLICABLE").when(doc_type == "BOE_CUSTOMS", "PARTIAL").when(doc_type == "UNKNOWN", "MISSING").otherwise("PARTIAL")
+
+
+def rate_sheet_severity(verdict: Column, kind: Column, status: Column, evidence: Column) -> Column:
+    special = kind.isin("TEXT_EXCEPTION", "MISSING_RATE") | status.isin("AUTO_COMPARE_WITH_DUPLICATE_REVIEW", "AUTO_COMPARE_REQUIRE_REVIEW_EVIDENCE", "EXCEPTION_EVIDENCE_REQUIRED", "MISSING_RATE_NO_AUTO_PASS")
+    return F.when(verdict == "ZERO", "ZERO").when((kind == "TEXT_EXCEPTION") & (evidence == "MISSING"), "ZERO").when(F.coalesce(special, F.lit(False)) | (verdict == "AMBER"), "AMBER").otherwise("PASS")
+
+
+def hash_status(expected: Column, actual: Column, pending: str = "pending") -> Column:
+    """struct(verdict, status): only a hash that is given and differs counts against a source."""
+    wrong = F.coalesce(actual != expected, F.lit(False))
+    return F.struct(F.when(expected == pending, "AMBER").when(wrong, "ZERO").otherwise("PASS").alias("verdict"), F.when(expected == pending, "HASH_UNVERIFIED").when(wrong, "SOURCE_HASH_MISMATCH").otherwise("SOURCE_HASH_MATCH").alias("status"))
+
+
+def parse_issue(message: Column) -> Column:
+    m, out = F.upper(message), None
+    for mark, kind in (("PDF_ENCRYPTED", "PDF_ENCRYPTED"), ("PDF_TOO_LARGE", "PDF_TOO_LARGE"), ("SCANNED_PAGE_DETECTED", "SCANNED_PAGE_DETECTED"), ("PARSE_PDF_UNSUPPORTED", "PDF_PARSE_UNSUPPORTED")):
+        out = F.when(m.contains(mark), kind) if out is None else out.when(m.contains(mark), kind)
+    return out
+
+
+def may_approve(role: Column, variance_aed: Column) -> Column:
+    return role == F.when(variance_aed < 500, "COST_CONTROL_LEAD").otherwise("FINANCE_APPROVER")
+
+
+def can_resolve(role: Column, roles: Column) -> Column:
+    return F.array_contains(F.split(roles, ","), role)
 
 
 def literal_text(x: Column) -> Column:
