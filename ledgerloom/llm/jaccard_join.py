@@ -294,14 +294,25 @@ def _sized(rows: DataFrame) -> DataFrame:
 
 
 def _mixed(multi: DataFrame, component: DataFrame) -> DataFrame:
-    """Rows (token, class, n, component, rows) of multi in which classes of different components may still link."""
-    rows = multi.join(component, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    for _ in range(2):
-        mixed = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("rows")).where("lo < hi").select("token", "rows")
-        rows = rows.drop("rows").join(mixed, "token")
-        enough = rows.groupBy("class").agg(F.count("*").alias("shared"), F.max("n").alias("n")).where(F.col("shared") >= needed("n")).select("class")
-        rows = rows.join(enough, "class", "left_semi")
-    return rows
+    """Rows (token, class, n, component, rows) of multi in which classes of different components may still link.
+
+    Rows move twice: once to their token, where its components are told apart, and once to their class.
+    """
+    rows = multi.join(component, "class", "left").withColumn("component", F.coalesce("component", "class")).repartition("token")
+    mixed = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("rows")).where("lo < hi").select("token", "rows")
+    rows = rows.join(mixed, "token").repartition("class")
+    enough = rows.groupBy("class").agg(F.count("*").alias("shared"), F.max("n").alias("n")).where(F.col("shared") >= needed("n")).select("class")
+    return rows.join(enough, "class", "left_semi")
+
+
+def _probably(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs without most of those whose doc_id is not in ids: a bitmap of 2^26 hashed ids (8 MB at most, whatever the number
+    of ids) is broadcast, so that other texts need not be shuffled."""
+    place, bucket, bit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 26)).alias("place"), F.expr("bitmap_bucket_number(place)"), F.expr("bitmap_bit_position(place)")
+    maps = ids.select(place).groupBy(bucket.alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(place))").alias("bits"))
+    byte = F.conv(F.hex(F.substring(F.col("bits"), F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = docs.select("doc_id", "text", place).join(F.broadcast(maps), bucket == F.col("bucket"))
+    return marked.where(F.floor(byte / F.pow(F.lit(2), F.pmod(bit, F.lit(8)))).cast("int") % 2 == 1).select("doc_id", "text")
 
 
 def _blocks(mixed: DataFrame) -> DataFrame:
@@ -324,7 +335,8 @@ def join(docs: DataFrame, bucket_bytes: int = 24 << 20) -> DataFrame:
     multi = written(multi, "jaccard-offers")
     enough = multi.groupBy("class").agg(F.count("*").alias("shared"), F.max("n").alias("n")).where(F.col("shared") >= needed("n")).select("class")
     lead = rows.where("doc_id is not null and n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    texts = written(lead.join(enough, "class", "left_semi").join(docs, "doc_id").select("class", "text"), "jaccard-texts")
+    wanted = written(lead.join(enough, "class", "left_semi"), "jaccard-wanted")
+    texts = written(wanted.join(_probably(docs, wanted), "doc_id").select("class", "text"), "jaccard-texts")
 
     first = multi.where("first").join(enough, "class", "left_semi")
     sizes = first.groupBy("token").agg(F.count("*").alias("rows")).where("rows > 1")
@@ -335,9 +347,11 @@ def join(docs: DataFrame, bucket_bytes: int = 24 << 20) -> DataFrame:
 
     few = F.row_number().over(Window.partitionBy("block", "component").orderBy(F.xxhash64("class", "block")))
     for complete in (False, True):
-        mixed = written(_mixed(multi, component), "jaccard-mixed")
-        if mixed.isEmpty():
-            break
+        mixed = _mixed(multi, component)
+        if not complete:
+            mixed = written(mixed, "jaccard-mixed")
+            if mixed.isEmpty():
+                break
         multi, across = mixed.select("token", "class", "n"), _blocks(mixed)
         if not complete:
             across = across.withColumn("k", few).where("k <= 4").drop("k")
