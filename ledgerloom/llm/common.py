@@ -104,12 +104,18 @@ _workers: dict = {}
 
 
 def per_worker(key, make: Callable):
-    """make() once for each Python worker and key."""
+    """make() once for each Python worker and key; a worker holds one such object, and forgets it when it makes another."""
     if key not in _workers:
+        _workers.clear()
         _workers[key] = make()
     return _workers[key]
 
 
+def forget() -> None:
+    """Frees what per_worker() holds: workers are used again by stages that need their memory for other things."""
+    _workers.clear()
+
+
 #: What the two files' pre-tokenizers match, written for ASCII text (the first after lower-casing).
 ASCII_LOWER_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
 ASCII_BYTE_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)

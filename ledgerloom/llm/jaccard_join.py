@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import parts, small_batches, text_bytes, written
+from .common import forget, parts, small_batches, text_bytes, written
 from .components import components
 from .shingles import chunks, sets
 
@@ -69,6 +69,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """One pass over all texts: rows (doc_id, n, class) and rows (token, seen) of each task's heavy-hitter summary."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         tokens, seen = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
         for batch in batches:
             for doc_ids, own in _sets_of(batch):

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import forget, small_batches
 
 LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST = 5
@@ -29,22 +29,13 @@ LONGEST = 5
 
 @dataclass
 class Model:
-    """Scores: for each word and n-gram a row of log frequencies, one for each language in order."""
+    """For each known word and n-gram a row of log frequencies, one for each language in order."""
 
     languages: list[str]
-    words: dict[str, np.ndarray] = field(default_factory=dict)
-    grams: dict[str, np.ndarray] = field(default_factory=dict)
-
-    def word(self, word: str) -> np.ndarray:
-        known = self.words.get(word)
-        if known is not None:
-            return known
-        padded = f" {word} "
-        for n in range(min(LONGEST, len(padded)), 0, -1):
-            found = [g for i in range(len(padded) - n + 1) if (g := self.grams.get(padded[i : i + n])) is not None]
-            if found:
-                return np.sum(found, axis=0) / len(found)
-        return np.zeros(len(self.languages))
+    words: list[str] = field(default_factory=list)
+    word_scores: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+    grams: list[str] = field(default_factory=list)
+    gram_scores: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -76,31 +67,42 @@ def train(labelled: DataFrame, sample_rows: int = 20_000, words: int = 60_000, g
 
     pieces = counted.mapInPandas(cut, "lang string, word string, count long").groupBy("lang", "word").agg(F.sum("count").alias("count"))
     model = Model(languages)
-    model.words = _scores(counted, words, languages)
-    model.grams = _scores(pieces.where("word <> ' '"), grams, languages)
+    model.words, model.word_scores = _scores(counted, words, languages)
+    model.grams, model.gram_scores = _scores(pieces.where("word <> ' '"), grams, languages)
     counted.unpersist()
     return model
 
 
-def _scores(counts: DataFrame, most: int, languages: list[str]) -> dict[str, np.ndarray]:
+def _scores(counts: DataFrame, most: int, languages: list[str]) -> tuple[list[str], np.ndarray]:
     """Smoothed log frequencies of the `most` entries with the largest counts over all languages (ties: smaller text)."""
     by = counts.groupBy("word").pivot("lang", languages).agg(F.sum("count")) if languages else None
     if by is None:
-        return {}
+        return [], np.zeros((0, 0))
     columns = [F.coalesce(F.col(f"`{x}`"), F.lit(0)) for x in languages]
     table = by.select("word", F.array(*columns).alias("counts")).withColumn("total", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x))
     top = table.where("total > 1").orderBy(F.desc("total"), "word").limit(most).select("word", "counts").collect()
     totals = np.array([r["counts"] for r in top], dtype=float).sum(axis=0) if top else np.zeros(len(languages))
-    return {r["word"]: np.log((np.array(r["counts"], dtype=float) + 0.5) / (totals + 0.5 * max(1, len(top)))) for r in top}
+    counted = np.array([r["counts"] for r in top], dtype=float).reshape(len(top), len(languages))
+    return [r["word"] for r in top], np.log((counted + 0.5) / (totals + 0.5 * max(1, len(top))))
 
 
 class Predictor:
     """Scores texts; rows of scores are kept for known words and for the first `limit` others."""
 
-    def __init__(self, model: Model, limit: int = 100_000):
+    def __init__(self, model: Model, limit: int = 60_000):
         self.model, self.limit = model, limit
         self.rows: dict[str, int] = {w: i for i, w in enumerate(model.words)}
-        self.scores = np.array(list(model.words.values()) or np.zeros((0, len(model.languages))))
+        self.grams: dict[str, int] = {g: i for i, g in enumerate(model.grams)}
+        self.scores = model.word_scores
+
+    def unseen(self, word: str) -> np.ndarray:
+        """Mean of the known n-grams of the longest length that has any."""
+        padded = f" {word} "
+        for n in range(min(LONGEST, len(padded)), 0, -1):
+            found = [g for i in range(len(padded) - n + 1) if (g := self.grams.get(padded[i : i + n])) is not None]
+            if found:
+                return self.model.gram_scores[found].mean(axis=0)
+        return np.zeros(len(self.model.languages))
 
     def texts(self, texts: list[str | None]) -> list[tuple[str, float]]:
         languages = self.model.languages
@@ -109,7 +111,7 @@ class Predictor:
         first = len(self.rows)
         if new and languages:
             self.rows.update(zip(new, range(first, first + len(new))))
-            self.scores = np.vstack([self.scores, np.array([self.model.word(w) for w in new])])
+            self.scores = np.vstack([self.scores, np.array([self.unseen(w) for w in new])])
         out = []
         for ws in found:
             if not ws or not languages:
@@ -132,6 +134,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     @F.pandas_udf("lang_pred string, score double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        forget()
         predictor = Predictor(sent.value)
         for batch in batches:
             out, chunk, chars = [], [], 0

@@ -117,7 +117,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 2
         return out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = library_encoder(vocabulary, WORDS, limit=400_000, most_words=600_000)
+        encoder = library_encoder(vocabulary, WORDS, limit=250_000, most_words=500_000)
         end = np.array([end_id], dtype="<u4").tobytes()
         ids, doc_ids, tokens, number = [], [], 0, 0
         for batch in batches:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import parts, text_bytes
+from .common import forget, parts, text_bytes
 
 CUT = re.compile(r"\s*\n\s*|(?<=[.!?。！？])\s+|\s+(?=[A-ZÀ-ÖØ-ÞΑ-ΩА-Я])|\s+(?=\w{8})|(?<=[。！？])(?=\S)")
 MIN_WORDS = 3
@@ -125,6 +125,7 @@ def dedup(docs: DataFrame, line_words: int = 8, run_words: int = 25, batch_bytes
     dealt = dealt.repartition(F.col("batch"))
 
     def send(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        forget()
         found, at = [], []
         for doc, text in zip(rows[id_at], rows[text_at]):
             if isinstance(text, str):
