@@ -116,38 +116,52 @@ def forget() -> None:
     _workers.clear()
 
 
-#: What the two files' pre-tokenizers match, written for ASCII text (the first after lower-casing).
+#: What the two files' pre-tokenizers match; the first after lower-casing.
+LOWER_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+BYTE_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same for ASCII text.
 ASCII_LOWER_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
 ASCII_BYTE_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
+#: From this character on, pieces take the library's whole pipeline.
+FAR_LETTER = "\u0250"
 
 
 def byte_letters() -> dict[int, str]:
-    """Byte-level BPE's letter for each ASCII byte: printable ones stand for themselves, others follow from U+0100."""
-    other = [b for b in range(128) if not 33 <= b <= 126]
+    """Byte-level BPE's letter for each byte that does not stand for itself: these follow from U+0100 in order."""
+    other = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
     return {b: chr(256 + n) for n, b in enumerate(other)}
 
 
 def library_encoder(path: str, split: re.Pattern, width: str = "<u4", limit: int = 120_000, most_words: int = 350_000) -> PieceCache:
     """The tokenizers library's file at path, piece by piece; strings of special tokens in a text are ordinary text.
 
-    Words of ASCII pieces go to the library's model one by one and are remembered; other pieces take its whole pipeline.
+    Words of Latin pieces go to the library's model one by one and are remembered; other pieces take its whole pipeline.
     At most ``limit`` pieces and ``most_words`` words are remembered.
     ``split`` is WORDS for the lower-casing tokenizer with word ends, SEGMENTS for byte-level ones.
     """
 
     def make() -> PieceCache:
+        import unicodedata
+
+        import regex
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
         tok.encode_special_tokens = True
-        model, letters, lower = tok.model, byte_letters(), split.pattern == WORDS.pattern
-        words_of = (ASCII_LOWER_WORDS if lower else ASCII_BYTE_WORDS).findall
-        code = {"<u2": "H", "<u4": "I"}[width]
+        tokenize, letters, lower = tok.model.tokenize, byte_letters(), split.pattern == WORDS.pattern
+        ascii_words = (ASCII_LOWER_WORDS if lower else ASCII_BYTE_WORDS).findall
+        latin_words = regex.compile(LOWER_WORDS if lower else BYTE_WORDS).findall
+        code, space = {"<u2": "H", "<u4": "I"}[width], letters[32]
         words: dict[str, bytes] = {}
 
         def word_ids(word: str) -> bytes:
-            ids = array(code, [t.id for t in model.tokenize(word.translate(letters))]).tobytes()
+            if word.isascii() and word.isprintable():
+                spelled = word.replace(" ", space)
+            else:
+                spelled = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(letters)
+            ids = array(code, [t.id for t in tokenize(spelled)]).tobytes()
             if len(words) < most_words and len(word) <= 64:
                 words[word] = ids
             return ids
@@ -156,12 +170,15 @@ def library_encoder(path: str, split: re.Pattern, width: str = "<u4", limit: int
             out: list[bytes | None] = []
             for p in pieces:
                 if p.isascii():
-                    ws = words_of(p.lower() if lower else p)
-                    out.append(b"".join([words.get(w) or word_ids(w) for w in ws]))
+                    ws = ascii_words(p.lower() if lower else p)
+                elif max(p) < FAR_LETTER:
+                    ws = latin_words(unicodedata.normalize("NFC", p).lower() if lower else p)
                 else:
                     out.append(None)
+                    continue
+                out.append(b"".join([words.get(w) or word_ids(w) for w in ws]))
             rest = [p for p, ids in zip(pieces, out) if ids is None]
-            encoded = iter(tok.encode_batch_fast(rest, add_special_tokens=False))
+            encoded = iter(tok.encode_batch_fast(rest, add_special_tokens=False) if rest else ())
             return [array(code, next(encoded).ids).tobytes() if ids is None else ids for ids in out]
 
         if sys.byteorder != "little":

@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 from ledgerloom.llm import packing, queries, sstable
 from ledgerloom.llm.common import SEGMENTS, WORDS, library_encoder
 
-ODD = [None, "", " ", "a  b   c\n\n d", "\x1c!\x1d!", "don't  'll\t\u3000x\u2003 \u00e9e\u0301 \u0130\u03a3\u03c3 123 4 <|endoftext|>", "w" * 5000, "\u4e2d\u6587\u6ca1\u6709\u7a7a\u683c", "trail  ", "\x00\x7f it's \x0b_-\x1f OK\x0c'LL ~!", "\r\n x"]
+ODD = ["\u00c0\u00c9 \u00df\u0130x \u01c5 \u00b2\u00bd3 na\u00efve\u00a0\u00ad\u0085x", "A\u030a J\u030c \u03a3\u03a3 \u0141\u00d3D\u0179'S \u0149 \u212b", None, "", " ", "a  b   c\n\n d", "\x1c!\x1d!", "don't  'll\t\u3000x\u2003 \u00e9e\u0301 \u0130\u03a3\u03c3 123 4 <|endoftext|>", "w" * 5000, "\u4e2d\u6587\u6ca1\u6709\u7a7a\u683c", "trail  ", "\x00\x7f it's \x0b_-\x1f OK\x0c'LL ~!", "\r\n x"]
 
 
 def reference(name):
