@@ -179,10 +179,11 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = 20, list_rows: int
     if not stats["n"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     share = min(1.0, sample_rows / stats["n"])
-    sample = entries.where(F.pmod(F.xxhash64("v", F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).orderBy("entry").limit(sample_rows).select("v").toPandas()["v"]
+    sample = entries.where(F.pmod(F.xxhash64("v", F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).orderBy("entry").limit(sample_rows).select("v").toArrow()
+    sample = np.asarray(sample["v"].combine_chunks().flatten(), dtype=np.float64).reshape(sample.num_rows, -1)
     rng = np.random.default_rng(seed)
     model = Index(np.zeros((1, 1)), np.zeros((1, 1)), float(np.sqrt(stats["m"])), closure, prune, copies, beam)
-    x = model.lift(np.array(sample.tolist()))
+    x = model.lift(sample)
     model.centroids = clusters(x, max(1, min(most_lists, stats["n"] // list_rows, len(x))), rng)
     model.graph = graph_of(model.centroids, rng)
     sent = spark.sparkContext.broadcast(model)

@@ -306,14 +306,24 @@ def _mixed(multi: DataFrame, component: DataFrame) -> DataFrame:
     return rows.join(enough, "class", "left_semi")
 
 
-def _probably(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without most of those whose doc_id is not in ids: a bitmap of 2^26 hashed ids (8 MB at most, whatever the number
-    of ids) is broadcast, so that other texts need not be shuffled."""
-    place, bucket, bit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 26)).alias("place"), F.expr("bitmap_bucket_number(place)"), F.expr("bitmap_bit_position(place)")
+def marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs with ``maybe``: false for most rows whose doc_id is not in ids, true for all whose doc_id is.
+
+    A bitmap of 2^25 hashed ids (4 MB at most, whatever the number of ids) is broadcast, so rows need not be shuffled to tell.
+    """
+    place, bucket, bit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 25)).alias("place"), F.expr("bitmap_bucket_number(place)"), F.expr("bitmap_bit_position(place)")
     maps = ids.select(place).groupBy(bucket.alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(place))").alias("bits"))
     byte = F.conv(F.hex(F.substring(F.col("bits"), F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    marked = docs.select("doc_id", "text", place).join(F.broadcast(maps), bucket == F.col("bucket"))
-    return marked.where(F.floor(byte / F.pow(F.lit(2), F.pmod(bit, F.lit(8)))).cast("int") % 2 == 1).select("doc_id", "text")
+    on = F.floor(byte / F.pow(F.lit(2), F.pmod(bit, F.lit(8)))).cast("int") % 2 == 1
+    joined = docs.withColumn("place", place).join(F.broadcast(maps), bucket == F.col("bucket"), "left")
+    return joined.select(*[F.col(c) for c in docs.columns], F.coalesce(on, F.lit(False)).alias("maybe"))
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs whose doc_id is not in ids (null ids stay): only rows that the bitmap marks are shuffled for the exact answer."""
+    rows = marked(docs, ids)
+    unsure = rows.where("maybe").drop("maybe")
+    return rows.where("not maybe").drop("maybe").unionByName(unsure.join(ids.distinct(), "doc_id", "left_anti").select(*docs.columns))
 
 
 def _blocks(mixed: DataFrame) -> DataFrame:
@@ -330,14 +340,16 @@ def join(docs: DataFrame, bucket_bytes: int = 24 << 20) -> DataFrame:
     docs = small_batches(docs).select("doc_id", "text")
     scanned = written(scan(docs), "jaccard-scan")
     rows = scanned.where("token is null").select("doc_id", "n", "class")
-    top = scanned.where("token is not null").groupBy("token").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "token").limit(FREQUENT).toPandas().sort_values("token", key=lambda t: t.astype("uint64"))
-    frequent = (top["token"].to_numpy(dtype=np.int64).astype(np.uint64), top["seen"].to_numpy(dtype=np.int64))
+    top = scanned.where("token is not null").groupBy("token").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "token").limit(FREQUENT).toArrow()
+    tokens, seen = top["token"].to_numpy().astype(np.uint64), top["seen"].to_numpy()
+    order = np.argsort(tokens)
+    frequent = (tokens[order], seen[order])
     multi = offers(docs, frequent, parts(text_bytes(docs), bucket_bytes))
     multi = written(multi, "jaccard-offers")
     enough = multi.groupBy("class").agg(F.count("*").alias("shared"), F.max("n").alias("n")).where(F.col("shared") >= needed("n")).select("class")
     lead = rows.where("doc_id is not null and n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
     wanted = written(lead.join(enough, "class", "left_semi"), "jaccard-wanted")
-    texts = written(wanted.join(_probably(docs, wanted), "doc_id").select("class", "text"), "jaccard-texts")
+    texts = written(wanted.join(marked(docs, wanted).where("maybe").drop("maybe"), "doc_id").select("class", "text"), "jaccard-texts")
 
     first = multi.where("first").join(enough, "class", "left_semi")
     sizes = first.groupBy("token").agg(F.count("*").alias("rows")).where("rows > 1")

@@ -80,10 +80,9 @@ def _scores(counts: DataFrame, most: int, languages: list[str]) -> tuple[list[st
         return [], np.zeros((0, 0))
     columns = [F.coalesce(F.col(f"`{x}`"), F.lit(0)) for x in languages]
     table = by.select("word", F.array(*columns).alias("counts")).withColumn("total", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x))
-    top = table.where("total > 1").orderBy(F.desc("total"), "word").limit(most).select("word", "counts").collect()
-    totals = np.array([r["counts"] for r in top], dtype=float).sum(axis=0) if top else np.zeros(len(languages))
-    counted = np.array([r["counts"] for r in top], dtype=float).reshape(len(top), len(languages))
-    return [r["word"] for r in top], np.log((counted + 0.5) / (totals + 0.5 * max(1, len(top))))
+    top = table.where("total > 1").orderBy(F.desc("total"), "word").limit(most).select("word", "counts").toArrow()
+    counted = np.asarray(top["counts"].combine_chunks().flatten(), dtype=float).reshape(top.num_rows, len(languages))
+    return top["word"].to_pylist(), np.log((counted + 0.5) / (counted.sum(axis=0) + 0.5 * max(1, top.num_rows)))
 
 
 class Predictor:
