@@ -29,12 +29,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Where ids repeat, one row of an id stays (the smallest hash of its text); otherwise nothing has to be sorted for it.
     """
     groups = written(jaccard_join.join(docs), "pipeline-groups")
-    ids = groups.where("doc_id = component_id").select("doc_id")
-    lead = written(ids.distinct(), "pipeline-lead")
-    kept = docs.select(*COLUMNS).join(lead, "doc_id", "left_semi")
-    if ids.count() != lead.count():
-        kept = kept.withColumn("h", F.xxhash64("text")).groupBy("doc_id").agg(*[F.min_by(F.struct(*COLUMNS[1:]), "h").alias("row")]).select("doc_id", "row.*")
-    return kept.unionByName(docs.select(*COLUMNS).where("doc_id is null"))
+    lead = groups.where("doc_id = component_id").select("doc_id")
+    gone = written(groups.where("doc_id <> component_id").select("doc_id").distinct().join(lead.distinct(), "doc_id", "left_anti"), "pipeline-gone")
+    kept = jaccard_join.without(docs.select(*COLUMNS), gone)
+    if lead.count() != lead.distinct().count():
+        one = kept.where("doc_id is not null").withColumn("h", F.xxhash64("text")).groupBy("doc_id").agg(F.min_by(F.struct(*COLUMNS[1:]), "h").alias("row")).select("doc_id", "row.*")
+        kept = one.unionByName(kept.where("doc_id is null"))
+    return kept
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
