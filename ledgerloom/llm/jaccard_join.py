@@ -251,10 +251,12 @@ def tree_links(own: list[np.ndarray], labels: list[int]) -> list[tuple[int, int]
 def _join_blocks(members: DataFrame, texts: DataFrame, whole: bool) -> DataFrame:
     """Joins each (block, part) of members (block, part, class, n, component): edges (a, b), or with whole each (class, component).
 
-    Blocks with the same smallest class, which mostly have the same members, go to one bucket (to several, if they are too
-    many), and a class's text once to each of its buckets.
+    Blocks go by the smallest class of their members' blocks, so that blocks with much the same members share a bucket (or
+    several, if they are too many), and a class's text goes once to each of its buckets.
     """
-    size = members.groupBy("block", "part").agg(F.min("class").alias("lead"), F.sum("n").alias("size"))
+    smallest = members.groupBy("block", "part").agg(F.min("class").alias("lead"))
+    near = members.join(smallest, ["block", "part"]).groupBy("class").agg(F.min("lead").alias("near"))
+    size = members.join(near, "class").groupBy("block", "part").agg(F.min("near").alias("lead"), F.sum("n").alias("size"))
     share = size.groupBy("lead").agg(F.ceil(F.sum("size") / (4 * SHINGLES)).alias("shares"))
     total = members.agg(F.sum("n").alias("n")).first()["n"] or 0
     bucket = F.pmod(F.xxhash64("lead", F.when(F.col("shares") > 1, F.pmod(F.xxhash64("block", "part"), F.col("shares"))).otherwise(0)), F.lit(parts(total, SHINGLES // 4)))
