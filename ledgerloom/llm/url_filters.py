@@ -46,11 +46,12 @@ def pattern_rule(pattern: str, tokens: Iterable[str], verdict: str = "block") ->
     return Rule(pattern, pattern, verdict, tuple(tokens), None)
 
 
-#: The host rules of the contract and the method's own patterns for advertising and tracking hosts.
+#: The host rules of the contract and the method's own patterns for advertising and tracking hosts; a rule of
+#: each tracking word, as tokens are whole words, and word ends are ASCII's, as in tokens and SQL.
 HOST_RULES = (host_rule("net", "/", "block"), host_rule("example.net", "/en/", "allow"), host_rule("example.com", "/de/", "block"), host_rule("org", "/fr/", "allow"))
 OWN_RULES = (
     pattern_rule(r"(?:.*\.)?ads[-.][^\x00]*\x00.*", ("ads",)),
-    pattern_rule(r"[^\x00]*\btrack(?:er|ing)?\b[^\x00]*\x00.*", ("track",)),
+    *(pattern_rule(rf"[^\x00]*(?a:\b{t}\b)[^\x00]*\x00.*", (t,)) for t in ("track", "tracker", "tracking")),
     pattern_rule(r"[^\x00]*\x00/(?:[^/]+/)*banner/.*", ("banner",)),
 )
 

@@ -24,3 +24,14 @@ def test_odd_urls(spark):
     for r in rows:
         assert tuple(r)[1:] == urls[r.url], r
     assert url_filters.judge(pages.limit(0)).count() == 0
+
+
+def test_tracking_words_fetch_their_rules(spark):
+    urls = ["http://tracker.a.com/", "http://x.tracking.b.org/", "http://track.a.com/x", "http://A.Tracker-x.com", "http://my_tracker.a.com/", "http://tracked.a.com/", "http://trackers.a.com/", "http://a.com/tracker/", "http://\u00e9tracking.a.com/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = [tuple(r) for r in url_filters.judge(pages).select("page_id", "judged.*").orderBy("page_id").collect()]
+    con = duckdb.connect()
+    con.execute("create table pages (page_id bigint, url varchar)")
+    con.executemany("insert into pages values (?, ?)", list(enumerate(urls)))
+    assert got == sorted(con.execute(queries.ORACLE_SQL["op3_url_filters"]).fetchall())
+    assert [r[4] for r in got] == ["block"] * 4 + ["allow"] * 4 + ["block"]
