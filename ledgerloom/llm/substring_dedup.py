@@ -1,9 +1,12 @@
 """Substring dedup by line and passage hashing.
 
-A text's units are its lines and, inside lines, pieces that end at sentence marks or before a capitalised or long word (cuts
-follow content, so a passage inside another line is cut alike). Units are normalised (lower case, white space collapsed) and hashed to 64 bits; digests are grouped globally, and the occurrence
-that comes first by (doc_id, place) is kept. Elsewhere a line of at least ``line_words`` words goes, and so does a run of
-neighbouring pieces (pieces under MIN_WORDS words neither make nor break a run) of at least ``run_words`` words.
+A text's words are what stands between white space, in lower case; scripts without spaces count a word for each two
+characters. Inside lines, pieces end at sentence marks or before a capitalised or long word (cuts follow content, so a
+passage inside another line is cut alike). Hashed to 64 bits are lines of at least ``line_words`` words and windows of
+exactly ``run_words`` words in sequence, over as many pieces as they span: from each piece's first word (and on from there
+in long pieces), and up to the last word of each line and sentence. Digests are grouped globally; the occurrence that comes
+first by (doc_id, place) is kept, and elsewhere the line or window goes. So what goes stands, word for word and at that
+length, in an earlier place; of a repeated passage, up to a piece may stay at either end.
 
 Rows are dealt to batches of about ``batch_bytes`` of text. A batch sends, for each of its distinct digests, the first
 occurrence to the digest's bucket (so a hot digest is one entry for each batch, not for each row); a bucket answers with
@@ -18,6 +21,7 @@ from __future__ import annotations
 import re
 
 from hashlib import blake2b
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -27,62 +31,63 @@ from pyspark.sql import types as T
 
 from .common import forget, parts, text_bytes
 
-CUT = re.compile(r"\s*\n\s*|(?<=[.!?。！？])\s+|\s+(?=[A-ZÀ-ÖØ-ÞΑ-ΩА-Я])|\s+(?=\w{8})|(?<=[。！？])(?=\S)")
-MIN_WORDS = 3
+CUT = re.compile(r"\s*\n\s*|(?<=[.!?。！？])\s+|\s+(?=[A-ZÀ-ÖØ-ÞΑ-ΩА-Я])|\s+(?=\w{8})|(?<=[。！？，、；：])(?=\S)")
+#: Letters of scripts that are written without spaces: Thai, Lao, Burmese, Khmer, kana and Han (fixed values).
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+HAS_UNSPACED = re.compile(f"[{UNSPACED}]")
+SPACED = re.compile(r"\S+")
+WORD = re.compile(rf"[{UNSPACED}]{{1,2}}|[^\s{UNSPACED}]+")
 REMOVED = "array<struct<start:int,end:int>>"
 
 
-def digest(unit: str, kind: bytes) -> int:
-    return int.from_bytes(blake2b(" ".join(unit.lower().split()).encode("utf-8", "surrogatepass"), digest_size=8, person=kind).digest(), "little")
-
-
-def units(text: str, line_words: int) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int, int, list[int]]]]:
-    """Pieces (start, end, words, digest or -1) and lines (start, end, digest or -1, its pieces' numbers), in order."""
-    pieces: list[tuple[int, int, int, int]] = []
-    lines: list[tuple[int, int, int, list[int]]] = []
-    line_start, own, at = 0, [], 0
-
-    def piece(start: int, end: int) -> None:
-        if end > start:
-            n = len(text[start:end].split())
-            if n:
-                own.append(len(pieces))
-                pieces.append((start, end, n, digest(text[start:end], b"piece") if n >= MIN_WORDS else -1))
-
-    def line(end: int) -> None:
-        if own:
-            n = sum(pieces[i][2] for i in own)
-            lines.append((line_start, end, digest(text[line_start:end], b"line") if n >= line_words else -1, list(own)))
-
-    for m in CUT.finditer(text):
-        piece(at, m.start())
-        if "\n" in m.group():
-            line(m.start())
-            line_start, own = m.end(), []
-        at = m.end()
-    piece(at, len(text))
-    line(len(text))
-    return pieces, lines
+def units(text: str) -> tuple[list[str], list[tuple[int, int, int, bool]], list[tuple[int, int, int, int]]]:
+    """Words; pieces (start, end, first word, whether it ends a line or sentence); lines (start, end, first, end word)."""
+    words: list[str] = []
+    pieces: list[tuple[int, int, int, bool]] = []
+    lines: list[tuple[int, int, int, int]] = []
+    split = WORD.findall if HAS_UNSPACED.search(text) else str.split
+    line_start, line_first, at = 0, 0, 0
+    for m in [*CUT.finditer(text), None]:
+        end, after = m.span() if m else (len(text), len(text))
+        ends_line = m is None or "\n" in text[end:after]
+        found = split(text[at:end].lower())
+        if found:
+            pieces.append((at, end, len(words), ends_line or text[end - 1] in ".!?。！？"))
+            words += found
+        if ends_line:
+            if len(words) > line_first:
+                lines.append((line_start, end, line_first, len(words)))
+            line_start, line_first = after, len(words)
+        at = after
+    return words, pieces, lines
+
+
+def digests(words: list[str], pieces: list[tuple], lines: list[tuple], line_words: int, run_words: int) -> tuple[dict[int, int], dict[int, int]]:
+    """Digests of the windows by their first word's number and of the lines by their own number."""
+    joined, at = " ".join(words), [0, *accumulate(len(w) + 1 for w in words)]
+
+    def of(first: int, end: int, kind: bytes) -> int:
+        return int.from_bytes(blake2b(joined[at[first] : at[end] - 1].encode("utf-8", "surrogatepass"), digest_size=8, person=kind).digest(), "little")
+
+    firsts = [p[2] for p in pieces]
+    ends = [*firsts[1:], len(words)]
+    starts = {u for a, e in zip(firsts, ends) for u in range(a, e, run_words) if u + run_words <= len(words)} | {e - run_words for p, e in zip(pieces, ends) if p[3] and e >= run_words}
+    return {u: of(u, u + run_words, b"run") for u in sorted(starts)}, {k: of(a, b, b"line") for k, (_, _, a, b) in enumerate(lines) if b - a >= line_words}
 
 
 def repeats(text: str, known: dict[int, tuple[int, int]], doc: int, line_words: int, run_words: int) -> list[tuple[int, int]]:
-    """Spans to remove: known has the first (doc, place) of each repeated digest; places count pieces, then lines."""
-    pieces, lines = units(text, line_words)
-    gone = [p[3] != -1 and (first := known.get(p[3])) is not None and first != (doc, i) for i, p in enumerate(pieces)]
-    spans, start = [], None
-    for i in [*range(len(pieces)), None]:
-        if i is not None and gone[i]:
-            start, words, end = (i, pieces[i][2], i) if start is None else (start, words + pieces[i][2] + between, i)
-            between = 0
-        elif i is not None and pieces[i][3] == -1 and start is not None:
-            between += pieces[i][2]
-        elif start is not None:
-            if words >= run_words:
-                spans.append((pieces[start][0], pieces[end][1]))
-            start = None
-    for k, (a, b, d, _) in enumerate(lines):
-        if d != -1 and (first := known.get(d)) is not None and first != (doc, len(pieces) + k):
-            spans.append((a, b))
+    """Spans to remove: known has the first (doc, place) of each repeated digest; a place is a window's or a line's number."""
+    words, pieces, lines = units(text)
+    windows, whole = digests(words, pieces, lines, line_words, run_words)
+
+    def again(found: dict[int, int]) -> list[int]:
+        return [i for i, d in found.items() if (first := known.get(d)) is not None and first != (doc, i)]
+
+    spans = [lines[k][:2] for k in again(whole)]
+    gone = again(windows)
+    if gone:
+        places = [(p[0] + m.start(), p[0] + m.end()) for p in pieces for m in (WORD if HAS_UNSPACED.search(text) else SPACED).finditer(text[p[0] : p[1]])]
+        spans += [(places[u][0], places[u + run_words - 1][1]) for u in gone]
     merged: list[tuple[int, int]] = []
     for a, b in sorted(spans):
         if merged and (a <= merged[-1][1] or not text[merged[-1][1] : a].strip()):
@@ -129,24 +134,22 @@ def dedup(docs: DataFrame, line_words: int = 8, run_words: int = 25, batch_bytes
         found, at = [], []
         for doc, text in zip(rows[id_at], rows[text_at]):
             if isinstance(text, str):
-                pieces, lines = units(text, line_words)
-                own = [p[3] for p in pieces] + [u[2] for u in lines]
-                found += own
-                at += [(_doc(doc), i) for i in range(len(own))]
+                for own in digests(*units(text), line_words, run_words):
+                    found += own.values()
+                    at += [(_doc(doc), i) for i in own]
         if not found:
             return pd.DataFrame({"bucket": pd.Series(dtype="int32"), "batch": pd.Series(dtype="int32"), "entries": pd.Series(dtype=object)})
-        has = np.array([d != -1 for d in found])
-        digests = np.array([d & 0xFFFFFFFFFFFFFFFF for d in found], dtype=np.uint64)[has]
-        doc_ids, places = (np.array(x, dtype=np.int64)[has] for x in zip(*at))
-        order = np.lexsort((places, doc_ids, digests))
-        digests, doc_ids, places = digests[order], doc_ids[order], places[order]
-        first = np.flatnonzero(np.r_[True, digests[1:] != digests[:-1]]) if len(digests) else np.zeros(0, dtype=int)
-        counts = np.diff(np.r_[first, len(digests)])
-        digests, doc_ids, places = digests[first], doc_ids[first], places[first] * 2 + (counts > 1)
-        bucket = (digests >> np.uint64(20)) % np.uint64(buckets)
+        hashed = np.array(found, dtype=np.uint64)
+        doc_ids, places = (np.array(x, dtype=np.int64) for x in zip(*at))
+        order = np.lexsort((places, doc_ids, hashed))
+        hashed, doc_ids, places = hashed[order], doc_ids[order], places[order]
+        first = np.flatnonzero(np.r_[True, hashed[1:] != hashed[:-1]])
+        counts = np.diff(np.r_[first, len(hashed)])
+        hashed, doc_ids, places = hashed[first], doc_ids[first], places[first] * 2 + (counts > 1)
+        bucket = (hashed >> np.uint64(20)) % np.uint64(buckets)
         order = np.argsort(bucket, kind="stable")
         ends = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
-        out = [(b, key[0], pack(digests[i], doc_ids[i], places[i])) for b in range(buckets) if len(i := order[ends[b] : ends[b + 1]])]
+        out = [(b, key[0], pack(hashed[i], doc_ids[i], places[i])) for b in range(buckets) if len(i := order[ends[b] : ends[b + 1]])]
         return pd.DataFrame(out, columns=["bucket", "batch", "entries"])
 
     def answer(rows: pd.DataFrame) -> pd.DataFrame:

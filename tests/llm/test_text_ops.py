@@ -192,6 +192,56 @@ def test_substring_dedup(spark):
     assert substring_dedup.dedup(docs.limit(0)).count() == 0
 
 
+def test_substring_dedup_keeps_unique_text(spark):
+    """Short unique lines or unspaced text between repeated lines, and phrases each of another document, stay."""
+    head, foot = "Price list of our own shop", "See you in the shop again"
+    lists = {i: "\n".join([head, *(f"n{i}x{j} {i * 7000 + j}" for j in range(200)), foot]) for i in (1, 2)}
+    han = {i: "\n".join([head, "".join(chr(0x4E00 + (i * 997 + j * j * 31) % 20000) for j in range(300)), foot]) for i in (3, 4)}
+    phrases = [f"It was p{k} said then" for k in range(12)]
+    single = {10 + k: f"Some q{k} other words. {p}. More q{k} follows here." for k, p in enumerate(phrases)}
+    passage = "".join(chr(0x5000 + j * j * 17 % 9000) for j in range(120))
+    rows = lists | han | single | {50: ". ".join(phrases) + ".", 60: f"\u4e00\u3002{passage}\u3002", 61: f"\u4e8c\u4e09\u3002{passage}\u3002\u56db"}
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    got = {r.doc_id: r.kept_text for r in substring_dedup.dedup(docs, batch_bytes=4000, bucket_bytes=3000).collect()}
+    assert {i for i in rows if got[i] != rows[i]} == {61} and got[61] == "\u4e8c\u4e09\u3002\u56db"
+
+
+def test_substring_dedup_against_brute_force(spark):
+    """Each word that goes lies in a line or in 25 words that stand in an earlier place; passages of 40 words go."""
+    rng = random.Random(9)
+    vocabulary = ["the", "of", "and", "River", "mountain", "walked", "to", "In", "small.", "yes!", "no\n", "Somewhere"]
+    made = lambda n: " ".join(rng.choice(vocabulary) + ("" if rng.random() < 0.8 else str(rng.randrange(300))) for _ in range(n))
+    shared = [made(n) for n in (20, 24, 30, 40, 60)]
+    rows = {i: " ".join([made(30), rng.choice(shared), made(rng.choice([1, 10])), rng.choice(shared), made(20)]) for i in range(40)}
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    got = {r.doc_id: r for r in substring_dedup.dedup(docs, batch_bytes=3000, bucket_bytes=2000).collect()}
+    seen, n_gone = set(), 0
+    for i in sorted(rows):
+        words = [(m.start(), m.group().lower()) for m in re.finditer(r"\S+", rows[i])]
+        held = set()
+        for k in range(len(words) - 24):
+            window = tuple(w for _, w in words[k : k + 25])
+            if window in seen:
+                held |= set(range(k, k + 25))
+            seen.add(window)
+        at = 0
+        for line in rows[i].split("\n"):
+            own = tuple(line.lower().split())
+            if len(own) >= 8:
+                if ("line", own) in seen:
+                    held |= set(range(at, at + len(own)))
+                seen.add(("line", own))
+            at += len(own)
+        gone = {k for k, (a, _) in enumerate(words) if any(s.start <= a < s.end for s in got[i].removed)}
+        assert gone <= held
+        n_gone += len(gone)
+    assert n_gone > 0
+    first = {p: min(i for i in rows if p in rows[i]) for p in shared if len(p.split()) >= 40}
+    for p, i in first.items():
+        middle = " ".join(p.split()[12:28])
+        assert all(middle not in " ".join(got[j].kept_text.split()) for j in rows if j > i)
+
+
 def test_substring_dedup_on_documents(spark, sf_dir, texts):
     """No passage of 50 words is left twice, against a scan of all windows; what is kept is what the spans leave."""
     got = {r.doc_id: r for r in queries.op5_substring_dedup(spark, sf_dir).collect()}
