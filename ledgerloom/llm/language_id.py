@@ -1,9 +1,10 @@
 """Language identification, word first: known words score by their log frequency in each language; an unknown word backs
 off to its character n-grams, the longest length of which any is known, down to single letters.
 
-Training counts words and n-grams with Spark over a sample of labelled rows of about ``sample_rows`` (a documented bound:
-rows are taken by hash of their text, so the sample does not depend on partitions); the model keeps the ``words`` and
-``grams`` most frequent entries, so its size is bounded and it is sent to every task. Prediction reads whole texts.
+Training counts words and n-grams with Spark over a sample of labelled rows of about ``sample_rows`` (a documented bound: all
+rows of small languages, equal parts of the others, by hash of text and doc_id, so the sample does not depend on partitions);
+the model keeps ``words`` and ``grams`` entries, from each language's most frequent ones in turn, so its size is bounded and it
+is sent to every task. Prediction reads whole texts.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0, and so is every text when no labelled row
 is left to learn from. The score is the posterior of the best language under equal priors; ties go to the smaller name.
@@ -18,7 +19,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import forget, small_batches
@@ -45,10 +46,13 @@ def held_out(doc_id: Column) -> Column:
 
 def train(labelled: DataFrame, sample_rows: int = 20_000, words: int = 60_000, grams: int = 120_000) -> Model:
     """Learns from labelled (text, lang), both not null."""
-    labelled = labelled.where("text is not null and lang is not null").select("text", "lang")
-    rows = labelled.count()
-    if rows > sample_rows:
-        labelled = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < max(1, (sample_rows << 20) // rows))
+    drawn = F.pmod(F.xxhash64(*[c for c in ("text", "doc_id") if c in labelled.columns]), F.lit(1 << 40))
+    labelled = labelled.where("text is not null and lang is not null").select("text", "lang", drawn.alias("drawn"))
+    rows = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    share = {lang: max(1, (most << 40) // rows[lang]) for lang, most in bounds(rows, sample_rows).items() if most < rows[lang]}
+    if share:
+        least = F.create_map(*[F.lit(x) for pair in share.items() for x in pair])
+        labelled = labelled.where(F.coalesce(F.col("drawn") < least[F.col("lang")], F.lit(True)))
     split = F.split(F.lower("text"), r"[^\p{L}]+")
     counted = labelled.select("lang", F.explode(split).alias("word")).where("word <> ''").groupBy("lang", "word").count()
     counted = counted.persist()
@@ -73,16 +77,30 @@ def train(labelled: DataFrame, sample_rows: int = 20_000, words: int = 60_000, g
     return model
 
 
+def bounds(rows: dict[str, int], sample_rows: int) -> dict[str, int]:
+    """Rows to take of each language: all of small ones, and of the others equal parts of what these leave."""
+    out, left = {}, sample_rows
+    for k, lang in enumerate(sorted(rows, key=lambda x: (rows[x], x))):
+        out[lang] = min(rows[lang], max(1, left // (len(rows) - k)))
+        left -= out[lang]
+    return out
+
+
 def _scores(counts: DataFrame, most: int, languages: list[str]) -> tuple[list[str], np.ndarray]:
-    """Smoothed log frequencies of the `most` entries with the largest counts over all languages (ties: smaller text)."""
-    by = counts.groupBy("word").pivot("lang", languages).agg(F.sum("count")) if languages else None
-    if by is None:
+    """Smoothed log frequencies of `most` entries, taken from each language's most frequent ones in turn (ties: larger count
+    over all, smaller text). What a language lacks has the same frequency in each, however few rows it has."""
+    if not languages:
         return [], np.zeros((0, 0))
+    by = counts.groupBy("word").pivot("lang", languages).agg(F.sum("count"))
     columns = [F.coalesce(F.col(f"`{x}`"), F.lit(0)) for x in languages]
     table = by.select("word", F.array(*columns).alias("counts")).withColumn("total", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x))
-    top = table.where("total > 1").orderBy(F.desc("total"), "word").limit(most).select("word", "counts").toArrow()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))
+    best = counts.withColumn("rank", rank).where(F.col("rank") <= most).groupBy("word").agg(F.min("rank").alias("rank"))
+    top = table.where("total > 1").join(best, "word").orderBy("rank", F.desc("total"), "word").limit(most).select("word", "counts").toArrow()
     counted = np.asarray(top["counts"].combine_chunks().flatten(), dtype=float).reshape(top.num_rows, len(languages))
-    return top["word"].to_pylist(), np.log((counted + 0.5) / (counted.sum(axis=0) + 0.5 * max(1, top.num_rows)))
+    sums = np.maximum(counted.sum(axis=0), 1)
+    floor = 0.5 / sums.max()
+    return top["word"].to_pylist(), np.log((counted / sums + floor) / (1 + floor * max(1, top.num_rows)))
 
 
 class Predictor:

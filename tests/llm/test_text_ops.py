@@ -273,3 +273,18 @@ def test_language_id_odd_rows(spark):
     assert Counter(got)[4, "en", "clash"] == 2 and (1, "und", "clash") in got and (2, "und", "clash") in got and (3, "und", "clash") in got and (5, "de", "clash") in got
     nothing = language_id.train(labelled.limit(0))
     assert {r.language.lang_pred for r in language_id.predict(docs, nothing).collect()} == {"und"}
+
+
+def test_language_id_of_few_rows(spark):
+    """A language of few rows beside large ones is learned; a text copied into many rows is neither all in nor all out."""
+    rng = random.Random(3)
+    vocabulary = {x: ["".join(rng.choices(letters, k=6)) for _ in range(200)] for x, letters in (("aa", "abcdefgh"), ("bb", "ijklmnop"), ("cc", "qrstuvwxyz"))}
+    text = lambda x: " ".join(rng.choices(vocabulary[x][:40] if x == "cc" else vocabulary[x], k=20))
+    rows = [(i, text("aa"), "aa") for i in range(2000)] + [(i, "copied words", "bb") for i in range(2000, 4000)] + [(i, text("bb"), "bb") for i in range(4000, 5000)] + [(i, text("cc"), "cc") for i in range(5000, 5006)]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(labelled, sample_rows=100, words=60, grams=300)
+    assert model.languages == ["aa", "bb", "cc"] and {"copied", "words"} <= set(model.words)
+    assert all(sum(w in vocabulary[x] for w in model.words) >= 12 for x in vocabulary)
+    docs = spark.createDataFrame([(x, text(x)) for x in vocabulary for _ in range(10)], "want string, text string")
+    assert all(r.want == r.language.lang_pred for r in language_id.predict(docs, model).collect())
+    assert language_id.bounds({"a": 5, "b": 1000, "c": 50}, 100) == {"a": 5, "c": 47, "b": 48}
