@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from .common import written
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, component) of each node of edges (a, b). Each round's edges are written to the shared folder.
+def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
+    """(node, component) of each node of edges (a, b). Each round's edges are written to the shared folder; rounds go with the
+    logarithm of the longest path, and not to have converged after `rounds` of them is an error.
 
     A large star links each node's larger neighbours to its smallest one, a small star its smaller ones; neither grows
     the number of edges, and a hub's neighbours are aggregated, not collected.
@@ -27,6 +28,9 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         before, state = state, _state(edges)
         if before == state:
             break
+    else:
+        if state[0]:
+            raise RuntimeError(f"components have not converged in {rounds} rounds")
     stars = edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     return stars.unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()).groupBy("node").agg(F.min("component").alias("component"))
 
