@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEGMENTS, PieceCache, per_worker, small_batches
+from .common import PieceCache, per_worker, small_batches
 
 LONG_WORD = 128
 BLOCK_BYTES = 100_000
@@ -72,7 +72,7 @@ class Tables:
         self.con.execute("CREATE TABLE merges AS SELECT * FROM merges")
         self.con.execute("CREATE TABLE vocabulary AS SELECT * FROM vocabulary")
         del merges, vocabulary
-        self.cache = PieceCache(self.encode_pieces, SEGMENTS)
+        self.cache = PieceCache(self.encode_pieces)
 
     def encode_pieces(self, pieces: list[str]) -> list[bytes]:
         cut = [[w.encode() for w in self.words(p)] for p in pieces]

@@ -18,18 +18,24 @@ WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORDS = re.compile(f"[^{WHITE}]+")
 SEGMENTS = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 #: What keeps a text from being cut by str.split and str.replace alone, with the same result.
-NOT_PLAIN_WORDS = re.compile("[\x1c-\x1f]")
-NOT_PLAIN_SEGMENTS = re.compile(f"[\0\t\x0b-\r\x85\xa0{WHITE[WHITE.index(chr(92) + 'u1680'):]}]|[ \n][ \n]")
+ODD_WORD_ENDS = ("\x1c", "\x1d", "\x1e", "\x1f")
+ODD_SPACE = ("  ", "\n\n", " \n", "\n ", "\0", "\t", "\x0b", "\x0c", "\r")
+ODD_WIDE_SPACE = ("\x85", "\xa0", "\u1680", *map(chr, range(0x2000, 0x200B)), "\u2028", "\u2029", "\u202f", "\u205f", "\u3000")
 
 
 def cut_words(text: str) -> list[str]:
     """WORDS.findall(text)."""
-    return WORDS.findall(text) if NOT_PLAIN_WORDS.search(text) else text.split()
+    return WORDS.findall(text) if any(x in text for x in ODD_WORD_ENDS) else text.split()
+
+
+def plain(text: str) -> bool:
+    """Whether the text's white space is single spaces and line breaks, and it has no NUL."""
+    return not any(x in text for x in ODD_SPACE) and (text.isascii() or not any(x in text for x in ODD_WIDE_SPACE))
 
 
 def cut_segments(text: str) -> list[str]:
     """SEGMENTS.findall(text), but that an empty piece may come first."""
-    return SEGMENTS.findall(text) if NOT_PLAIN_SEGMENTS.search(text) else text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
+    return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0") if plain(text) else SEGMENTS.findall(text)
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -70,9 +76,8 @@ class PieceCache:
     a worker sees (frequent ones come early); others live for one chunk of texts, so memory is bounded.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], split: re.Pattern = SEGMENTS, limit: int = 250_000):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 250_000):
         self.encode, self.limit, self.known = encode, limit, {}
-        self.cut = cut_words if split.pattern == WORDS.pattern else cut_segments
 
     def texts(self, texts: Iterable[str | None], chunk_chars: int = 1_000_000) -> Iterable[bytes]:
         chunk, chars = [], 0
@@ -87,7 +92,7 @@ class PieceCache:
 
     def _chunk(self, texts: list[str]) -> list[bytes]:
         known = self.known
-        pieces = [self.cut(t) for t in texts]
+        pieces = [cut_segments(t) for t in texts]
         new = list({p for ps in pieces for p in ps if p not in known})
         if new:
             known.update(zip(new, self.encode(new), strict=True))
@@ -132,57 +137,75 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(256 + n) for n, b in enumerate(other)}
 
 
-def library_encoder(path: str, split: re.Pattern, width: str = "<u4", limit: int = 120_000, most_words: int = 350_000) -> PieceCache:
-    """The tokenizers library's file at path, piece by piece; strings of special tokens in a text are ordinary text.
+class LibraryEncoder(dict):
+    """Ids of texts by the tokenizers library's file at path, piece by piece; strings of special tokens are ordinary text.
 
-    Words of Latin pieces go to the library's model one by one and are remembered; other pieces take its whole pipeline.
-    At most ``limit`` pieces and ``most_words`` words are remembered.
-    ``split`` is WORDS for the lower-casing tokenizer with word ends, SEGMENTS for byte-level ones.
+    Pieces never influence each other. Words of Latin pieces go to the library's model one by one; other pieces take its whole
+    pipeline. The dict holds the first ``pieces`` short pieces that a worker meets, and ``words`` as many of their words, so
+    memory is bounded. Its keys stand for a space and the key, or for the key alone if that starts with a line break or,
+    without it, after a NUL; with ``lower`` (the lower-casing tokenizer with word ends) for the key.
     """
 
-    def make() -> PieceCache:
+    def __init__(self, path: str, lower: bool, width: str, pieces: int, words: int):
         import unicodedata
 
         import regex
 
+        if sys.byteorder != "little":
+            raise RuntimeError("ids are written by little-endian machines")
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True
-        tokenize, letters, lower = tok.model.tokenize, byte_letters(), split.pattern == WORDS.pattern
-        ascii_words = (ASCII_LOWER_WORDS if lower else ASCII_BYTE_WORDS).findall
-        latin_words = regex.compile(LOWER_WORDS if lower else BYTE_WORDS).findall
-        code, space = {"<u2": "H", "<u4": "I"}[width], letters[32]
-        words: dict[str, bytes] = {}
-
-        def word_ids(word: str) -> bytes:
-            if word.isascii() and word.isprintable():
-                spelled = word.replace(" ", space)
-            else:
-                spelled = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(letters)
-            ids = array(code, [t.id for t in tokenize(spelled)]).tobytes()
-            if len(words) < most_words and len(word) <= 64:
-                words[word] = ids
-            return ids
-
-        def encode(pieces: list[str]) -> list[bytes]:
-            out: list[bytes | None] = []
-            for p in pieces:
-                if p.isascii():
-                    ws = ascii_words(p.lower() if lower else p)
-                elif max(p) < FAR_LETTER:
-                    ws = latin_words(unicodedata.normalize("NFC", p).lower() if lower else p)
-                else:
-                    out.append(None)
-                    continue
-                out.append(b"".join([words.get(w) or word_ids(w) for w in ws]))
-            rest = [p for p, ids in zip(pieces, out) if ids is None]
-            encoded = iter(tok.encode_batch_fast(rest, add_special_tokens=False) if rest else ())
-            return [array(code, next(encoded).ids).tobytes() if ids is None else ids for ids in out]
+        self.tok = Tokenizer.from_file(path)
+        self.tok.encode_special_tokens = True
+        self.tokenize, self.letters, self.lower, self.normal = self.tok.model.tokenize, byte_letters(), lower, unicodedata.normalize
+        self.ascii_words = (ASCII_LOWER_WORDS if lower else ASCII_BYTE_WORDS).findall
+        self.latin_words = regex.compile(LOWER_WORDS if lower else BYTE_WORDS).findall
+        self.code, self.pieces, self.most_words, self.words = {"<u2": "H", "<u4": "I"}[width], pieces, words, {}
+
+    def word(self, word: str) -> bytes:
+        if word.isascii() and word.isprintable():
+            spelled = word.replace(" ", self.letters[32])
+        else:
+            spelled = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
+        ids = array(self.code, [t.id for t in self.tokenize(spelled)]).tobytes()
+        if len(self.words) < self.most_words and len(word) <= 64:
+            self.words[word] = ids
+        return ids
+
+    def __missing__(self, key: str) -> bytes:
+        piece = key if self.lower or key[:1] == "\n" else key[1:] if key[:1] == "\0" else " " + key
+        if piece.isascii():
+            own = self.ascii_words(piece.lower() if self.lower else piece)
+        elif max(piece) < FAR_LETTER:
+            own = self.latin_words(self.normal("NFC", piece).lower() if self.lower else piece)
+        else:
+            own = None
+        if own is None:
+            ids = array(self.code, self.tok.encode_batch_fast([piece], add_special_tokens=False)[0].ids).tobytes()
+        else:
+            known = self.words
+            ids = b"".join([known.get(w) or self.word(w) for w in own])
+        if len(self) < self.pieces and len(key) <= 64:
+            self[key] = ids
+        return ids
+
+    def keys_of(self, text: str) -> list[str]:
+        if self.lower:
+            return cut_words(text)
+        if plain(text):
+            own = text.replace("\n", " \n").split(" ")
+            if own[0][:1] != "\n":
+                own[0] = "\0" + own[0]
+            return own
+        return ["\0" + p for p in SEGMENTS.findall(text)]
+
+    def texts(self, texts: Iterable[str | None]) -> Iterable[bytes]:
+        get = self.__getitem__
+        for t in texts:
+            yield b"".join(map(get, self.keys_of(t))) if t else b""
 
-        if sys.byteorder != "little":
-            raise RuntimeError("ids are written by little-endian machines")
-        return PieceCache(encode, split, limit)
 
-    return per_worker((path, split.pattern, width), make)
+def library_encoder(path: str, lower: bool, width: str = "<u4", pieces: int = 400_000, words: int = 350_000) -> LibraryEncoder:
+    """The worker's encoder: ``lower`` for the lower-casing tokenizer with word ends, else the byte-level one."""
+    return per_worker((path, lower, width), lambda: LibraryEncoder(path, lower, width, pieces, words))

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import WORDS, library_encoder, small_batches
+from .common import library_encoder, small_batches
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -117,7 +117,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 2
         return out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = library_encoder(vocabulary, WORDS, limit=250_000, most_words=500_000)
+        encoder = library_encoder(vocabulary, lower=True)
         end = np.array([end_id], dtype="<u4").tobytes()
         ids, doc_ids, tokens, number = [], [], 0, 0
         for batch in batches:

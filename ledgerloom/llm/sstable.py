@@ -15,20 +15,22 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SEGMENTS, library_encoder, parts, shared_dir, small_batches, text_bytes, written
+from .common import library_encoder, parts, shared_dir, small_batches, text_bytes, written
 
 MAGIC = b"LLSST\x00\x00\x01"
 FOOTER = struct.Struct("<QQQQQQB7x8s")  # index at, Bloom at, Bloom bits, hashes, entries, ids, id width, magic
-META = "shard string, first_key binary, last_key binary, n_docs long, n_ids long, bytes long"
+META = "number long, shard string, first_key binary, last_key binary, n_docs long, n_ids long, bytes long"
+GROUP, MAX_GROUPS = 1_000, 100_000  # shards of a group; groups whose bounds a lookup sends to its tasks, at most
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -41,7 +43,8 @@ def doc_of(key: bytes) -> int | None:
 
 
 def _bloom_at(key: bytes, bits: int, hashes: int) -> list[int]:
-    a, b = zlib.crc32(key), zlib.crc32(key, 0x9E3779B9) | 1
+    a, b = struct.unpack("<QQ", blake2b(key, digest_size=16).digest())
+    b |= 1
     return [(a + i * b) % bits for i in range(hashes)]
 
 
@@ -152,7 +155,8 @@ def write(docs: DataFrame, encode: Callable[[], object], end_id: int, width: int
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, base = _files(folder)
         store.create_dir(base, recursive=True)
-        name = f"part-{TaskContext.get().partitionId():06d}.sst"
+        number = TaskContext.get().partitionId()
+        name = f"part-{number:08d}.sst"
         temporary = f"{base}/.{name}.{uuid.uuid4().hex}"
         encoder, end, first, key = encode(), end_id.to_bytes(width, "little"), None, None
         with store.open_output_stream(temporary) as out:
@@ -168,7 +172,7 @@ def write(docs: DataFrame, encode: Callable[[], object], end_id: int, width: int
             store.delete_file(temporary)
             return
         store.move(temporary, f"{base}/{name}")
-        yield pd.DataFrame({"shard": [f"{folder}/{name}"], "first_key": [first], "last_key": [key], "n_docs": [len(writer.keys)], "n_ids": [writer.ids], "bytes": [size]})
+        yield pd.DataFrame({"number": [number], "shard": [f"{folder}/{name}"], "first_key": [first], "last_key": [key], "n_docs": [len(writer.keys)], "n_ids": [writer.ids], "bytes": [size]})
 
     n = parts(text_bytes(docs), shard_bytes)
     dealt = small_batches(docs).select("doc_id", "text").withColumn("h", F.xxhash64("text"))
@@ -176,16 +180,17 @@ def write(docs: DataFrame, encode: Callable[[], object], end_id: int, width: int
     return written(dealt.mapInPandas(run, META), "sstable-meta")
 
 
-def read(shards: DataFrame) -> DataFrame:
-    """ROWS for each document of the shards: where its ids start among all, how many, and their crc32 as uint32.
+def starts(shards: DataFrame) -> DataFrame:
+    """(number, shard, start): how many ids come before each shard; sums inside groups of shards, then over groups."""
+    before = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    grouped = shards.select("number", "shard", "n_ids", F.floor(F.col("number") / GROUP).alias("group"))
+    groups = grouped.groupBy("group").agg(F.sum("n_ids").alias("n_ids")).select("group", before(Window.orderBy("group")).alias("base"))
+    inside = grouped.withColumn("inside", before(Window.partitionBy("group").orderBy("number")))
+    return inside.join(groups, "group").select("number", "shard", (F.col("base") + F.col("inside")).alias("start"))
 
-    The driver holds a row for each shard (bounded by the data over the shard size), never one for each document.
-    """
-    spark = shards.sparkSession
-    starts, total = [], 0
-    for r in shards.select("shard", "n_ids").orderBy("shard").collect():
-        starts.append((r["shard"], total))
-        total += r["n_ids"]
+
+def read(shards: DataFrame) -> DataFrame:
+    """ROWS for each document of the shards: where its ids start among all, how many, and their crc32 as uint32."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -202,7 +207,7 @@ def read(shards: DataFrame) -> DataFrame:
                             rows = []
                     yield _frame(rows)
 
-    return spark.createDataFrame(starts, "shard string, start long").repartition(max(1, len(starts))).mapInPandas(run, ROWS)
+    return starts(shards).repartition(max(1, shards.count()), "number").select("shard", "start").mapInPandas(run, ROWS)
 
 
 def _frame(rows: list) -> pd.DataFrame:
@@ -213,22 +218,28 @@ def _frame(rows: list) -> pd.DataFrame:
 def lookup(shards: DataFrame, keys: DataFrame) -> DataFrame:
     """(doc_id, ids array<long>) for each entry whose doc_id is in keys; keys without an entry give no row.
 
-    Keys join the shards whose range can hold them; each shard answers its own keys by Bloom filter and binary search.
+    Keys go to the groups of shards whose range can hold them, there to the shards, and each shard answers its own keys by
+    Bloom filter and binary search. Bounds of groups are sent to all tasks; more than MAX_GROUPS of them are an error.
     """
-    bounds = [(r["shard"], bytes(r["first_key"]), bytes(r["last_key"])) for r in shards.orderBy("shard").collect()]
+    grouped = shards.withColumn("group", F.floor(F.col("number") / GROUP))
+    bounds = [(r["group"], bytes(r["first"]), bytes(r["last"])) for r in grouped.groupBy("group").agg(F.min("first_key").alias("first"), F.max("last_key").alias("last")).orderBy("group").limit(MAX_GROUPS + 1).collect()]
+    if len(bounds) > MAX_GROUPS:
+        raise ValueError(f"more than {MAX_GROUPS} groups of shards")
+    firsts, lasts = [b[1] for b in bounds], [b[2] for b in bounds]
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf("array<long>")
     def owners(ids: pd.Series) -> pd.Series:
-        firsts = [b[1] for b in bounds]
+        keys = [key_of(None if pd.isna(k) else int(k)) for k in ids]
+        return pd.Series([[bounds[i][0] for i in range(bisect_left(lasts, k), bisect_right(firsts, k))] for k in keys])
+
+    def find(asked: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("number")
+        low, high, names = [bytes(k) for k in own["first_key"]], [bytes(k) for k in own["last_key"]], own["shard"].tolist()
         found = []
-        for k in ids:
-            key, mine = key_of(None if pd.isna(k) else int(k)), []
-            i = bisect_right(firsts, key) - 1
-            while i >= 0 and bounds[i][2] >= key:
-                mine.append(bounds[i][0])
-                i -= 1
-            found.append(mine)
-        return pd.Series(found)
+        for doc_id in asked["doc_id"]:
+            k = key_of(None if pd.isna(doc_id) else int(doc_id))
+            found += [(doc_id, names[i]) for i in range(bisect_left(high, k), bisect_right(low, k))]
+        return pd.DataFrame(found, columns=["doc_id", "shard"]).astype({"doc_id": "Int64"})
 
     def answer(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         store, path = _files(key[0])
@@ -240,10 +251,11 @@ def lookup(shards: DataFrame, keys: DataFrame) -> DataFrame:
         frame = pd.DataFrame(out, columns=["doc_id", "ids"])
         return frame.astype({"doc_id": "Int64"})
 
-    wanted = keys.select("doc_id").distinct().withColumn("shard", F.explode(owners(F.col("doc_id"))))
+    asked = keys.select("doc_id").distinct().withColumn("group", F.explode(owners(F.col("doc_id"))))
+    wanted = asked.groupBy("group").cogroup(grouped.select("group", "number", "shard", "first_key", "last_key").groupBy("group")).applyInPandas(find, "doc_id long, shard string")
     return wanted.groupBy("shard").applyInPandas(answer, "doc_id long, ids array<long>")
 
 
 def token_table(docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFrame:
     """Encodes docs by the tokenizers file at vocabulary (ids below 65,536) and returns the shards' META rows."""
-    return write(docs, lambda: library_encoder(vocabulary, SEGMENTS, "<u2"), end_id)
+    return write(docs, lambda: library_encoder(vocabulary, lower=False, width="<u2"), end_id)

@@ -9,7 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from ledgerloom.llm import packing, queries, sstable
-from ledgerloom.llm.common import SEGMENTS, WORDS, library_encoder
+from ledgerloom.llm.common import library_encoder
 
 ODD = ["\u00c0\u00c9 \u00df\u0130x \u01c5 \u00b2\u00bd3 na\u00efve\u00a0\u00ad\u0085x", "A\u030a J\u030c \u03a3\u03a3 \u0141\u00d3D\u0179'S \u0149 \u212b", None, "", " ", "a  b   c\n\n d", "\x1c!\x1d!", "don't  'll\t\u3000x\u2003 \u00e9e\u0301 \u0130\u03a3\u03c3 123 4 <|endoftext|>", "w" * 5000, "\u4e2d\u6587\u6ca1\u6709\u7a7a\u683c", "trail  ", "\x00\x7f it's \x0b_-\x1f OK\x0c'LL ~!", "\r\n x"]
 
@@ -20,10 +20,10 @@ def reference(name):
     return lambda t: tok.encode(t or "", add_special_tokens=False).ids
 
 
-@pytest.mark.parametrize("name, split", [("word_bpe_49k.json", WORDS), ("byte_bpe_50k.json", SEGMENTS)])
-def test_pieces_equal_whole_texts(name, split):
+@pytest.mark.parametrize("name, lower", [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+def test_pieces_equal_whole_texts(name, lower):
     whole = reference(name)
-    got = [np.frombuffer(x, "<u4").tolist() for x in library_encoder(public_tokenizers.path(name), split).texts(ODD)]
+    got = [np.frombuffer(x, "<u4").tolist() for x in library_encoder(public_tokenizers.path(name), lower).texts(ODD)]
     assert got == [whole(t) for t in ODD]
 
 
@@ -88,13 +88,31 @@ def test_sstable_round_trip(spark, sf_dir):
 
 def test_sstable_lookup_and_odd_rows(spark):
     whole = reference("byte_bpe_50k.json")
-    shards = sstable.write(documents(spark), lambda: library_encoder(public_tokenizers.path("byte_bpe_50k.json"), SEGMENTS, "<u2"), 2, shard_bytes=2000)
+    shards = sstable.write(documents(spark), lambda: library_encoder(public_tokenizers.path("byte_bpe_50k.json"), False, "<u2"), 2, shard_bytes=2000)
     assert shards.count() > 1
     rows = sstable.read(shards).collect()
     assert len(rows) == len(ODD) + 2
     keys = spark.createDataFrame([(0,), (3,), (None,), (99,), (-5,)], "doc_id long")
     got = sorted(((r.doc_id, r.ids) for r in sstable.lookup(shards, keys).collect()), key=str)
-    want = [(0, [2]), (3, whole(ODD[3]) + [2]), (3, whole(ODD[3]) + [2]), (None, whole("no id") + [2])]
+    want = [(i, whole(ODD[i]) + [2]) for i in (0, 3, 3)] + [(None, whole("no id") + [2])]
     assert got == sorted(want, key=str)
-    empty = sstable.write(documents(spark).limit(0), lambda: library_encoder(public_tokenizers.path("byte_bpe_50k.json"), SEGMENTS, "<u2"), 2)
+    empty = sstable.write(documents(spark).limit(0), lambda: library_encoder(public_tokenizers.path("byte_bpe_50k.json"), False, "<u2"), 2)
     assert sstable.read(empty).count() == 0
+
+
+def test_sstable_groups_and_bloom_filter(spark, monkeypatch):
+    monkeypatch.setattr(sstable, "GROUP", 2)
+    rows = [(i // 3, "word " * (i % 7)) for i in range(300)]
+    shards = sstable.write(spark.createDataFrame(rows, "doc_id long, text string"), lambda: library_encoder(public_tokenizers.path("byte_bpe_50k.json"), False, "<u2"), 2, shard_bytes=300)
+    assert shards.count() > 6
+    at = {}
+    for r in sorted(sstable.read(shards).collect(), key=lambda r: r.start):
+        at.setdefault("next", 0)
+        assert r.start == at["next"]
+        at["next"] += r.n_tokens
+    found = sstable.lookup(shards, spark.range(-5, 200).withColumnRenamed("id", "doc_id")).groupBy("doc_id").count().collect()
+    assert sorted((r["doc_id"], r["count"]) for r in found) == [(i, 3) for i in range(100)]
+    keys, bits = [sstable.key_of(i) for i in range(20_000)], 200_000
+    held = {b for k in keys for b in sstable._bloom_at(k, bits, 7)}
+    wrong = sum(all(b in held for b in sstable._bloom_at(sstable.key_of(i), bits, 7)) for i in range(-20_000, 0))
+    assert wrong < 0.012 * 20_000
