@@ -6,8 +6,8 @@ followers and the merge table (a merged token's id is its rank) and contracts ea
 vocabulary and puts their bytes together by an ordered aggregation. Only distinct words enter the query, in blocks.
 
 Defined results: null text is empty and has no ids; a word that is a token by itself is that token (as in tiktoken). Words
-of over LONG_WORD bytes take the same contractions from a heap, since as rows they would cost the square of their length;
-results are equal. Ids of unknown tokens are an error. Repeated rows and other columns are kept as they are.
+of over LONG_WORD bytes take the same contractions from a heap, since a contraction a step over all their rows costs the
+square of their length; results are equal. Ids of unknown tokens are an error. Repeated rows and other columns are kept as they are.
 """
 
 from __future__ import annotations
@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 
 from .common import PieceCache, per_worker, small_batches
 
-LONG_WORD = 128
+LONG_WORD = 1_024
 BLOCK_BYTES = 100_000
+WORDS_KEPT = 450_000  # words that a worker remembers, the vocabulary's own among them
 
 ENCODE = """
 WITH RECURSIVE symbols(word, step, key, following, token) AS (
@@ -55,6 +56,13 @@ def ranks_of(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def _is_text(word: bytes) -> bool:
+    try:
+        return bool(word.decode())
+    except UnicodeDecodeError:
+        return False
+
+
 class Tables:
     """A DuckDB connection of one Python worker with the merge table and the vocabulary of a rank file."""
 
@@ -64,6 +72,7 @@ class Tables:
 
         self.ranks = ranks_of(path)
         self.words = regex.compile(pattern).findall
+        self.known = {w.decode(): np.uint32(token).tobytes() for w, token in self.ranks.items() if _is_text(w)}
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int64)
         pairs = [((left << 32) + right, token) for word, token in self.ranks.items() for i in range(1, len(word)) if (left := self.ranks.get(word[:i])) is not None and (right := self.ranks.get(word[i:])) is not None]
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
@@ -75,27 +84,26 @@ class Tables:
         self.cache = PieceCache(self.encode_pieces)
 
     def encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        cut = [[w.encode() for w in self.words(p)] for p in pieces]
-        ids, new = {}, set()
-        for w in {w for ws in cut for w in ws}:
-            if (token := self.ranks.get(w)) is not None:
-                ids[w] = np.uint32(token).tobytes()
-            elif (known := self.cache.known.get(w.decode())) is not None:
-                ids[w] = known
-            else:
-                new.add(w)
-        ids |= {w: self.encode_long(w) for w in new if len(w) > LONG_WORD}
-        block, size = [], 0
-        for w in new:
-            if len(w) <= LONG_WORD:
-                block.append(w)
-                size += len(w)
-                if size >= BLOCK_BYTES:
-                    ids |= zip(block, self.encode_words(block))
-                    block, size = [], 0
-        if block:
-            ids |= zip(block, self.encode_words(block))
-        return [b"".join(map(ids.__getitem__, ws)) for ws in cut]
+        cut = list(map(self.words, pieces))
+        distinct = set().union(*cut)
+        known = self.known
+        ids = {w: known[w] for w in distinct if w in known}
+        new = list(distinct.difference(ids))
+        raw = [w.encode() for w in new]
+        ids |= ((w, self.encode_long(r)) for w, r in zip(new, raw) if len(r) > LONG_WORD)
+        names, block, size = [], [], 0
+        for w, r in [*zip(new, raw), (None, None)]:
+            if block and (r is None or size >= BLOCK_BYTES):
+                ids |= zip(names, self.encode_words(block))
+                names, block, size = [], [], 0
+            if r is not None and len(r) <= LONG_WORD:
+                names.append(w)
+                block.append(r)
+                size += len(r)
+        room = WORDS_KEPT - len(known)
+        known |= [(w, ids[w]) for w in new[:room] if len(w) <= 64] if room > 0 else []
+        get = ids.__getitem__
+        return [b"".join(map(get, ws)) for ws in cut]
 
     def encode_words(self, words: list[bytes]) -> list[bytes]:
         lengths = np.array([len(w) for w in words])

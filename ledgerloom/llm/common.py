@@ -93,7 +93,7 @@ class PieceCache:
     def _chunk(self, texts: list[str]) -> list[bytes]:
         known = self.known
         pieces = [cut_segments(t) for t in texts]
-        new = list({p for ps in pieces for p in ps if p not in known})
+        new = list(set().union(*pieces).difference(known))
         if new:
             known.update(zip(new, self.encode(new), strict=True))
         get = known.__getitem__

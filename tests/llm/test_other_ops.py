@@ -12,7 +12,7 @@ import corpus_pipeline
 from ledgerloom.llm import ann, bpe, queries, warc
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-ODD = [None, "", " ", "don't  stop\n\n now", "éü中文 \U0001f600", "a" * 5000, "ab" * 40, "\x00\x1c x", "12345 67", "=-=" * 60, "the" * 43]
+ODD = [None, "", " ", "don't  stop\n\n now", "éü中文 \U0001f600", "a" * 5000, "ab" * 40, "\x00\x1c x", "12345 67", "=-=" * 60, "the" * 43, "xyzzy0123" * 300]
 
 
 def test_bpe_equals_tiktoken(spark, sf_dir):
