@@ -1,100 +1,196 @@
 """Merkle fixity audit of WARC replicas.
 
-Each page is a WARC/1.1 ``resource`` record. Records lie in files in page order; a file of more than ``volume_rows``
-records is dealt to several volumes (``name`` = ``file.volume``), so that no file grows with a hot key. A leaf hashes a
-record together with its offset range, a node hashes its up to FANOUT children with their ranges, up to a root for each
-volume. An audit compares the two replicas' roots and then, level by level, only the children of nodes that differ.
-
-Defined results: null url or html is empty text; repeated rows are records of their own (ties in page order are broken by
-record hash, identical ones stand side by side); a record or volume that only one replica has is reported with null on the
-other side; two empty replicas agree. Columns other than page_id, url and html are not read.
+Each page is a WARC/1.1 ``resource`` record. A file's records are dealt to volumes by hash of (page_id, url), about
+``volume_rows`` to each; how many volumes a file has is counted once and holds for all its replicas, so a record's
+volume and its neighbours follow from its name alone, never from its content. In a volume, records stand in order of
+(page_id, url, digest). ``write`` makes real files, a gzip member for each record, and ``read`` parses them again;
+``leaves`` gives the same rows without files. Offsets and lengths are those of the uncompressed records.
+
+A leaf of a volume's tree is a page_id: the hash of its records with their offset ranges. A node holds the leaves whose
+page_ids agree but for their last 4 bits times its level, hashed in order with their ranges, and a volume has one root. So the
+trees of two replicas have nodes of the same names, whatever records they lack. An audit compares the roots and then, level
+by level, only the children of nodes that differ; below the leaves that are left, records are compared one by one.
+
+Defined results: null url or html is empty text, line breaks in a url are percent-encoded; null page_ids make one leaf of each
+volume; repeated rows are records of their own, equal ones are paired in order; a record that only one replica has is reported
+with nulls on the other side, and those behind it with their changed offsets. What cannot be parsed is a record without
+page_id up to the file's end. Two empty replicas agree. Columns other than page_id, url, html are not read.
 """
 
 from __future__ import annotations
 
+import gzip
+import io
+import re
+import uuid
+import zlib
+from collections.abc import Iterator
+from hashlib import sha256
+from urllib.parse import quote
+
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import parts, shared_dir, small_batches, written
 
-FANOUT = 16
-KEY = ["file", "volume"]
-NODE = [*KEY, "node"]
+BITS = 4
+RANGE = ["offset", "length", "digest"]
+HEAD = re.compile(rb"WARC/1\.1\r\n(?:[^\r\n]+\r\n)*\r\n")
 
 
 def record(page_id: Column, url: Column, html: Column) -> Column:
     """The bytes of one WARC record, trailing blank lines included."""
     body = F.encode(F.coalesce(html, F.lit("")), "UTF-8")
+    target = F.replace(F.replace(F.coalesce(url, F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     head = F.concat(
-        F.lit("WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:"), F.coalesce(page_id.cast("string"), F.lit("")), F.lit(">\r\nWARC-Target-URI: "), F.coalesce(url, F.lit("")),
+        F.lit("WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:"), F.coalesce(page_id.cast("string"), F.lit("")), F.lit(">\r\nWARC-Target-URI: "), target,
         F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"),
     )
     return F.concat(F.encode(head, "UTF-8"), body, F.encode(F.lit("\r\n\r\n"), "UTF-8"))
 
 
-def leaves(pages: DataFrame, file: Column, volume_rows: int = 4096) -> DataFrame:
-    """(file, volume, node, page_id, offset, length, digest) of each record; bodies do not leave the first stage.
-
-    A row's volume follows its hash and, among equal rows, its place in the input, and never its neighbours.
-    """
-    hashed = pages.select(file.alias("file"), "page_id", record(F.col("page_id"), F.col("url"), F.col("html")).alias("record"), F.monotonically_increasing_id().alias("place"))
-    hashed = hashed.select("file", "page_id", F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("digest"), "place")
-    sizes = hashed.groupBy("file").agg(F.ceil(F.count("*") / volume_rows).alias("volumes"))
-    dealt = hashed.join(sizes.withColumnRenamed("file", "of"), F.col("file").eqNullSafe(F.col("of"))).drop("of")
-    dealt = dealt.withColumn("volume", F.when(F.col("volumes") == 1, 0).otherwise(F.pmod(F.xxhash64("page_id", "digest", "place"), F.col("volumes"))))
-    in_order = Window.partitionBy(*KEY).orderBy("page_id", "digest")
-    return dealt.select(
-        *KEY, (F.row_number().over(in_order) - 1).cast("long").alias("node"), "page_id",
-        (F.sum("length").over(in_order.rowsBetween(Window.unboundedPreceding, -1))).alias("offset"), "length", "digest",
-    ).withColumn("offset", F.coalesce("offset", F.lit(0)))
-
-
-def _with_range(digest: str = "digest") -> Column:
-    return F.concat_ws(":", F.col("offset").cast("string"), F.col("length").cast("string"), F.col(digest))
+def volumes(pages: DataFrame, file: Column, volume_rows: int = 4096) -> DataFrame:
+    """(file, volumes) of the archive that replicas are held against."""
+    return pages.groupBy(file.alias("file")).agg(F.ceil(F.count("*") / volume_rows).cast("long").alias("volumes"))
+
+
+def _dealt(pages: DataFrame, file: Column, counts: DataFrame) -> DataFrame:
+    """(file, volume, page_id, url, record, length, digest) of pages; a file that counts lacks has one volume."""
+    rows = pages.select(file.alias("file"), F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), record(F.col("page_id"), F.col("url"), F.col("html")).alias("record"))
+    rows = rows.join(counts.select(F.col("file").alias("of"), "volumes"), F.col("file").eqNullSafe(F.col("of")), "left")
+    volume = F.pmod(F.xxhash64("page_id", "url"), F.greatest(F.coalesce("volumes", F.lit(1)), F.lit(1))).alias("volume")
+    return rows.select("file", volume, "page_id", "url", "record", F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("digest"))
+
+
+def leaves(pages: DataFrame, file: Column, counts: DataFrame) -> DataFrame:
+    """(file, volume, page_id, offset, length, digest) of each record; bodies do not leave the first stage."""
+    in_order = Window.partitionBy("file", "volume").orderBy("page_id", "url", "digest")
+    offset = F.coalesce(F.sum("length").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset")
+    return _dealt(pages, file, counts).drop("record").select("file", "volume", "page_id", offset, "length", "digest")
+
+
+def write(pages: DataFrame, file: Column, counts: DataFrame, folder: str | None = None, part_bytes: int = 24 << 20) -> DataFrame:
+    """Writes pages as <file>-<volume>.warc.gz below folder (default: a new one in the shared folder); returns (file, volume,
+    path, records, bytes) of each. A file is written under a name of its own and then renamed, so a repeated task replaces it."""
+    folder = folder or shared_dir(pages.sparkSession, "warc")
+    dealt = _dealt(small_batches(pages), file, counts)
+    n = parts(pages.agg(F.sum(F.octet_length("html")).alias("b")).first()["b"] or 0, part_bytes)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, base = fs.FileSystem.from_uri(folder)
+        store.create_dir(base, recursive=True)
+        out, own, temporary, records, size = None, None, "", 0, 0
+
+        def done() -> pd.DataFrame:
+            out.close()
+            name = f"{'null' if own[0] is None else quote(str(own[0]), safe='')}-{own[1]}.warc.gz"
+            store.move(temporary, f"{base}/{name}")
+            return pd.DataFrame([(*own, f"{folder}/{name}", records, size)], columns=["file", "volume", "path", "records", "bytes"])
+
+        for batch in batches:
+            for f, v, raw in zip(batch["file"], batch["volume"], batch["record"]):
+                key = (None if pd.isna(f) else f, v)
+                if key != own:
+                    if out is not None:
+                        yield done()
+                    own, temporary, records, size = key, f"{base}/.{uuid.uuid4().hex}", 0, 0
+                    out = store.open_output_stream(temporary, compression=None)
+                member = zlib.compressobj(1, zlib.DEFLATED, 31)
+                out.write(member.compress(raw) + member.flush())
+                records, size = records + 1, size + len(raw)
+        if out is not None:
+            yield done()
+
+    ordered = dealt.repartition(n, "file", "volume").sortWithinPartitions("file", "volume", "page_id", "url", "digest")
+    made = ordered.select(F.col("file").cast("string"), "volume", "record").mapInPandas(run, "file string, volume long, path string, records long, bytes long")
+    return written(made.withColumn("file", F.col("file").cast(dealt.schema["file"].dataType)), "warc-files")
+
+
+def parse(stream: io.BufferedIOBase, step: int = 1 << 20) -> Iterator[tuple[int | None, int, int, str]]:
+    """(page_id, offset, length, SHA-256 of all bytes) of each record of an uncompressed stream."""
+    offset = 0
+    while head := stream.readline():
+        while not head.endswith(b"\r\n\r\n") and len(head) < step and (line := stream.readline()):
+            head += line
+        known = HEAD.fullmatch(head) and re.search(rb"\r\nWARC-Record-ID: <urn:page:(-?\d*)>\r\n", head)
+        size = re.search(rb"\r\nContent-Length: (\d+)\r\n", head) if known else None
+        left, digest, length = int(size[1]) + 4 if size else -1, sha256(head), len(head)
+        while left and (piece := stream.read(min(step, left) if left > 0 else step)):
+            digest.update(piece)
+            length += len(piece)
+            left -= len(piece) if left > 0 else 0
+        yield int(known[1]) if size and known[1] else None, offset, length, digest.hexdigest()
+        offset += length
+
+
+def read(files: DataFrame) -> DataFrame:
+    """The rows of leaves() from the files that write() made."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for f, v, path in zip(batch["file"], batch["volume"], batch["path"]):
+                store, name = fs.FileSystem.from_uri(path)
+                with store.open_input_file(name) as raw, gzip.GzipFile(fileobj=raw) as plain, io.BufferedReader(plain, 1 << 20) as stream:
+                    out = pd.DataFrame(list(parse(stream)), columns=["page_id", *RANGE]).astype({"page_id": "Int64"})
+                yield out.assign(file=pd.Series([f] * len(out), dtype=object), volume=v)[["file", "volume", "page_id", *RANGE]]
+
+    n = parts(files.agg(F.sum("bytes").alias("b")).first()["b"] or 0, 24 << 20)
+    found = files.repartition(n, "path").select(F.col("file").cast("string"), "volume", "path").mapInPandas(run, "file string, volume long, page_id long, offset long, length long, digest string")
+    return found.withColumn("file", F.col("file").cast(files.schema["file"].dataType))
+
+
+def _with_range(x: Column) -> Column:
+    return F.concat_ws(":", x["offset"].cast("string"), x["length"].cast("string"), x["digest"])
 
 
 def tree(leaf: DataFrame, levels: int) -> DataFrame:
-    """All nodes: level 0 the leaves, `levels` the roots. Grouping follows the leaves' partitioning by volume."""
-    below = leaf.withColumn("digest", F.sha2(_with_range(), 256)).withColumn("level", F.lit(0))
-    found = below
-    for level in range(1, levels + 1):
-        below = below.groupBy(*KEY, F.floor(F.col("node") / FANOUT).alias("up")).agg(
-            F.array_sort(F.collect_list(F.struct("node", "offset", "length", "digest"))).alias("children"), F.min("page_id").alias("page_id"), F.min("offset").alias("start"), F.sum("length").alias("bytes"))
-        text = F.array_join(F.transform("children", lambda c: F.concat_ws(":", c["offset"].cast("string"), c["length"].cast("string"), c["digest"])), "|")
-        below = below.select(*KEY, F.col("up").alias("node"), "page_id", F.col("start").alias("offset"), F.col("bytes").alias("length"), F.sha2(text, 256).alias("digest"), F.lit(level).alias("level"))
-        found = found.unionByName(below)
+    """(level, file, volume, node, offset, length, digest) of all nodes: level 0 a page_id's records, `levels` the roots."""
+    below = leaf.select("file", "volume", F.col("page_id").alias("node"), F.struct(*RANGE).alias("range"))
+    found = None
+    for level in range(levels + 1):
+        node = F.col("node") if level == 0 else F.lit(0).cast("long") if level == levels else F.shiftright("node", BITS)
+        grouped = below.groupBy("file", "volume", node.alias("node")).agg(F.array_sort(F.collect_list("range")).alias("under"))
+        text = F.array_join(F.transform("under", _with_range), "|")
+        length = F.aggregate("under", F.lit(0).cast("long"), lambda a, x: a + x["length"])
+        below = grouped.select("file", "volume", "node", F.struct(F.col("under")[0]["offset"].alias("offset"), length.alias("length"), F.sha2(text, 256).alias("digest")).alias("range"))
+        here = below.select(F.lit(level).alias("level"), "file", "volume", "node", "range.*")
+        found = here if found is None else found.unionByName(here)
     return found
 
 
-def levels_for(most: int) -> int:
-    """Levels above the leaves until one node holds `most` records."""
-    levels = 1
-    while FANOUT**levels < most:
-        levels += 1
-    return levels
+def levels_for(left: DataFrame, right: DataFrame) -> int:
+    """Levels above the leaves until one node covers all page_ids."""
+    r = left.select("page_id").unionAll(right.select("page_id")).agg(F.min("page_id").alias("lo"), F.max("page_id").alias("hi")).first()
+    return 1 if r["lo"] is None else 1 + (r["lo"] ^ r["hi"]).bit_length() // BITS if r["lo"] ^ r["hi"] >= 0 else 17
 
 
 def audit(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Records that differ between two replicas' leaves(): KEY, node, page_id, and offset, length, digest of either side."""
-    most = max((r["n"] or 0) for r in left.unionByName(right).agg(F.max("node").alias("n")).collect()) + 1
-    levels = levels_for(most)
-    both = written(tree(left, levels).withColumn("side", F.lit("left")).unionByName(tree(right, levels).withColumn("side", F.lit("right"))), "merkle")
-    columns = [*NODE, "page_id", "offset", "length", "digest"]
+    """Records that differ between two replicas' leaves(): file, volume, page_id, and offset, length, digest of either side."""
+    left, right = written(left, "merkle-left"), written(right, "merkle-right")
+    levels, key = levels_for(left, right), ["file", "volume", "node"]
+    sides = [written(tree(x, levels), f"merkle-{name}-nodes", "level") for x, name in ((left, "left"), (right, "right"))]
 
-    def side(name: str, level: int) -> DataFrame:
-        return both.where((F.col("side") == name) & (F.col("level") == level)).select(*columns)
+    def same(a: str, b: str, columns: list[str]) -> Column:
+        return F.expr(" and ".join(f"{a}.{c} <=> {b}.{c}" for c in columns))
 
     wrong = None
     for level in range(levels, -1, -1):
-        a, b = side("left", level), side("right", level)
+        a, b = (x.where(F.col("level") == level).select(*key, "offset", "length", "digest") for x in sides)
         if wrong is not None:
-            parents = wrong.select(*KEY, F.col("node").alias("up"))
-            a, b = ((x.withColumn("up", F.floor(F.col("node") / FANOUT)).join(parents, [*KEY, "up"], "left_semi").drop("up")) for x in (a, b))
-        b = b.select(*[F.col(c).alias(f"right_{c}") for c in columns])
-        same = [F.col(k).eqNullSafe(F.col(f"right_{k}")) for k in NODE]
-        wrong = a.join(b, same[0] & same[1] & same[2], "full").where(~F.col("digest").eqNullSafe(F.col("right_digest")))
-        wrong = wrong.select(
-            *[F.coalesce(k, f"right_{k}").alias(k) for k in NODE], F.coalesce("page_id", "right_page_id").alias("page_id"),
-            "offset", "length", "digest", "right_offset", "right_length", "right_digest",
-        )
-    return wrong
+            parents = wrong.withColumnRenamed("node", "up").alias("p")
+            up = F.lit(0).cast("long") if level == levels - 1 else F.shiftright("node", BITS)
+            a, b = (x.withColumn("up", up).alias("x").join(parents, same("x", "p", ["file", "volume", "up"]), "left_semi").drop("up") for x in (a, b))
+        met = a.alias("a").join(b.alias("b"), same("a", "b", key), "full").where("not (a.digest <=> b.digest and a.offset <=> b.offset and a.length <=> b.length)")
+        wrong = written(met.selectExpr(*[f"case when a.digest is null then b.{k} else a.{k} end as {k}" for k in key]), "merkle-wrong")
+
+    found, names = wrong.withColumnRenamed("node", "page_id").alias("w"), ["file", "volume", "page_id"]
+    copy = F.row_number().over(Window.partitionBy(*names).orderBy("offset")).alias("copy")
+    a, b = (x.alias("x").join(found, same("x", "w", names), "left_semi").select("*", copy) for x in (left, right))
+    met = a.alias("a").join(b.alias("b"), same("a", "b", [*names, "copy"]), "full").where("not (a.digest <=> b.digest and a.offset <=> b.offset and a.length <=> b.length)")
+    ranged = {s: f"case when {s}.digest is not null then sha2(concat_ws(':', cast({s}.offset as string), cast({s}.length as string), {s}.digest), 256) end" for s in "ab"}
+    return met.selectExpr(
+        *[f"case when a.digest is null then b.{k} else a.{k} end as {k}" for k in names], "a.offset", "a.length", f"{ranged['a']} as digest",
+        "b.offset as right_offset", "b.length as right_length", f"{ranged['b']} as right_digest",
+    )

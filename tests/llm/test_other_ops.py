@@ -1,6 +1,7 @@
 """op7, op8, op10 and the pipeline against tiktoken, exact search, SQL and the stages' own contracts."""
 
 import hashlib
+import io
 
 import duckdb
 import numpy as np
@@ -85,17 +86,31 @@ def test_warc_against_sql(spark, sf_dir):
 
 
 def test_warc_odd_rows(spark):
-    pages = spark.createDataFrame([(1, "u", "a", 0), (1, "u", "a", 0), (2, None, None, 0), (None, "v", "", 0), *[(i, "w", "x", 0) for i in range(5, 60)]], "page_id long, url string, html string, digest int")
-    file = F.lit(0)
-    left = warc.leaves(pages, file, volume_rows=1000)
-    assert left.count() == 59 and warc.audit(left, left).count() == 0
-    assert warc.audit(left.limit(0), left.limit(0)).count() == 0
-    bad = warc.leaves(pages.withColumn("html", F.when(F.col("page_id") == 33, "y").otherwise(F.col("html"))), file, volume_rows=1000)
-    assert [r.page_id for r in warc.audit(left, bad).collect()] == [33]
-    cut = warc.leaves(pages.where("page_id is null or page_id < 58"), file, volume_rows=1000)
-    assert sorted(r.page_id for r in warc.audit(left, cut).collect()) == [58, 59]
-    dealt = warc.leaves(pages, file, volume_rows=10)
-    assert dealt.count() == 59 and dealt.select("volume").distinct().count() == 6
+    pages = spark.createDataFrame([(1, "u", "a", 0), (1, "u", "a", 0), (2, None, None, 0), (None, "v\r\nX: y", "", 0), *[(i, "w", "x", 0) for i in range(5, 60)]], "page_id long, url string, html string, digest int")
+    for file in (F.lit(0), F.lit(None).cast("string")):
+        counts = warc.volumes(pages, file, 10)
+        left = warc.leaves(pages, file, counts)
+        assert left.count() == 59 and left.select("volume").distinct().count() == 6
+        files = warc.write(pages, file, counts)
+        assert files.count() == 6 and sorted(map(tuple, warc.read(files).collect()), key=str) == sorted(map(tuple, left.collect()), key=str)
+        assert warc.audit(warc.read(files), warc.leaves(pages.repartition(7), file, counts)).count() == 0
+        assert warc.audit(left.limit(0), left.limit(0)).count() == 0
+        bad = warc.leaves(pages.withColumn("html", F.when(F.col("page_id") == 33, "y").when(F.col("page_id").isNull(), "").otherwise(F.col("html"))), file, counts)
+        assert [r.page_id for r in warc.audit(left, bad).collect()] == [33]
+        lost = {r.page_id: r for r in warc.audit(left, warc.leaves(pages.where("page_id is null or page_id <> 20"), file, counts)).collect()}
+        behind = {r.page_id for r in left.alias("a").join(left.where("page_id = 20").alias("b"), "volume").where("a.page_id > 20").select("a.page_id").collect()}
+        assert set(lost) == behind | {20} and lost[20].right_digest is None
+        assert all(lost[i].right_offset < lost[i].offset and lost[i].right_length == lost[i].length for i in behind)
+        null = warc.audit(left, warc.leaves(pages.where("page_id is not null"), file, counts)).collect()
+        assert [r.page_id for r in null if r.right_digest is None] == [None]
+        twice = warc.audit(left, warc.leaves(pages.dropDuplicates(), file, counts)).collect()
+        assert [r.page_id for r in twice if r.right_digest is None] == [1]
+
+
+def test_warc_broken_file():
+    raw = b"WARC/1.1\r\nWARC-Record-ID: <urn:page:7>\r\nContent-Length: 2\r\n\r\nab\r\n\r\n"
+    assert [(p, o, n) for p, o, n, _ in warc.parse(io.BytesIO(raw + raw))] == [(7, 0, len(raw)), (7, len(raw), len(raw))]
+    assert [(p, o, n) for p, o, n, _ in warc.parse(io.BytesIO(raw + b"junk" + raw))] == [(7, 0, len(raw)), (None, len(raw), len(raw) + 4)]
 
 
 def test_pipeline(spark, sf_dir):
