@@ -4,13 +4,14 @@ Vectors get one more component, sqrt(M^2 - |x|^2) with M the largest norm of all
 smallest distance. Centroids are fitted on a sample of at most ``sample_rows`` distinct vectors (a documented bound; large
 clusters are split, so lists are balanced); every vector is indexed. A vector goes to its nearest centroid's list and, on
 a boundary, to others whose distance is within ``1 + closure`` of the nearest, unless such a centroid is much nearer to one
-that it has already. Centroids are linked in a graph of nearest and random neighbours, searched best first in batches. A query
-takes the lists whose centroid lies within ``1 + prune`` of its nearest one (squared distances), and in any case enough of
+that it has already. Centroids are linked in a graph of nearest and random neighbours, searched best first in batches, for vectors
+and queries alike and at every size. A query takes all lists whose centroid lies within ``1 + prune`` of its nearest one (squared distances), and in any case enough of
 them to hold TOP + 1 vectors.
 
 Equal vectors are one entry with the TOP + 1 smallest ids of their group, the only ones that a tie can ever return, and
 equal queries are searched once; so a hot vector makes no hot list. Lists are dealt to buckets of about PART entries by list
-and by entry, and a bucket meets at most about PART queries at once. The driver and each task hold centroids (at most ``most_lists``) and sizes of lists.
+and by entry, and a bucket meets at most about PART queries at once. The driver and each task hold centroids and sizes of lists:
+there is a list for each ``list_rows`` vectors up to ``most_lists``, and beyond that lists grow and are cut into buckets' shares.
 
 Defined results: vectors that are null, zero, hold null or non-finite components, or have another length than most take no
 part, as queries or candidates; so do rows without id. Of rows that share an id each may be found, and none finds its own
@@ -49,14 +50,11 @@ class Index:
         return np.hstack([x, rest[:, None]]).astype(np.float32)
 
     def nearest(self, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, squared distances) of about the k nearest centroids of each row, by best-first search of the graph."""
-        count, beam = len(self.centroids), max(self.beam, k)
-        if count <= 2 * beam:
-            d = distances(x, self.centroids)
-            order = np.argsort(d, axis=1, kind="stable")[:, :k]
-            return order, np.take_along_axis(d, order, axis=1)
+        """(ids, squared distances) of about the k nearest centroids of each row, by best-first search of the graph, whatever
+        its size; places that no centroid fills have distance infinity."""
+        count, beam = len(self.centroids), max(48, k)
         rows = np.arange(len(x))[:, None]
-        entry = np.linspace(0, count - 1, 16).astype(np.int64)
+        entry = np.unique(np.linspace(0, count - 1, 16).astype(np.int64))
         ids = np.tile(entry, (len(x), 1))
         d = distances(x, self.centroids[entry])
         seen = np.zeros((len(x), count), dtype=bool)
@@ -95,13 +93,21 @@ class Index:
             out.append(taken)
         return out
 
-    def lists(self, q: np.ndarray, sizes: np.ndarray, least: int, most: int = 256) -> list[list[int]]:
-        """Lists to search for each query: those within the ratio, and at least as many as hold `least` vectors."""
-        ids, d = self.nearest(q, min(most, len(self.centroids)))
+    def lists(self, q: np.ndarray, sizes: np.ndarray, least: int) -> list[list[int]]:
+        """Lists to search for each query: all within the ratio, and at least as many as hold `least` vectors. The graph is
+        searched with a beam that doubles until the ratio ends inside it."""
+        found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0))] * len(q)
+        todo, beam, count = np.arange(len(q)), min(self.beam, len(self.centroids)), len(self.centroids)
+        while len(todo):
+            ids, d = self.nearest(q[todo], beam)
+            for row, own, dist in zip(todo.tolist(), ids, d):
+                found[row] = own, dist
+            todo = todo[d[:, -1] <= (1 + self.prune) * d[:, 0] + 1e-12] if beam < count else todo[:0]
+            beam = min(2 * beam, count)
         out = []
-        for row, (own, dist) in enumerate(zip(ids, d)):
-            own = own[np.isfinite(dist)]
-            many = int((dist[: len(own)] <= (1 + self.prune) * dist[0] + 1e-12).sum())
+        for row, (own, dist) in enumerate(found):
+            own, dist = own[np.isfinite(dist)], dist[np.isfinite(dist)]
+            many = int((dist <= (1 + self.prune) * dist[0] + 1e-12).sum())
             if sizes[own[:many]].sum() < least:
                 enough = np.searchsorted(np.cumsum(sizes[own]), least) + 1
                 if enough > len(own):
