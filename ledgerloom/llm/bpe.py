@@ -7,7 +7,7 @@ vocabulary and puts their bytes together by an ordered aggregation. Only distinc
 
 Defined results: null text is empty and has no ids; a word that is a token by itself is that token (as in tiktoken). Words
 of over LONG_WORD bytes take the same contractions from a heap, since a contraction a step over all their rows costs the
-square of their length; results are equal. Ids of unknown tokens are an error. Repeated rows and other columns are kept as they are.
+square of their length; results are equal. Ids of unknown tokens are an error. Repeated rows and other columns are kept as they are; columns of the results' names are replaced.
 """
 
 from __future__ import annotations

@@ -39,8 +39,13 @@ def cut_segments(text: str) -> list[str]:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share. Only where that is unset (tests), a local one."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + os.path.join(tempfile.gettempdir(), "ledgerloom")
+    """A new folder below spark.checkpoint.dir, which all executors share; where that is unset, a local one in local mode
+    (tests), and an error on a cluster."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+        base = "file://" + os.path.join(tempfile.gettempdir(), "ledgerloom")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 

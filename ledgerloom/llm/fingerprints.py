@@ -91,27 +91,19 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
 LEAST_ID = -(1 << 63)
 
 
-def followers(keys: DataFrame, ranges: int = 256, range_rows: int = 5_000) -> DataFrame:
+def followers(keys: DataFrame, range_rows: int = 5_000) -> DataFrame:
     """keys (id, h, ...), each pair once, with next_id and next_h: the next pair in ascending order, after the last the first.
 
-    Quantiles of id cut keys into at most `ranges` ranges; rows of a range are in one window, and each range's last key is
-    followed by the first of the next, of which the driver holds one for each range.
+    Keys are dealt to ranges of about `range_rows`, which are written, so they do not change when a task is repeated. Rows of
+    a range are in one window; its last key is followed by the first of the next, which a window over ranges finds.
     """
-    n = max(1, min(ranges, keys.count() // range_rows))
-    cuts = sorted(set(keys.stat.approxQuantile("id", [i / n for i in range(1, n)], 0.1 / n))) if n > 1 else []
-
-    def tree(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(F.col("id") <= F.lit(int(cuts[middle])), tree(low, middle)).otherwise(tree(middle + 1, high))
-
-    ranged, pair = keys.withColumn("range", tree(0, len(cuts))), F.struct("id", "h")
-    firsts = {r["range"]: r["first"] for r in ranged.groupBy("range").agg(F.min(pair).alias("first")).collect()}
-    held = sorted(firsts)
-    next_first = keys.sparkSession.createDataFrame([(r, *firsts[held[(i + 1) % len(held)]]) for i, r in enumerate(held)], "of int, first_id long, first_h long")
-    led = ranged.withColumn("next", F.lead(pair).over(Window.partitionBy("range").orderBy("id", "h"))).join(F.broadcast(next_first), F.col("range") == F.col("of"))
-    return led.select(*keys.columns, F.coalesce("next.id", "first_id").alias("next_id"), F.coalesce("next.h", "first_h").alias("next_h"))
+    pair = F.struct("id", "h")
+    ranged = written(keys.repartitionByRange(max(1, keys.count() // range_rows), "id", "h").withColumn("range", F.spark_partition_id()), "fingerprint-ranges")
+    firsts, in_order = ranged.groupBy("range").agg(F.min(pair).alias("first")), Window.orderBy("range")
+    after = F.coalesce(F.lead("first").over(in_order), F.first("first").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    next_first = firsts.select(F.col("range").alias("of"), after.alias("after"))
+    led = ranged.withColumn("next", F.lead(pair).over(Window.partitionBy("range").orderBy("id", "h"))).join(next_first, F.col("range") == F.col("of"))
+    return led.select(*keys.columns, F.coalesce("next.id", "after.id").alias("next_id"), F.coalesce("next.h", "after.h").alias("next_h"))
 
 
 def edited(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -7,7 +7,7 @@ the model keeps ``words`` and ``grams`` entries, from each language's most frequ
 is sent to every task. Prediction reads whole texts.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0, and so is every text when no labelled row
-is left to learn from. The score is the posterior of the best language under equal priors; ties go to the smaller name.
+is left to learn from. A column ``language`` of docs is replaced. The score is the posterior of the best language under equal priors; ties go to the smaller name.
 Repeated rows are predicted each; a language of few rows is learned from those. Other columns are kept as they are.
 """
 
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import forget, small_batches
 
-LETTERS = re.compile(r"[^\W\d_]+")
+ALPHANUMERIC = re.compile(r"[^\W\d_]+")
 LONGEST = 5
 
 
@@ -96,13 +96,21 @@ def _scores(counts: DataFrame, most: int, languages: list[str]) -> tuple[list[st
     table = by.select("word", F.array(*columns).alias("counts")).withColumn("total", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))
     best = counts.withColumn("rank", rank).where(F.col("rank") <= most).groupBy("word").agg(F.min("rank").alias("rank"))
-    top = table.where("total > 1").join(best, "word").orderBy("rank", F.desc("total"), "word").limit(most).select("word", "counts").toArrow()
+    top = table.join(best, "word").orderBy("rank", F.desc("total"), "word").limit(most).select("word", "counts").toArrow()
     counted = np.asarray(top["counts"].combine_chunks().flatten(), dtype=float).reshape(top.num_rows, len(languages))
     sums = np.maximum(counted.sum(axis=0), 1)
     floor = 0.5 / sums.max()
     return top["word"].to_pylist(), np.log((counted / sums + floor) / (1 + floor * max(1, top.num_rows)))
 
 
+def words_of(text: str) -> list[str]:
+    """The text's runs of letters in lower case, as Spark's split at [^\\p{L}]+ has them: no numerals such as superscripts."""
+    found = ALPHANUMERIC.findall(text.lower())
+    if text.isascii() or all(map(str.isalpha, found)):
+        return found
+    return [w for run in found for w in "".join(c if c.isalpha() else " " for c in run).split()]
+
+
 class Predictor:
     """Scores texts; rows of scores are kept for known words and for the first `limit` others."""
 
@@ -123,7 +131,7 @@ class Predictor:
 
     def texts(self, texts: list[str | None]) -> list[tuple[str, float]]:
         languages = self.model.languages
-        found = [LETTERS.findall(t.lower()) if isinstance(t, str) else [] for t in texts]
+        found = [words_of(t) if isinstance(t, str) else [] for t in texts]
         new = list({w for ws in found for w in ws if w not in self.rows})
         first = len(self.rows)
         if new and languages:

@@ -13,7 +13,7 @@ occurrence to the digest's bucket (so a hot digest is one entry for each batch,
 the global first occurrences of repeated digests, and the batch cuts its texts. Batches, buckets and answers are bounded.
 
 Defined results: null text stays null, with nothing removed; a null doc_id ranks after all others; rows that share a
-doc_id are the same document, so occurrences of equal rank are all kept; empty tables give empty results.
+doc_id are the same document, so occurrences of equal rank are all kept; columns ``kept_text`` and ``removed`` of docs are replaced; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -120,6 +120,7 @@ def _doc(value) -> int:
 
 def dedup(docs: DataFrame, line_words: int = 8, run_words: int = 25, batch_bytes: int = 4 << 20, bucket_bytes: int = 24 << 20) -> DataFrame:
     """docs (doc_id, text and any other columns) with ``kept_text`` and ``removed`` (code-point spans of the original text)."""
+    docs = docs.drop("kept_text", "removed")
     names, schema = docs.columns, docs.schema
     total = text_bytes(docs)
     batches, buckets = parts(total, batch_bytes), parts(total, bucket_bytes)
@@ -146,10 +147,10 @@ def dedup(docs: DataFrame, line_words: int = 8, run_words: int = 25, batch_bytes
         first = np.flatnonzero(np.r_[True, hashed[1:] != hashed[:-1]])
         counts = np.diff(np.r_[first, len(hashed)])
         hashed, doc_ids, places = hashed[first], doc_ids[first], places[first] * 2 + (counts > 1)
-        bucket = (hashed >> np.uint64(20)) % np.uint64(buckets)
+        bucket = ((hashed >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        ends = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
-        out = [(b, key[0], pack(hashed[i], doc_ids[i], places[i])) for b in range(buckets) if len(i := order[ends[b] : ends[b + 1]])]
+        held, starts = np.unique(bucket[order], return_index=True)
+        out = [(b, key[0], pack(hashed[i], doc_ids[i], places[i])) for b, i in zip(held.tolist(), np.split(order, starts[1:]))]
         return pd.DataFrame(out, columns=["bucket", "batch", "entries"])
 
     def answer(rows: pd.DataFrame) -> pd.DataFrame:

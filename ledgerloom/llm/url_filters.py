@@ -5,7 +5,7 @@ all URLs choose each rule's rarest token; a URL's tokens fetch its candidate rul
 Rules are the caller's (at most MAX_RULES, checked, so their index may be sent to every task).
 
 Defined results: a null URL, or one without ``://``, has empty host and path, matches no rule and is allowed. Equal URLs
-are judged alike; the longest rule text wins, ties go to the smaller text. Other columns of the table are kept as they are.
+are judged alike; the longest rule text wins, ties go to the smaller text. A column ``judged`` is replaced, others are kept.
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ class Rule:
     verdict: str
     tokens: tuple[str, ...]
     label: str | None
+    first: int = 0  # among pattern rules that fit, the smallest decides
 
 
 def host_rule(host: str, path: str, verdict: str) -> Rule:
@@ -46,6 +47,30 @@ def pattern_rule(pattern: str, tokens: Iterable[str], verdict: str = "block") ->
     return Rule(pattern, pattern, verdict, tuple(tokens), None)
 
 
+def list_rule(line: str) -> Rule | None:
+    """A rule of a public filter list (the common ``||host^path``, ``|``, ``*``, ``^``, ``@@`` syntax) over host and path; ``@@``
+    exceptions come before blocking rules. None for comments, cosmetic rules, rules with options (they need the request),
+    expressions, and rules without a token that every match must hold as a whole, which no index can file.
+    """
+    body = line.strip()
+    if not body or body[0] in "![" or "##" in body or "#@#" in body or "#?#" in body:
+        return None
+    allow = body.startswith("@@")
+    body = body[2 * allow :].lower()
+    if "$" in body or (len(body) > 1 and body[0] == body[-1] == "/"):
+        return None
+    host, start, end = body.startswith("||"), body.startswith("|"), body.endswith("|")
+    body = body.removeprefix("||" if host else "|" if start else "").removesuffix("|")
+    closed = lambda at, anchored: body[at] != "*" if 0 <= at < len(body) else anchored
+    tokens = [m[0] for m in TOKEN.finditer(body) if closed(m.start() - 1, start) and closed(m.end(), end)]
+    if not tokens:
+        return None
+    parts = {"*": ".*", "^": r"(?:\x00?[^0-9a-z_.%\x00-]|\x00?$)", "/": r"\x00?/"}
+    pattern = "".join(parts.get(c) or re.escape(c) for c in body)
+    before = r"(?:[^\x00]*\.)?" if host else "" if start else ".*"
+    return Rule(line.strip(), f"(?i:{before}{pattern}{r'\x00?' if end else ''})" + ("" if end else "(?:.*)"), "allow" if allow else "block", tuple(tokens), None, 0 if allow else 1)
+
+
 #: The host rules of the contract and the method's own patterns for advertising and tracking hosts; a rule of
 #: each tracking word, as tokens are whole words, and word ends are ASCII's, as in tokens and SQL.
 HOST_RULES = (host_rule("net", "/", "block"), host_rule("example.net", "/en/", "allow"), host_rule("example.com", "/de/", "block"), host_rule("org", "/fr/", "allow"))
@@ -71,10 +96,11 @@ def url_tokens(url: str | None) -> set[str]:
 
 def rarest_tokens(pages: DataFrame, rules: tuple[Rule, ...], url: str = "url") -> dict[int, str]:
     """For each rule, the token of it that fewest URLs of the whole table hold (ties: the smaller token)."""
-    wanted = sorted({t for r in rules for t in r.tokens})
+    spark = pages.sparkSession
+    wanted = F.broadcast(spark.createDataFrame([(t,) for t in sorted({t for r in rules for t in r.tokens})], "token string"))
     lowered = F.translate(F.col(url), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     tokens = pages.select(F.explode(F.array_distinct(F.split(lowered, "[^0-9a-z]+"))).alias("token"))
-    counted = {r["token"]: r["count"] for r in tokens.where(F.col("token").isin(wanted)).groupBy("token").count().collect()}
+    counted = {r["token"]: r["count"] for r in tokens.join(wanted, "token", "left_semi").groupBy("token").count().collect()}
     return {i: min(r.tokens, key=lambda t: (counted.get(t, 0), t)) for i, r in enumerate(rules)}
 
 
@@ -86,9 +112,10 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = HOST_RULES + OWN_RULES, ur
     for i, token in rarest_tokens(pages, rules, url).items():
         index.setdefault(token, []).append(i)
 
+    compiled: dict[int, re.Pattern] = {}  # a task's own copy, filled as rules are met
+
     @F.pandas_udf("host string, path string, rule string, verdict string")
     def apply(urls: pd.Series) -> pd.DataFrame:
-        compiled: dict[int, re.Pattern] = {}
         rows = []
         for u in urls:
             u = u if isinstance(u, str) else None
@@ -97,7 +124,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = HOST_RULES + OWN_RULES, ur
             for token in url_tokens(u) if host or path else ():
                 for i in index.get(token, ()):
                     rule = rules[i]
-                    rank = (rule.label is None, -len(rule.text), rule.text)
+                    rank = (rule.label is None, rule.first, -len(rule.text), rule.text)
                     if best is not None and best[0] <= rank:
                         continue
                     if i not in compiled:

@@ -1,6 +1,7 @@
 """op2, op4, op5 and op6 against brute force, on the given tables and on odd rows."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -268,7 +269,7 @@ def test_language_id_odd_rows(spark):
     labelled = spark.createDataFrame([("the cat and the dog and the bird", "en"), ("der hund und die katze und der vogel", "de"), (None, "en"), ("x", None)] * 3, "text string, lang string")
     model = language_id.train(labelled)
     assert model.languages == ["de", "en"]
-    docs = spark.createDataFrame([(1, None), (2, ""), (3, "12 -- !"), (4, "the birds"), (5, "Katzen und"), (None, "zzz qqq"), (4, "the birds")], "doc_id long, text string").withColumn("score", F.lit("clash"))
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "12 -- ! \u00b2 \u00bd \u2167"), (4, "the birds"), (5, "Katzen und"), (None, "zzz qqq"), (4, "the birds")], "doc_id long, text string").withColumn("score", F.lit("clash"))
     got = [(r.doc_id, r.language.lang_pred, r.score) for r in language_id.predict(docs, model).collect()]
     assert Counter(got)[4, "en", "clash"] == 2 and (1, "und", "clash") in got and (2, "und", "clash") in got and (3, "und", "clash") in got and (5, "de", "clash") in got
     nothing = language_id.train(labelled.limit(0))
@@ -288,3 +289,40 @@ def test_language_id_of_few_rows(spark):
     docs = spark.createDataFrame([(x, text(x)) for x in vocabulary for _ in range(10)], "want string, text string")
     assert all(r.want == r.language.lang_pred for r in language_id.predict(docs, model).collect())
     assert language_id.bounds({"a": 5, "b": 1000, "c": 50}, 100) == {"a": 5, "c": 47, "b": 48}
+
+
+def test_language_score_equals_brute_force(spark):
+    rows = [("the cat and the dog", "en"), ("the bird sat", "en"), ("der hund und die katze", "de"), ("der vogel sa\u00df", "de")]
+    model = language_id.train(spark.createDataFrame(rows, "text string, lang string"))
+    words, grams = {x: Counter() for x in ("de", "en")}, {x: Counter() for x in ("de", "en")}
+    for text, x in rows:
+        for w in text.split():
+            words[x][w] += 1
+            p = f" {w} "
+            grams[x].update(p[i : i + n] for n in range(1, 6) for i in range(len(p) - n + 1) if p[i : i + n] != " ")
+
+    def frequencies(counts):
+        entries = set(counts["de"]) | set(counts["en"])
+        sums = {x: sum(c.values()) for x, c in counts.items()}
+        floor = 0.5 / max(sums.values())
+        return {e: {x: math.log((counts[x][e] / sums[x] + floor) / (1 + floor * len(entries))) for x in counts} for e in entries}
+
+    word, gram = frequencies(words), frequencies(grams)
+
+    def score(text):
+        total = Counter()
+        for w in text.lower().split():
+            found = [word[w]] if w in word else []
+            for n in range(5, 0, -1) if not found else ():
+                p = f" {w} "
+                found = found or [gram[p[i : i + n]] for i in range(len(p) - n + 1) if p[i : i + n] in gram]
+            for x in ("de", "en"):
+                total[x] += sum(f[x] for f in found) / max(1, len(found))
+        best = max(("de", "en"), key=lambda x: total[x])
+        return best, 1 / sum(math.exp(total[x] - total[best]) for x in total)
+
+    texts = ["The cats", "hunde und katzen", "bird der", "xyzzy", "the der", "\u00dfa\u00df"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    for r in language_id.predict(docs, model).collect():
+        want = score(r.text)
+        assert r.language.lang_pred == want[0] and abs(r.language.score - want[1]) < 1e-9

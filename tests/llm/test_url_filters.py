@@ -35,3 +35,17 @@ def test_tracking_words_fetch_their_rules(spark):
     con.executemany("insert into pages values (?, ?)", list(enumerate(urls)))
     assert got == sorted(con.execute(queries.ORACLE_SQL["op3_url_filters"]).fetchall())
     assert [r[4] for r in got] == ["block"] * 4 + ["allow"] * 4 + ["block"]
+
+
+def test_filter_list_rules(spark):
+    lines = ["! comment", "||ads.example.org^", "@@||ads.example.org/ok/", "/banner/*/img^", "|good.com/x|", "##.ad", "*track*", "||a.b^$third-party", "/re[gx]/", "||stat.net^*/pixel."]
+    rules = [url_filters.list_rule(x) for x in lines]
+    assert [r is None for r in rules] == [True, False, False, False, False, True, True, True, True, False]
+    urls = {
+        "http://ads.example.org/": "block", "http://x.ADS.example.org:80/a": "block", "http://ads.example.org": "block", "http://xads.example.org/": "allow", "http://ads.example.org/ok/1": "allow", "http://ads.example.organ/": "allow",
+        "http://q.com/banner/7/img?x": "block", "http://q.com/Banner/7/IMG/1": "block", "http://q.com/banner/img": "allow", "http://q.com/banner/7/imgs": "allow", "http://good.com/x": "block", "http://good.com/xy": "allow", "http://a.good.com/x": "allow",
+        "http://w.stat.net/a/pixel.gif": "block", "http://w.stat.net/a/pixels.gif": "allow",
+    }
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    got = {r.url: r.verdict for r in url_filters.judge(pages, tuple(r for r in rules if r)).select("url", "judged.verdict").collect()}
+    assert got == urls
