@@ -21,7 +21,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> list[np.ndarray]:
+def powers(n: int) -> list[np.ndarray]:
     """Powers of the base and of its inverse modulo 2^64, n of each at least."""
     if not _tables or len(_tables[0]) < n:
         _tables.clear()
@@ -32,36 +32,40 @@ def _powers(n: int) -> list[np.ndarray]:
     return _tables
 
 
-def _word_hashes(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and first bytes of the words of a buffer that ends with white space: differences of a running sum of
+def _word_hashes(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, first and end bytes of the words of a buffer that ends with white space: differences of a running sum of
     value * base^place, divided by the power at the word's first byte."""
     values = _VALUE[buffer]
     inside = np.concatenate([[False], values != 0])
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[0::2], edges[1::2]
     if not len(starts):
-        return np.zeros(0, dtype=np.uint64), starts
-    powers, inverse = _powers(len(buffer))
-    sums = np.concatenate([np.zeros(1, dtype=np.uint64), values * powers[: len(values)]])
+        return np.zeros(0, dtype=np.uint64), starts, ends
+    forward, inverse = powers(len(buffer))
+    sums = np.concatenate([np.zeros(1, dtype=np.uint64), values * forward[: len(values)]])
     np.cumsum(sums, out=sums)
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + mix((ends - starts).astype(np.uint64))), starts
+    return mix((sums[ends] - sums[starts]) * inverse[starts] + mix((ends - starts).astype(np.uint64))), starts, ends
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the texts in order, and where each text's words end among them."""
-    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-    buffer = np.frombuffer(b" ".join(raw) + b" ", dtype=np.uint8)
-    hashes, starts, at = [], [], 0
+def words_in(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, first and end bytes of all words of a buffer of UTF-8 that ends with white space."""
+    found, at = [], 0
     while at < len(buffer):
         end = min(at + BLOCK_BYTES, len(buffer))
         while buffer[end - 1] not in _SPACE:
             end += 1
-        own, first = _word_hashes(buffer[at:end])
-        hashes.append(own)
-        starts.append(first + at)
+        own, first, last = _word_hashes(buffer[at:end])
+        found.append((own, first + at, last + at))
         at = end
-    ends = np.cumsum([len(r) + 1 for r in raw])
-    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), ends)
+    hashes, starts, ends = (np.concatenate(x) for x in zip(*found))
+    return hashes, starts, ends
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts in order, and where each text's words end among them."""
+    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    hashes, starts, _ = words_in(np.frombuffer(b" ".join(raw) + b" ", dtype=np.uint8))
+    return hashes, np.searchsorted(starts, np.cumsum([len(r) + 1 for r in raw]))
 
 
 def sets(texts: list[str | None], k: int = 5) -> list[np.ndarray]:

@@ -1,12 +1,12 @@
 """Substring dedup by line and passage hashing.
 
-A text's words are what stands between white space, in lower case; scripts without spaces count a word for each two
-characters. Inside lines, pieces end at sentence marks or before a capitalised or long word (cuts follow content, so a
-passage inside another line is cut alike). Hashed to 64 bits are lines of at least ``line_words`` words and windows of
-exactly ``run_words`` words in sequence, over as many pieces as they span: from each piece's first word (and on from there
-in long pieces), and up to the last word of each line and sentence. Digests are grouped globally; the occurrence that comes
-first by (doc_id, place) is kept, and elsewhere the line or window goes. So what goes stands, word for word and at that
-length, in an earlier place; of a repeated passage, up to a piece may stay at either end.
+A text's words are what stands between white space, A-Z in lower case; in scripts without spaces a word is two characters.
+Hashed to 64 bits are lines of at least ``line_words`` words, and windows of exactly ``run_words`` words in sequence, over line ends
+if need be. Windows start where content says so, so that equal passages are cut alike wherever they stand: at the first words
+of lines and sentences and every ``run_words`` words from there, at words with a capital from A to Z or of LONG bytes, and at one of ANCHOR others by hash; further
+windows end with the last words of lines and sentences. Digests are grouped globally; the occurrence that comes first by (doc_id, place) is kept, and elsewhere the line
+or window goes. So what goes stands, word for word and at that length, in an earlier place; of a repeated passage, a few words
+before the first start or after the last end may stay.
 
 Rows are dealt to batches of about ``batch_bytes`` of text. A batch sends, for each of its distinct digests, the first
 occurrence to the digest's bucket (so a hot digest is one entry for each batch, not for each row); a bucket answers with
@@ -19,9 +19,7 @@ doc_id are the same document, so occurrences of equal rank are all kept; columns
 from __future__ import annotations
 
 import re
-
-from hashlib import blake2b
-from itertools import accumulate
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,71 +28,93 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import forget, parts, text_bytes
+from .shingles import chunks, mix, powers, words_in
 
-CUT = re.compile(r"\s*\n\s*|(?<=[.!?。！？])\s+|\s+(?=[A-ZÀ-ÖØ-ÞΑ-ΩА-Я])|\s+(?=\w{8})|(?<=[。！？，、；：])(?=\S)")
 #: Letters of scripts that are written without spaces: Thai, Lao, Burmese, Khmer, kana and Han (fixed values).
 UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
 HAS_UNSPACED = re.compile(f"[{UNSPACED}]")
-SPACED = re.compile(r"\S+")
-WORD = re.compile(rf"[{UNSPACED}]{{1,2}}|[^\s{UNSPACED}]+")
-REMOVED = "array<struct<start:int,end:int>>"
-
-
-def units(text: str) -> tuple[list[str], list[tuple[int, int, int, bool]], list[tuple[int, int, int, int]]]:
-    """Words; pieces (start, end, first word, whether it ends a line or sentence); lines (start, end, first, end word)."""
-    words: list[str] = []
-    pieces: list[tuple[int, int, int, bool]] = []
-    lines: list[tuple[int, int, int, int]] = []
-    split = WORD.findall if HAS_UNSPACED.search(text) else str.split
-    line_start, line_first, at = 0, 0, 0
-    for m in [*CUT.finditer(text), None]:
-        end, after = m.span() if m else (len(text), len(text))
-        ends_line = m is None or "\n" in text[end:after]
-        found = split(text[at:end].lower())
-        if found:
-            pieces.append((at, end, len(words), ends_line or text[end - 1] in ".!?。！？"))
-            words += found
-        if ends_line:
-            if len(words) > line_first:
-                lines.append((line_start, end, line_first, len(words)))
-            line_start, line_first = after, len(words)
-        at = after
-    return words, pieces, lines
-
-
-def digests(words: list[str], pieces: list[tuple], lines: list[tuple], line_words: int, run_words: int) -> tuple[dict[int, int], dict[int, int]]:
-    """Digests of the windows by their first word's number and of the lines by their own number."""
-    joined, at = " ".join(words), [0, *accumulate(len(w) + 1 for w in words)]
-
-    def of(first: int, end: int, kind: bytes) -> int:
-        return int.from_bytes(blake2b(joined[at[first] : at[end] - 1].encode("utf-8", "surrogatepass"), digest_size=8, person=kind).digest(), "little")
-
-    firsts = [p[2] for p in pieces]
-    ends = [*firsts[1:], len(words)]
-    starts = {u for a, e in zip(firsts, ends) for u in range(a, e, run_words) if u + run_words <= len(words)} | {e - run_words for p, e in zip(pieces, ends) if p[3] and e >= run_words}
-    return {u: of(u, u + run_words, b"run") for u in sorted(starts)}, {k: of(a, b, b"line") for k, (_, _, a, b) in enumerate(lines) if b - a >= line_words}
-
-
-def repeats(text: str, known: dict[int, tuple[int, int]], doc: int, line_words: int, run_words: int) -> list[tuple[int, int]]:
-    """Spans to remove: known has the first (doc, place) of each repeated digest; a place is a window's or a line's number."""
-    words, pieces, lines = units(text)
-    windows, whole = digests(words, pieces, lines, line_words, run_words)
-
-    def again(found: dict[int, int]) -> list[int]:
-        return [i for i, d in found.items() if (first := known.get(d)) is not None and first != (doc, i)]
-
-    spans = [lines[k][:2] for k in again(whole)]
-    gone = again(windows)
-    if gone:
-        places = [(p[0] + m.start(), p[0] + m.end()) for p in pieces for m in (WORD if HAS_UNSPACED.search(text) else SPACED).finditer(text[p[0] : p[1]])]
-        spans += [(places[u][0], places[u + run_words - 1][1]) for u in gone]
-    merged: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if merged and (a <= merged[-1][1] or not text[merged[-1][1] : a].strip()):
-            merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
-        else:
-            merged.append((a, b))
-    return merged
+WORD = re.compile(rf"[{UNSPACED}]{{1,2}}|[^\s{UNSPACED}]+|\n")
+WIDE_ENDS = "\u3002\uff01\uff1f\uff0c\u3001\uff1b\uff1a"  # full-width sentence and clause marks
+LONG, ANCHOR = 8, np.uint64(16)
+CHUNK_CHARS = 1_000_000
+
+
+class Words:
+    """Words of some texts end to end: hashes, byte places, the text of each, and where lines and sentences begin.
+
+    Texts with unspaced scripts are spelled with a space between words first; ``spelled`` has their words' spans.
+    """
+
+    def __init__(self, texts: list[str]):
+        self.spelled: dict[int, list[tuple[int, int]]] = {}
+        raw = []
+        for i, t in enumerate(texts):
+            if not t.isascii() and HAS_UNSPACED.search(t):
+                found = [m.span() for m in WORD.finditer(t)]
+                self.spelled[i] = [x for x in found if t[x[0]] != "\n"]
+                t = " ".join([t[a:b] for a, b in found])
+            raw.append(t.encode("utf-8", "surrogatepass"))
+        self.buffer = np.frombuffer(b"\n".join(raw) + b"\n", dtype=np.uint8)
+        self.text_ends = np.cumsum([len(r) + 1 for r in raw])
+        self.hashes, self.starts, self.ends = words_in(self.buffer)
+        self.bounds = np.searchsorted(self.starts, np.concatenate([[0], self.text_ends]))
+        self.text = np.repeat(np.arange(len(texts)), np.diff(self.bounds))
+        n = len(self.hashes)
+        breaks = np.flatnonzero(self.buffer == 10)
+        line = np.searchsorted(breaks, self.starts)
+        self.new_line = np.concatenate([[True], line[1:] != line[:-1]]) if n else np.zeros(0, dtype=bool)
+        ends_sentence = np.isin(self.buffer[self.ends - 1], np.frombuffer(b".!?", dtype=np.uint8))
+        if not all(map(str.isascii, texts)):
+            three = (self.buffer[np.maximum(self.ends - 3, 0)].astype(np.int64) << 16) | (self.buffer[np.maximum(self.ends - 2, 0)].astype(np.int64) << 8) | self.buffer[self.ends - 1]
+            ends_sentence |= np.isin(three, [int.from_bytes(c.encode(), "big") for c in WIDE_ENDS])
+        self.new_sentence = self.new_line | (np.concatenate([[False], ends_sentence[:-1]]) if n else False)
+        self.sums = np.zeros(n + 1, dtype=np.uint64)
+        forward, self.inverse = powers(n + 1)
+        np.cumsum(self.hashes * forward[:n], out=self.sums[1:])
+
+    def digest(self, first: np.ndarray, end: np.ndarray, kind: int) -> np.ndarray:
+        return mix((self.sums[end] - self.sums[first]) * self.inverse[first] + mix((end - first).astype(np.uint64) + np.uint64(kind << 32)))
+
+    def units(self, line_words: int, run_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(digest, first word, end word) of lines that are long enough, then of windows."""
+        n = len(self.hashes)
+        first = np.flatnonzero(self.new_line)
+        end = np.append(first[1:], n) if n else first
+        long = end - first >= line_words
+        lines, line_ends = first[long], end[long]
+        begins = np.flatnonzero(self.new_sentence)
+        closing = np.append(begins[1:], n) - run_words if n else begins
+        place = np.arange(n) - np.repeat(begins, np.diff(np.append(begins, n)))
+        capital = self.buffer[self.starts] - np.uint8(65) < 26
+        own = np.flatnonzero(capital | (self.ends - self.starts >= LONG) | (mix(self.hashes) % ANCHOR == 0) | (place % run_words == 0))
+        starts = np.unique(np.concatenate([own, closing]))
+        starts = starts[(starts >= 0) & (starts + run_words <= n)]
+        starts = starts[self.text[starts] == self.text[starts + run_words - 1]]
+        return (
+            np.concatenate([self.digest(lines, line_ends, 1), self.digest(starts, starts + run_words, 0)]),
+            np.concatenate([lines, starts]), np.concatenate([line_ends, starts + run_words]),
+        )
+
+    def spans(self, gone: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+        """For each text with words that go, the code-point spans of runs of them."""
+        at = np.flatnonzero(gone)
+        if not len(at):
+            return {}
+        run = np.concatenate([[True], (at[1:] != at[:-1] + 1) | (self.text[at[1:]] != self.text[at[:-1]])])
+        first, last = at[run], at[np.append(np.flatnonzero(run)[1:] - 1, len(at) - 1)]
+        out: dict[int, list[tuple[int, int]]] = {}
+        for i, a, b in zip(self.text[first].tolist(), first.tolist(), last.tolist()):
+            if i in self.spelled:
+                own = self.spelled[i]
+                out.setdefault(i, []).append((own[a - self.bounds[i]][0], own[b - self.bounds[i]][1]))
+            else:
+                out.setdefault(i, []).append((int(self.starts[a]), int(self.ends[b])))
+        for i, found in out.items():
+            if i not in self.spelled:
+                begin = int(self.text_ends[i - 1]) if i else 0
+                points = np.concatenate([[0], np.cumsum((self.buffer[begin : self.text_ends[i]] & 0xC0) != 0x80)])
+                out[i] = [(int(points[a - begin]), int(points[b - begin])) for a, b in found]
+        return out
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:
@@ -130,18 +150,22 @@ def dedup(docs: DataFrame, line_words: int = 8, run_words: int = 25, batch_bytes
     dealt = dealt.withColumn("batch", F.pmod(F.xxhash64(id_at, text_at, F.spark_partition_id()), F.lit(batches)).cast("int"))
     dealt = dealt.repartition(F.col("batch"))
 
+    def held(rows: pd.DataFrame) -> Iterator[tuple[list[int], Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For chunks of the rows that have text: their places, words, digests, first and end words, doc_ids and places of units."""
+        at = [i for i, t in enumerate(rows[text_at]) if isinstance(t, str)]
+        texts, docs = rows[text_at].tolist(), [_doc(d) for d in rows[id_at]]
+        for chunk in chunks(at, lambda i: len(texts[i]), CHUNK_CHARS):
+            words = Words([texts[i] for i in chunk])
+            digest, first, end = words.units(line_words, run_words)
+            of = words.text[first]
+            yield chunk, words, digest, first, end, np.array([docs[i] for i in chunk], dtype=np.int64)[of], first - words.bounds[of]
+
     def send(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         forget()
-        found, at = [], []
-        for doc, text in zip(rows[id_at], rows[text_at]):
-            if isinstance(text, str):
-                for own in digests(*units(text), line_words, run_words):
-                    found += own.values()
-                    at += [(_doc(doc), i) for i in own]
-        if not found:
+        found = [(digest, doc, place) for _, _, digest, _, _, doc, place in held(rows)]
+        if not any(len(x[0]) for x in found):
             return pd.DataFrame({"bucket": pd.Series(dtype="int32"), "batch": pd.Series(dtype="int32"), "entries": pd.Series(dtype=object)})
-        hashed = np.array(found, dtype=np.uint64)
-        doc_ids, places = (np.array(x, dtype=np.int64) for x in zip(*at))
+        hashed, doc_ids, places = (np.concatenate(x) for x in zip(*found))
         order = np.lexsort((places, doc_ids, hashed))
         hashed, doc_ids, places = hashed[order], doc_ids[order], places[order]
         first = np.flatnonzero(np.r_[True, hashed[1:] != hashed[:-1]])
@@ -149,8 +173,8 @@ def dedup(docs: DataFrame, line_words: int = 8, run_words: int = 25, batch_bytes
         hashed, doc_ids, places = hashed[first], doc_ids[first], places[first] * 2 + (counts > 1)
         bucket = ((hashed >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        held, starts = np.unique(bucket[order], return_index=True)
-        out = [(b, key[0], pack(hashed[i], doc_ids[i], places[i])) for b, i in zip(held.tolist(), np.split(order, starts[1:]))]
+        filled, starts = np.unique(bucket[order], return_index=True)
+        out = [(b, key[0], pack(hashed[i], doc_ids[i], places[i])) for b, i in zip(filled.tolist(), np.split(order, starts[1:]))]
         return pd.DataFrame(out, columns=["bucket", "batch", "entries"])
 
     def answer(rows: pd.DataFrame) -> pd.DataFrame:
@@ -172,15 +196,21 @@ def dedup(docs: DataFrame, line_words: int = 8, run_words: int = 25, batch_bytes
         return pd.DataFrame(out, columns=["batch", "entries"])
 
     def apply(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        known: dict[int, tuple[int, int]] = {}
-        for e in answers["entries"]:
-            digests, doc_ids, places = unpack(e)
-            known |= zip(digests.tolist(), zip(doc_ids.tolist(), (places >> 1).tolist()))
-        kept, removed = [], []
-        for doc, text in zip(rows[id_at], rows[text_at]):
-            spans = repeats(text, known, _doc(doc), line_words, run_words) if isinstance(text, str) else []
-            kept.append(cut(text, spans) if isinstance(text, str) else None)
-            removed.append([{"start": a, "end": b} for a, b in spans])
+        forget()
+        entries = [unpack(e) for e in answers["entries"]]
+        known, first_doc, first_place = (np.concatenate(x) for x in zip(*entries)) if entries else (np.zeros(0, dtype=t) for t in ("<u8", "<i8", "<u4"))
+        order = np.argsort(known)
+        known, first_doc, first_place = known[order], first_doc[order], (first_place[order] >> 1).astype(np.int64)
+        kept, removed = [t if isinstance(t, str) else None for t in rows[text_at]], [[] for _ in range(len(rows))]
+        for chunk, words, digest, first, end, doc, place in held(rows) if len(known) else ():
+            at = np.minimum(np.searchsorted(known, digest), len(known) - 1)
+            again = (known[at] == digest) & ((first_doc[at] != doc) | (first_place[at] != place))
+            edge = np.zeros(len(words.hashes) + 1, dtype=np.int64)
+            np.add.at(edge, first[again], 1)
+            np.add.at(edge, end[again], -1)
+            for i, spans in words.spans(np.cumsum(edge[:-1]) > 0).items():
+                kept[chunk[i]] = cut(kept[chunk[i]], spans)
+                removed[chunk[i]] = [{"start": a, "end": b} for a, b in spans]
         out = rows[inner].copy()
         out["kept_text"], out["removed"] = pd.Series(kept, index=out.index, dtype=object), pd.Series(removed, index=out.index, dtype=object)
         return out
