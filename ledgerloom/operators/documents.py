@@ -25,10 +25,25 @@ def evidence_lines(docs: DataFrame, key: str, text: str, confidence: float, fall
 
 def chunks(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, chunk_no, heading, body, sha256) of a markdown text cut before each heading line."""
-    cut = docs.select(key, F.posexplode(F.split(text, r"(?m)(?=^#{1,6} )")).alias("chunk_no", "body")).where(F.trim("body") != "")
+    cut = docs.select(key, F.posexplode(F.split(text, r"(?md)(?=^#{1,6} )")).alias("chunk_no", "body")).where(F.trim("body") != "")
     return cut.select(key, "chunk_no", F.trim(F.regexp_extract("body", r"^#{1,6} ([^\n]*)", 1)).alias("heading"), "body", F.sha2("body", 256).alias("sha256"))
 
 
+OCR = "pages array<struct<page: int, words: array<struct<text: string, confidence: double>>>>"
+
+
+def ocr_pages(docs: DataFrame, key: str, json: str, most: int = 20) -> DataFrame:
+    """(key, page, text, n_words, confidence, references) of each page of recognised documents given as JSON: words joined by
+    spaces, their mean confidence (4 digits, null without words), and the first `most` references of each pattern. What is no
+    such JSON has no pages."""
+    pages = docs.select(key, F.explode(F.from_json(json, OCR)["pages"]).alias("p"))
+    words = pages.select(key, F.col("p.page").alias("page"), F.coalesce("p.words", F.array().cast("array<struct<text:string,confidence:double>>")).alias("w"))
+    text = F.array_join(F.transform("w", lambda w: w["text"]), " ")
+    mean = F.round(F.round(F.aggregate("w", F.lit(0.0), lambda a, w: a + w["confidence"]) / F.nullif(F.size("w"), F.lit(0)), 9), 4)
+    found = F.flatten(F.array(*[F.slice(F.regexp_extract_all(text, F.lit(p), F.lit(0)), 1, most) for p in REFERENCES]))
+    return words.select(key, "page", text.alias("text"), F.size("w").cast("long").alias("n_words"), mean.alias("confidence"), found.alias("references"))
+
+
 def dlp_findings(docs: DataFrame, key: str, text: str, patterns=T.DLP, most: int | None = None) -> DataFrame:
     """(key, type, line_no, masked) of all matches of all patterns, at most `most` by text and pattern where that is the rule.
 

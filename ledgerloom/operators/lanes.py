@@ -1,9 +1,9 @@
 """Matching invoice lines with approved lanes and executed references: exact keys, fuzzy candidates, weighted similarity.
 
-Lines are matched by their distinct (origin, destination, vehicle, unit, rate) only, and candidates meet through words of
-places or through (vehicle, unit), so the work follows distinct combinations and not lines times lanes. Only a combination
-whose words no lane has meets every lane, as the rule demands; those are split off and joined with the lane table, whose
-size is the caller's to bound (MAX_LANES).
+Similarities are computed once for each distinct (origin, destination, vehicle, unit) of the lines, and candidates meet through
+words of places or through (vehicle, unit), so that work follows distinct combinations and not lines times lanes. Only
+combinations whose words no lane has meet every lane, as the rule demands; those are split off and joined with the lane table,
+which may have MAX_LANES rows for that (more are an error, never cut off).
 """
 
 from __future__ import annotations
@@ -44,41 +44,70 @@ def _end(a: Column, b: Column, a_tokens: Column, b_tokens: Column) -> Column:
     return 0.65 * numbers.similarity_of_sets(a_tokens, b_tokens) + 0.35 * places.sequence_ratio(a, b)
 
 
+def whole(lanes: DataFrame) -> DataFrame:
+    """lanes for a join with all of them: their number is checked before they are broadcast."""
+    if lanes.limit(MAX_LANES + 1).count() > MAX_LANES:
+        raise ValueError(f"more than {MAX_LANES} lanes")
+    return F.broadcast(lanes)
+
+
+def candidates(keys: DataFrame, known: DataFrame) -> DataFrame:
+    """(key, lane_id) that are scored: lanes that share a word of either end; without any such at the origin those that share
+    one at the destination, and the other way round only if the destination has no words; all lanes if that leaves none."""
+    ends = {}
+    for side, own, other in (("o", "ot", "lot"), ("d", "dt", "ldt")):
+        ends[side] = keys.select("key", F.explode(own).alias("t")).join(known.select("lane_id", F.explode(other).alias("t")), "t").select("key", "lane_id").distinct()
+    lost_o = keys.select("key").join(ends["o"].select("key").distinct(), "key", "left_anti")
+    found = ends["o"].join(ends["d"], ["key", "lane_id"])
+    found = found.unionByName(ends["d"].join(lost_o, "key", "left_semi")).unionByName(ends["o"].join(keys.where(F.size("dt") == 0).select("key"), "key", "left_semi"))
+    rest = keys.select("key").join(found.select("key").distinct(), "key", "left_anti")
+    return found.unionByName(rest.join(whole(known.select("lane_id")), F.lit(True)))
+
+
 def fuzzy(lines: DataFrame, lanes: DataFrame, top: int = 5) -> DataFrame:
-    """The `top` lanes of each distinct key of lines: (KEY, lane_id, place, score, direction, relaxed), best first (ties: lane_id)."""
+    """The `top` lanes of each line (line_id, KEY, rate): (line_id, lane_id, place, score, direction, relaxed), best first; ties:
+    the smaller lane_id. lanes: lane_id, KEY and rate.
+
+    Of a key's lanes only those can be among the best of any line that come within the largest rate bonus of the key's
+    `top`-th score without it; the others are dropped before lines are joined.
+    """
     keys = normalized(lines.select(*KEY).distinct())
     keys = keys.withColumns({"key": F.xxhash64(*KEY), "ot": places.tokens(F.col("o")), "dt": places.tokens(F.col("d"))})
-    known = normalized(lanes).select("lane_id", *[F.col(c).alias(f"l{c}") for c in "odvu"])
+    known = normalized(lanes).select("lane_id", F.col("rate").alias("lane_rate"), *[F.col(c).alias(f"l{c}") for c in "odvu"])
     known = known.withColumns({"lot": places.tokens(F.col("lo")), "ldt": places.tokens(F.col("ld"))})
-    near_o = keys.select("key", F.explode("ot").alias("t")).join(known.select("lane_id", F.explode("lot").alias("t")), "t").select("key", "lane_id").distinct()
-    near_d = keys.select("key", F.explode("dt").alias("t")).join(known.select("lane_id", F.explode("ldt").alias("t")), "t").select("key", "lane_id").distinct()
-    candidates = near_o.join(near_d, ["key", "lane_id"])
-    rest = keys.select("key").join(candidates.select("key").distinct(), "key", "left_anti")
-    candidates = candidates.unionByName(rest.join(F.broadcast(known.select("lane_id").limit(MAX_LANES)), F.lit(True)))
-    pairs = candidates.join(keys, "key").join(known, "lane_id")
+    pairs = candidates(keys, known).join(keys, "key").join(known, "lane_id")
     base, lane_base = F.split("v", " ")[0], F.split("lv", " ")[0]
     fits = (F.col("v") == F.col("lv")) | (base == lane_base)
     bonus = F.when(F.col("v") == F.col("lv"), 0.08).when(fits, 0.04).otherwise(0.0) + F.when(F.col("u") == F.col("lu"), 0.03).otherwise(0.0)
     forward = 0.5 * _end(F.col("o"), F.col("lo"), F.col("ot"), F.col("lot")) + 0.5 * _end(F.col("d"), F.col("ld"), F.col("dt"), F.col("ldt")) + bonus
     back = 0.5 * _end(F.col("o"), F.col("ld"), F.col("ot"), F.col("ldt")) + 0.5 * _end(F.col("d"), F.col("lo"), F.col("dt"), F.col("lot")) + bonus - 0.02
-    scored = pairs.select(*KEY, "key", "lane_id", fits.alias("fits"), forward.alias("f"), back.alias("b"))
-    any_fit = Window.partitionBy("key")
-    gated = scored.withColumn("some", F.max("fits").over(any_fit)).where("fits or not some")
-    ranked = gated.select(*KEY, "key", "lane_id", F.greatest("f", "b").alias("raw"), F.when(F.col("b") > F.col("f"), "REVERSED").otherwise("FORWARD").alias("direction"), (~F.col("some")).alias("relaxed"))
-    place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("raw"), "lane_id"))
-    kept = ranked.withColumn("place", place).where(F.col("place") <= top)
-    return kept.select(*KEY, "lane_id", "place", F.round(F.greatest(F.lit(0.0), F.least(F.lit(0.99), F.col("raw"))), 4).alias("score"), "direction", "relaxed")
+    some = Window.partitionBy("key")
+    gated = pairs.withColumn("fits", fits).withColumn("some", F.max("fits").over(some)).where("fits or not some")
+    scored = gated.select(*KEY, "key", "lane_id", "lane_rate", forward.alias("f"), back.alias("b"), (~F.col("some")).alias("relaxed"))
+    ranked = scored.select(*KEY, "key", "lane_id", "lane_rate", F.greatest("f", "b").alias("raw"), F.when(F.col("b") > F.col("f"), "REVERSED").otherwise("FORWARD").alias("direction"), "relaxed")
+    nth = F.nth_value("raw", top).over(some.orderBy(F.desc("raw")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    able = ranked.withColumn("nth", nth).where("nth is null or raw >= nth - 0.12 - 1e-9").drop("nth", "key")
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"a.{c}")) for c in KEY]
+    joined = lines.select("line_id", *KEY, "rate").alias("l").join(able.alias("a"), same[0] & same[1] & same[2] & same[3])
+    raw = F.col("raw") + F.when(F.col("rate").isNotNull(), 0.12 * numbers.rate_closeness(F.col("rate"), F.col("lane_rate"))).otherwise(0.0)
+    met = joined.select("line_id", "lane_id", raw.alias("raw"), "direction", "relaxed")
+    place = F.row_number().over(Window.partitionBy("line_id").orderBy(F.desc("raw"), "lane_id"))
+    kept = met.withColumn("place", place).where(F.col("place") <= top)
+    return kept.select("line_id", "lane_id", "place", F.round(F.greatest(F.lit(0.0), F.least(F.lit(0.99), F.col("raw"))), 4).alias("score"), "direction", "relaxed")
 
 
 def weighted(lines: DataFrame, refs: DataFrame, threshold: float = 0.6) -> DataFrame:
-    """(KEY, ref_id, score) of the best reference of the same vehicle and unit at or above the threshold; ties: first ref_id.
+    """(KEY, ref_id, score) of the best reference at or above the threshold, of the same vehicle and unit or, where there is none
+    such, of all; ties: first ref_id.
 
     Weights: .35 for each end's sequence similarity, .1 each for vehicle, unit and a shared first word.
     """
     keys, known = normalized(lines.select(*KEY).distinct()), normalized(refs).select("ref_id", *[F.col(c).alias(f"l{c}") for c in "odvu"])
-    pairs = keys.join(known, (F.col("v") == F.col("lv")) & (F.col("u") == F.col("lu")))
-    same_start = F.when(F.split("o", " ")[0] == F.split("lo", " ")[0], 1.0).otherwise(0.0)
-    score = 0.35 * places.sequence_ratio(F.col("o"), F.col("lo")) + 0.35 * places.sequence_ratio(F.col("d"), F.col("ld")) + 0.2 + 0.1 * same_start
+    pool = known.select(F.col("lv").alias("v"), F.col("lu").alias("u")).distinct()
+    same = keys.join(known, (F.col("v") == F.col("lv")) & (F.col("u") == F.col("lu")))
+    pairs = same.unionByName(keys.join(pool, ["v", "u"], "left_anti").select(*keys.columns).join(whole(known), F.lit(True)))
+    one = lambda fits: F.when(fits, 0.1).otherwise(0.0)
+    score = 0.35 * places.sequence_ratio(F.col("o"), F.col("lo")) + 0.35 * places.sequence_ratio(F.col("d"), F.col("ld")) + one(F.col("v") == F.col("lv")) + one(F.col("u") == F.col("lu")) + one(F.split("o", " ")[0] == F.split("lo", " ")[0])
     best = pairs.select(*KEY, "ref_id", score.alias("score")).where(F.col("score") >= threshold)
     return best.groupBy(*KEY).agg(F.max_by(F.struct("ref_id", "score"), F.struct("score", -F.col("ref_id"))).alias("m")).select(*KEY, "m.*")
 
@@ -95,15 +124,49 @@ def executed_reference(lines: DataFrame, by_shipment: DataFrame, by_lane: DataFr
     return joined.select(*lines.columns, F.coalesce("shipment_rate", lane_rate).alias("executed_rate"), method.alias("method"))
 
 
+def contained(short: DataFrame, long: DataFrame) -> DataFrame:
+    """(a, b) of short (a, x) and long (b, y) with x, not empty, inside y. x is filed under its last 8 characters (or 4, 2, 1 if it
+    is shorter), and y asks for all its substrings of those lengths, so no pair is missed."""
+    sizes = (8, 4, 2, 1)
+    n = F.char_length("x")
+    filed = short.where(n > 0).withColumn("k", F.coalesce(*[F.when(n >= q, F.right("x", F.lit(q))) for q in sizes]))
+
+    def grams(q: int) -> Column:
+        own = F.transform(F.sequence(F.lit(1), F.char_length("y") - q + 1), lambda i: F.substring(F.col("y"), i, F.lit(q)))
+        return F.when(F.char_length("y") >= q, own).otherwise(F.array().cast("array<string>"))
+
+    asked = long.withColumn("k", F.explode(F.array_distinct(F.concat(*map(grams, sizes)))))
+    return filed.join(asked, "k").where(F.col("y").contains(F.col("x"))).select("a", "b")
+
+
 def documents_of_lines(lines: DataFrame, documents: DataFrame) -> DataFrame:
-    """(line_id, document_id): a document belongs to a line if either reference contains the other, or by row number.
+    """(line_id, document_id): a document belongs to a line if either reference contains the other, or by row number."""
+    ref = F.upper(F.trim("ref"))
+    a, b = lines.select(F.col("line_id").alias("a"), ref.alias("x")), documents.select(F.col("document_id").alias("b"), ref.alias("y"))
+    back = contained(b.select(F.col("b").alias("a"), F.col("y").alias("x")), a.select(F.col("a").alias("b"), F.col("x").alias("y"))).select(F.col("b").alias("a"), F.col("a").alias("b"))
+    by_row = lines.select(F.col("line_id").alias("a"), "row_no").join(documents.select(F.col("document_id").alias("b"), "row_no"), "row_no").select("a", "b")
+    return contained(a, b).unionByName(back).unionByName(by_row).distinct().select(F.col("a").alias("line_id"), F.col("b").alias("document_id"))
 
-    Containment is found through all substrings of the shorter kind only where references are short: each reference is
-    keyed by its fixed-length prefixes' tail numbers, so it is an equi join on the digits that both must share.
+
+def nearest_ids(typed: DataFrame, known: DataFrame, threshold: float = 80.0) -> DataFrame:
+    """(typed, known, ratio): the known id of largest indel similarity at or above the threshold; ties: the smallest id.
+
+    Ids one insertion or deletion apart share a text with at most one character less, so an equi join finds all of them; for
+    ids of three characters or more none further away is as similar. Only ids that have none so near meet every known
+    one, whose number is checked (MAX_LANES).
     """
-    digits = lambda c: F.regexp_extract(c, r"(\d+)$", 1)
-    a = lines.select("line_id", F.upper(F.trim("ref")).alias("ref"), "row_no").withColumn("k", digits(F.col("ref")))
-    b = documents.select("document_id", F.upper(F.trim("ref")).alias("doc_ref"), F.col("row_no").alias("doc_row")).withColumn("k2", digits(F.col("doc_ref")))
-    by_ref = a.where("k <> ''").join(b.where("k2 <> ''"), F.col("k") == F.col("k2")).where(F.col("ref").contains(F.col("doc_ref")) | F.col("doc_ref").contains(F.col("ref"))).select("line_id", "document_id")
-    by_row = a.join(b, F.col("row_no") == F.col("doc_row")).select("line_id", "document_id")
-    return by_ref.unionByName(by_row).distinct()
+
+    def near(rows: DataFrame, c: str) -> DataFrame:
+        less = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(c), F.lit(1))), lambda i: F.concat(F.substring(F.col(c), F.lit(1), i - 1), F.substring(F.col(c), i + 1, F.char_length(c))))
+        return rows.withColumn("k", F.explode(F.array_distinct(F.concat(F.array(c), less))))
+
+    typed, known = typed.select("typed").where("typed is not null").distinct(), known.select("known").where("known is not null").distinct()
+    close = near(typed, "typed").join(near(known, "known"), "k").select("typed", "known").distinct()
+    ratio = places.indel_ratio(F.col("typed"), F.col("known"))
+    close = close.withColumn("ratio", ratio)
+    n = F.char_length("typed")
+    settled = close.where((n >= 3) & (F.col("ratio") >= 100 * (1 - 1 / (2 * n - 1)) - 1e-9)).select("typed").distinct()
+    far = typed.join(settled, "typed", "left_anti").join(whole(known), F.lit(True)).withColumn("ratio", ratio)
+    pairs = close.join(settled, "typed", "left_semi").unionByName(far).where(F.col("ratio") >= threshold)
+    best = pairs.groupBy("typed").agg(F.max("ratio").alias("ratio"))
+    return pairs.join(best, ["typed", "ratio"]).groupBy("typed", "ratio").agg(F.min("known").alias("known")).select("typed", "known", "ratio")

@@ -17,8 +17,12 @@ C = F.col
 
 
 def folder(t: Tables, name: str) -> str:
-    """A new folder below the cluster's shared one; a local one only where none is set."""
-    base = t.spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + os.path.join(tempfile.gettempdir(), "ledgerloom")
+    """A new folder below the cluster's shared one; where none is set, a local one in local mode, and an error on a cluster."""
+    base = t.spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not t.spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+        base = "file://" + os.path.join(tempfile.gettempdir(), "ledgerloom")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 

@@ -134,7 +134,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("j13_w2_fuzzy_lanes")
 def _(t: Tables) -> DataFrame:
-    return lanes.fuzzy(t.lines().where("part_id % 2 = 1").withColumn("unit", F.lit("RT")), lane_table(t))
+    return lanes.fuzzy(t.lines().withColumn("unit", F.lit("RT")).dropDuplicates(["line_id"]), lane_table(t))
 
 
 @query("j14_weighted_reference")
@@ -155,7 +155,7 @@ def _(t: Tables) -> DataFrame:
     return lanes.executed_reference(asked, by_shipment, by_lane).select("line_id", "executed_rate", "method")
 
 
-@query("j17_j18_a8_documents", "WITH l AS (SELECT o_orderkey AS line_id, 'HVDC-' || o_orderkey AS ref, o_orderkey AS row_no FROM orders), d AS (SELECT o_orderkey * 10 AS document_id, CASE WHEN o_orderkey % 2 = 0 THEN 'SCT HVDC-' || o_orderkey ELSE o_orderkey::VARCHAR END AS ref, o_orderkey + 1 AS row_no FROM orders WHERE o_orderkey % 3 = 0) SELECT line_id, count(*) AS n_documents FROM (SELECT line_id, document_id FROM l JOIN d ON regexp_extract(l.ref, '(\\d+)$') = regexp_extract(d.ref, '(\\d+)$') AND (contains(l.ref, d.ref) OR contains(d.ref, l.ref)) UNION SELECT line_id, document_id FROM l JOIN d ON l.row_no = d.row_no) GROUP BY 1")
+@query("j17_j18_a8_documents", "WITH l AS (SELECT o_orderkey AS line_id, 'HVDC-' || o_orderkey AS ref, o_orderkey AS row_no FROM orders), d AS (SELECT o_orderkey * 10 AS document_id, CASE WHEN o_orderkey % 2 = 0 THEN 'SCT HVDC-' || o_orderkey ELSE o_orderkey::VARCHAR END AS ref, o_orderkey + 1 AS row_no FROM orders WHERE o_orderkey % 3 = 0) SELECT line_id, count(*) AS n_documents FROM (SELECT line_id, document_id FROM l JOIN d ON contains(l.ref, d.ref) OR contains(d.ref, l.ref) UNION SELECT line_id, document_id FROM l JOIN d ON l.row_no = d.row_no) GROUP BY 1")
 def _(t: Tables) -> DataFrame:
     k = C("o_orderkey")
     lines = t.orders.select(k.alias("line_id"), F.concat(F.lit("HVDC-"), k.cast("string")).alias("ref"), k.alias("row_no"))
@@ -165,13 +165,12 @@ def _(t: Tables) -> DataFrame:
 
 @query("j19_j20_fuzzy_ids")
 def _(t: Tables) -> DataFrame:
-    """Best shipment of the same four-character prefix by indel similarity of at least 75, and the confidence that follows."""
-    known = t.orders.select(F.concat(F.lit("HVDC-ADOPT-SCT-"), F.lpad((C("o_orderkey") % 2000).cast("string"), 4, "0")).alias("shipment")).distinct()
-    typed = t.customer.select("c_custkey", F.concat(F.lit("HVDC-ADPT-SCT-"), F.lpad((C("c_custkey") % 2000).cast("string"), 4, "0")).alias("typed"))
-    key = lambda c: F.right(c, F.lit(2))
-    pairs = typed.join(known, key(C("typed")) == key(C("shipment"))).withColumn("ratio", places.indel_ratio(C("typed"), C("shipment"))).where("ratio >= 75")
-    best = pairs.groupBy("c_custkey").agg(F.max_by(F.struct("shipment", "ratio"), F.struct("ratio", "shipment")).alias("b")).select("c_custkey", "b.*")
-    return best.withColumn("confidence", F.greatest(F.lit(0.0), C("ratio") - 10))
+    """Best shipment by indel similarity of at least 75 of every typed reference, and the confidence that follows."""
+    number = lambda c: F.lpad((c % 2000).cast("string"), 4, "0")
+    known = t.orders.select(F.concat(F.lit("HVDC-ADOPT-SCT-"), number(C("o_orderkey"))).alias("known"))
+    typed = t.customer.select("c_custkey", F.concat(F.lit("HVDC-ADPT-SCT-"), number(C("c_custkey"))).alias("typed"))
+    best = typed.join(lanes.nearest_ids(typed, known, 75.0), "typed")
+    return best.select("c_custkey", C("known").alias("shipment"), "ratio", F.greatest(F.lit(0.0), C("ratio") - 10).alias("confidence"))
 
 
 @query("j21_special_zones", LINES + " SELECT line_id, destination IN ('Mirfa PMO Samsung', 'Al Markaz') AS special FROM lines")

@@ -1,6 +1,9 @@
 """Boundaries, ties and traps of the rules on small rows."""
 
 import datetime
+import difflib
+import random
+import re
 import zipfile
 
 import pytest
@@ -9,6 +12,8 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import numbers, places, rules
 from ledgerloom.functions import text as T
 from ledgerloom.operators import documents, lanes, logistics, lookup, recon
+from ledgerloom.plans import texts
+from ledgerloom.plans.base import Tables
 from ledgerloom.sources import sheets, sinks
 from ledgerloom.streaming import jobs
 
@@ -85,14 +90,101 @@ def test_places_and_similarity(spark):
     assert values(spark, ["ﬁle"], "t string", places.nfkc(C("t"))) == ["file"]
 
 
-def test_exact_and_fuzzy_lanes(spark):
+def test_exact_lanes(spark):
     known = spark.createDataFrame([(1, "Musaffah", "Mirfa", "FB", "per truck"), (2, "Jebel Ali", "MOSB", "Lowbed", "truck")], "lane_id int, origin string, destination string, vehicle string, unit string")
     rows = spark.createDataFrame([("MUSAFFAH", "MIRFA", "flatbed", ""), ("mosb", "jebel ali", "lb", "trip"), ("Depot 9", "Elsewhere", "FB", "")], "origin string, destination string, vehicle string, unit string")
     aliases = spark.createDataFrame([], "raw_place string, normal_place string")
     got = {r.origin: (r.lane_id, r.method) for r in lanes.exact(rows, known, aliases).collect()}
     assert got == {"MUSAFFAH": (1, "EXACT_NORM_KEY"), "mosb": (2, "REVERSED_KEY"), "Depot 9": (None, None)}
-    top = {r.origin: (r.lane_id, r.direction) for r in lanes.fuzzy(rows, known).where("place = 1").collect()}
-    assert top["MUSAFFAH"] == (1, "FORWARD") and top["mosb"] == (2, "REVERSED") and top["Depot 9"][0] == 1
+
+
+def test_fuzzy_lanes_equal_brute_force(spark, monkeypatch):
+    columns = "origin string, destination string, vehicle string, unit string, rate double"
+    lane_rows = [(i, o, d, v, u, 100.0 + 20 * i) for i, (o, d, v, u) in enumerate([("Musaffah", "Mirfa PMO", "FB", "per truck"), ("Jebel Ali", "MOSB", "Lowbed", "truck"), ("Mina Zayed", "Mirfa", "FB haz", "RT"), ("Khalifa Port", "Al Markaz", "7T", ""), ("Mirfa", "Musaffah", "FB", ""), ("ICAD 2", "Mirfa yard", "3T", "RT"), ("Al Markaz", "Port Rashid", "FB", "")])]
+    asked = [("MUSAFFAH", "MIRFA", "flatbed", "", 110.0), ("mosb", "jebel ali", "lb", "trip", 130.0), ("Depot 9", "Elsewhere", "FB", "", None), ("Depot 9", "Mirfa", "zeppelin", "RT", 150.0), ("Musaffah", "", "FB", "", 90.0), ("Musaffah", "Nowhere", "FB", "", 500.0), ("", "Mirfa", "7T", "", 0.0), (None, None, None, None, 5.0), ("MUSAFFAH", "MIRFA", "flatbed", "", 300.0)]
+    known = spark.createDataFrame(lane_rows, "lane_id int, " + columns)
+    lines = spark.createDataFrame([(i, *r) for i, r in enumerate(asked)], "line_id int, " + columns)
+    words = lambda c: places.tokens(C(c))
+    plain = lambda df, key: {r[key]: r for r in lanes.normalized(df).select(key, "o", "d", "v", "u", "rate", words("o").alias("ot"), words("d").alias("dt")).collect()}
+    ls, qs = plain(known, "lane_id"), plain(lines, "line_id")
+    jaccard = lambda a, b: 1.0 if not a and not b else len(set(a) & set(b)) / len(set(a) | set(b))
+    end = lambda x, y, a, b: 0.65 * jaccard(a, b) + 0.35 * difflib.SequenceMatcher(None, x, y).ratio()
+
+    def best(q, top):
+        near = lambda side: {i for i, x in ls.items() if set(x[side]) & set(q[side])}
+        found = near("ot") if q.ot else set(ls)
+        if q.dt:
+            found = found & near("dt") if found else near("dt")
+        found = found or set(ls)
+        base = lambda v: v.split(" ")[0]
+        fit = {i for i in found if base(ls[i].v) == base(q.v)} or found
+        out = []
+        for i in fit:
+            x = ls[i]
+            bonus = (0.08 if q.v == x.v else 0.04 if base(q.v) == base(x.v) else 0) + (0.03 if q.u == x.u else 0)
+            bonus += 0.12 * max(0.0, 1 - abs(q.rate - x.rate) / x.rate * 100 / 50) if q.rate and q.rate > 0 else 0
+            f = (end(q.o, x.o, q.ot, x.ot) + end(q.d, x.d, q.dt, x.dt)) / 2 + bonus
+            r = (end(q.o, x.d, q.ot, x.dt) + end(q.d, x.o, q.dt, x.ot)) / 2 + bonus - 0.02
+            out.append((-round(max(f, r), 9), i, "REVERSED" if r > f else "FORWARD"))
+        return [(i, round(max(0.0, min(0.99, -s)), 4), way) for s, i, way in sorted(out)[:top]]
+
+    got = {}
+    for r in sorted(lanes.fuzzy(lines, known, 2).collect(), key=lambda r: (r.line_id, r.place)):
+        got.setdefault(r.line_id, []).append((r.lane_id, r.score, r.direction))
+    assert got == {i: best(q, 2) for i, q in qs.items()}
+    monkeypatch.setattr(lanes, "MAX_LANES", 3)
+    with pytest.raises(ValueError):
+        lanes.fuzzy(lines, known)
+
+
+def test_contained_references_and_nearest_ids(spark):
+    lines = [(1, "hvdc-123", 5), (2, "HVDC-12", 6), (3, " 7 ", 7), (4, "", 8), (5, None, 9), (6, "HVDC-ADOPT-SCT-0001, 0002", 10)]
+    docs = [(10, "HVDC-12", 0), (11, "sct hvdc-123 b", 0), (12, "0002", 7), (13, "", 0), (14, "17", 0), (15, "adopt-sct-0001, 0002", 0)]
+    got = {tuple(r) for r in lanes.documents_of_lines(spark.createDataFrame(lines, "line_id int, ref string, row_no int"), spark.createDataFrame(docs, "document_id int, ref string, row_no int")).collect()}
+    clean = lambda s: (s or "").strip().upper()
+    want = {(a, b) for a, x, i in lines for b, y, j in docs if i == j or clean(x) and clean(y) and (clean(x) in clean(y) or clean(y) in clean(x))}
+    assert got == want and len(want) > 5
+    rng = random.Random(5)
+    ids = ["".join(rng.choice("AB-01") for _ in range(rng.randrange(0, 9))) for _ in range(120)]
+    typed, known = ids[:60], ids[60:]
+    found = lanes.nearest_ids(spark.createDataFrame([(x,) for x in typed], "typed string"), spark.createDataFrame([(x,) for x in known], "known string"), 75.0)
+
+    def ratio(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = _lcs_row(row, x, b)
+        return 200 * row[-1] / (len(a) + len(b)) if a or b else 100.0
+
+    want = {}
+    for x in set(typed):
+        best = max(ratio(x, y) for y in set(known))
+        if best >= 75:
+            want[x] = best
+    assert {r.typed: pytest.approx(r.ratio) for r in found.collect()} == want
+    assert all(ratio(r.typed, r.known) == pytest.approx(r.ratio) for r in found.collect())
+
+
+def _lcs_row(row, x, b):
+    out = [0]
+    for j, y in enumerate(b):
+        out.append(row[j] + 1 if x == y else max(out[-1], row[j + 1]))
+    return out
+
+
+def test_masks_equal_re_sub(spark, sf_dir):
+    rows = texts.noted(Tables(spark, sf_dir)).select("text", T.masked(C("text")).alias("m")).collect()
+    for r in rows:
+        want = r.text
+        for p in (r"[\w\.-]+@[\w\.-]+", r"\b(\+?\d[\d\-\s]{6,}\d)\b"):
+            want = re.sub(p, lambda m: "\u2022" * len(m[0]), want)
+        assert r.m == want
+    assert any("\u2022" in r.m for r in rows) and values(spark, [None], "t string", T.masked(C("t"))) == [None]
+
+
+def test_ocr_pages_of_odd_json(spark):
+    rows = [(1, None), (2, "no json"), (3, '{"pages": [{"page": 1, "words": [{"text": "BOE 12345", "confidence": 0.5}, {"text": "x", "confidence": 1.0}]}, {"page": 2}]}')]
+    got = [(r.k, r.page, r.text, r.n_words, r.confidence, r.references) for r in documents.ocr_pages(spark.createDataFrame(rows, "k int, j string"), "k", "j").collect()]
+    assert got == [(3, 1, "BOE 12345 x", 2, 0.75, ["BOE 12345"]), (3, 2, "", 0, None, [])]
 
 
 def test_upsert_seen_and_transitions(spark):
