@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import parts, shared_dir, small_batches, written
 
-BITS = 4
+BITS, MAX_FILES = 4, 50_000
 RANGE = ["offset", "length", "digest"]
 HEAD = re.compile(rb"WARC/1\.1\r\n(?:[^\r\n]+\r\n)*\r\n")
 
@@ -52,30 +52,38 @@ def record(page_id: Column, url: Column, html: Column) -> Column:
 
 
 def volumes(pages: DataFrame, file: Column, volume_rows: int = 4096) -> DataFrame:
-    """(file, volumes) of the archive that replicas are held against."""
-    return pages.groupBy(file.alias("file")).agg(F.ceil(F.count("*") / volume_rows).cast("long").alias("volumes"))
+    """(file, volumes) of the archive that replicas are held against, written once."""
+    return written(pages.groupBy(file.alias("file")).agg(F.ceil(F.count("*") / volume_rows).cast("long").alias("volumes")), "warc-volumes")
 
 
-def _dealt(pages: DataFrame, file: Column, counts: DataFrame) -> DataFrame:
-    """(file, volume, page_id, url, record, length, digest) of pages; a file that counts lacks has one volume."""
+def _dealt(pages: DataFrame, file: Column, counts: DataFrame, bodies: bool) -> DataFrame:
+    """(file, volume, page_id, url, length, digest) of pages, with bodies (..., record); a file that counts lacks has one volume.
+
+    Records are hashed before anything is joined. Up to MAX_FILES files' counts are broadcast, so records are not
+    shuffled for them; more are joined by shuffling.
+    """
     rows = pages.select(file.alias("file"), F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), record(F.col("page_id"), F.col("url"), F.col("html")).alias("record"))
-    rows = rows.join(counts.select(F.col("file").alias("of"), "volumes"), F.col("file").eqNullSafe(F.col("of")), "left")
+    rows = rows.select("file", "page_id", "url", F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("digest"), *["record"] * bodies)
+    counts = counts.select(F.col("file").alias("of"), "volumes")
+    if counts.limit(MAX_FILES + 1).count() <= MAX_FILES:
+        counts = F.broadcast(counts)
+    joined = rows.join(counts, F.col("file").eqNullSafe(F.col("of")), "left")
     volume = F.pmod(F.xxhash64("page_id", "url"), F.greatest(F.coalesce("volumes", F.lit(1)), F.lit(1))).alias("volume")
-    return rows.select("file", volume, "page_id", "url", "record", F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("digest"))
+    return joined.select("file", volume, "page_id", "url", "length", "digest", *["record"] * bodies)
 
 
 def leaves(pages: DataFrame, file: Column, counts: DataFrame) -> DataFrame:
     """(file, volume, page_id, offset, length, digest) of each record; bodies do not leave the first stage."""
     in_order = Window.partitionBy("file", "volume").orderBy("page_id", "url", "digest")
     offset = F.coalesce(F.sum("length").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset")
-    return _dealt(pages, file, counts).drop("record").select("file", "volume", "page_id", offset, "length", "digest")
+    return _dealt(pages, file, counts, False).select("file", "volume", "page_id", offset, "length", "digest")
 
 
 def write(pages: DataFrame, file: Column, counts: DataFrame, folder: str | None = None, part_bytes: int = 24 << 20) -> DataFrame:
     """Writes pages as <file>-<volume>.warc.gz below folder (default: a new one in the shared folder); returns (file, volume,
     path, records, bytes) of each. A file is written under a name of its own and then renamed, so a repeated task replaces it."""
     folder = folder or shared_dir(pages.sparkSession, "warc")
-    dealt = _dealt(small_batches(pages), file, counts)
+    dealt = _dealt(small_batches(pages), file, counts, True)
     n = parts(pages.agg(F.sum(F.octet_length("html")).alias("b")).first()["b"] or 0, part_bytes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
