@@ -42,10 +42,20 @@ def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], day: str, star
 
 
 def latest_before(left: DataFrame, right: DataFrame, keys: Sequence[str], day: str, at: str, columns: Sequence[str], tie: str) -> DataFrame:
-    """left with `columns` of right's row by key with the latest `at` not after day; ties: the smallest `tie`."""
-    packed = right.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.unix_date(F.col(at))).alias("_late"), F.col(tie).alias("_tie"), F.col(at).alias("_at"), *columns))).alias("_rows"))
-    joined = left.join(packed, list(keys), "left")
-    return joined.withColumn("_hit", F.get(F.filter("_rows", lambda r: r["_at"] <= F.col(day)), F.lit(0))).select(*left.columns, *[F.col(f"_hit.{c}").alias(c) for c in columns])
+    """left with `columns` of right's row by key with the latest `at` not after day; ties: the smallest `tie`.
+
+    Both tables in one order of time by key, and each left row takes what came last before it: work is linear in either
+    table, however many rows a key has. Null keys and days find nothing.
+    """
+    names = {k: f"_key{i}" for i, k in enumerate(keys)}
+    known = F.lit(True)
+    for k in (*keys, at):
+        known = known & F.col(k).isNotNull()
+    asked = left.select(*[F.col(k).alias(n) for k, n in names.items()], F.col(day).alias("_at"), F.lit(1).alias("_kind"), F.struct(*left.columns).alias("_left"))
+    held = right.where(known).select(*[F.col(k).alias(n) for k, n in names.items()], F.col(at).alias("_at"), F.lit(0).alias("_kind"), F.col(tie).alias("_tie"), F.struct(*columns).alias("_hit"))
+    before = Window.partitionBy(*names.values()).orderBy("_at", "_kind", F.desc("_tie")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = asked.unionByName(held, allowMissingColumns=True).withColumn("_hit", F.last("_hit", ignorenulls=True).over(before))
+    return both.where("_kind = 1").select("_left.*", *[F.col(f"_hit.{c}").alias(c) for c in columns])
 
 
 def convert(left: DataFrame, policies: DataFrame, source: str, target: str, amount: str, day: str) -> DataFrame:

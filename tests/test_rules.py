@@ -90,6 +90,15 @@ def test_places_and_similarity(spark):
     assert values(spark, ["ﬁle"], "t string", places.nfkc(C("t"))) == ["file"]
 
 
+def test_latest_before_edges(spark):
+    day = datetime.date
+    ledger = spark.createDataFrame([("a", day(2024, 1, 1), 5, 1.0), ("a", day(2024, 1, 3), 9, 2.0), ("a", day(2024, 1, 3), 7, None), (None, day(2024, 1, 1), 1, 9.0), ("b", None, 2, 8.0)], "key string, at date, id int, rate double")
+    rows = spark.createDataFrame([("a", day(2023, 12, 31)), ("a", day(2024, 1, 1)), ("a", day(2024, 1, 2)), ("a", day(2024, 1, 3)), ("a", day(2024, 1, 3)), ("a", None), (None, day(2024, 5, 1)), ("b", day(2024, 5, 1))], "key string, day date")
+    got = sorted((tuple(r) for r in lookup.latest_before(rows, ledger, ["key"], "day", "at", ["id", "rate"], "id").collect()), key=str)
+    want = [("a", day(2023, 12, 31), None, None), ("a", day(2024, 1, 1), 5, 1.0), ("a", day(2024, 1, 2), 5, 1.0), *[("a", day(2024, 1, 3), 7, None)] * 2, ("a", None, None, None), (None, day(2024, 5, 1), None, None), ("b", day(2024, 5, 1), None, None)]
+    assert got == sorted(want, key=str)
+
+
 def test_exact_lanes(spark):
     known = spark.createDataFrame([(1, "Musaffah", "Mirfa", "FB", "per truck"), (2, "Jebel Ali", "MOSB", "Lowbed", "truck")], "lane_id int, origin string, destination string, vehicle string, unit string")
     rows = spark.createDataFrame([("MUSAFFAH", "MIRFA", "flatbed", ""), ("mosb", "jebel ali", "lb", "trip"), ("Depot 9", "Elsewhere", "FB", "")], "origin string, destination string, vehicle string, unit string")
