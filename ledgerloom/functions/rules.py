@@ -349,3 +349,21 @@ def can_resolve(role: Column, roles: Column) -> Column:
 def literal_text(x: Column) -> Column:
     """A cell that would read as a formula gets a leading apostrophe."""
     return F.when(x.rlike(r"^[=+\-@]"), F.concat(F.lit("'"), x)).otherwise(x)
+
+
+# Scores of evidence statuses, and the scores from which evidence passes or is amber.
+EVIDENCE_SCORES = {"MATCHED_EXACT": 95, "MATCHED_AMOUNT": 85, "MATCHED_APPROVAL": 80, "PARTIAL": 60, "MISSING": 0, "CONFLICT": 0, "NOT_APPLICABLE": 100}
+PASS_READY, AMBER_FROM = 85, 60
+
+
+def evidence_score(status: Column) -> Column:
+    """The score of an evidence status; null for none that is known."""
+    out = F.lit(None).cast("int")
+    for name, score in EVIDENCE_SCORES.items():
+        out = F.when(status == name, score).otherwise(out)
+    return out
+
+
+def evidence_verdict(score: Column, critical: Column, final: Column) -> Column:
+    """PASS and AMBER by score; below, critical evidence is ZERO where a final answer is asked for, and AMBER otherwise."""
+    return F.when(score >= PASS_READY, "PASS").when((score >= AMBER_FROM) | ~(critical & final), "AMBER").otherwise("ZERO")

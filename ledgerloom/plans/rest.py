@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import numbers, rules
 from ..functions import text as T
 from ..operators import lookup
+from ..sources import sinks
 from .audit import RATE_SQL, rate_checks
 from .base import CARDS, LINES, Tables, pick, query, sql_pick
 from .texts import NOTED, noted
@@ -144,3 +145,19 @@ def _(t: Tables) -> DataFrame:
 @query("f38_f39_comparable", "SELECT p_partkey, upper(regexp_replace(trim(p_name), '\\s+', ' ', 'g')) AS name, floor(p_retailprice * 100 + 0.5) / 100 AS price, ln(1 + p_size) / ln(51) AS scale FROM part")
 def _(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", F.upper(F.regexp_replace(F.trim("p_name"), r"\s+", " ")).alias("name"), numbers.half_up(C("p_retailprice")).alias("price"), (F.log1p("p_size") / F.log1p(F.lit(50))).alias("scale"))
+
+
+STATUSES = tuple(rules.EVIDENCE_SCORES)
+
+
+@query("r48_evidence_scores", f"WITH e AS (SELECT o_orderkey AS id, {sql_pick(STATUSES, 'o_custkey')} AS status, o_orderkey % 2 = 0 AS critical, o_orderkey % 3 = 0 AS final FROM orders), s AS (SELECT *, CASE status " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in rules.EVIDENCE_SCORES.items()) + " END AS score FROM e) SELECT id, score, CASE WHEN score >= 85 THEN 'PASS' WHEN score >= 60 THEN 'AMBER' WHEN critical AND final THEN 'ZERO' ELSE 'AMBER' END AS verdict FROM s")
+def _(t: Tables) -> DataFrame:
+    k = C("o_orderkey")
+    scored = t.orders.select(k.alias("id"), rules.evidence_score(pick(STATUSES, C("o_custkey"))).alias("score"))
+    return scored.select("id", "score", rules.evidence_verdict(C("score"), C("id") % 2 == 0, C("id") % 3 == 0).alias("verdict"))
+
+
+@query("k8_rate_seeds", LINES + "SELECT upper(concat_ws('||', trim(origin), trim(destination), trim(vehicle), 'per truck')) AS lane, round_even(coalesce(median(rate), 0), 4) AS contracted_rate, 'PER_TRUCK' AS rate_basis, 'USD' AS currency, 'Y' AS match_eligible, min(part_id)::VARCHAR AS lane_id, round_even(coalesce(median(distance_km), 0), 2) AS median_distance_km, count(*) AS samples, 'DOMESTIC' AS workflow_type, 'origin=' || trim(origin) || ' dest=' || trim(destination) || ' veh=' || trim(vehicle) AS notes FROM lines GROUP BY origin, destination, vehicle")
+def _(t: Tables) -> DataFrame:
+    lanes = t.lines().groupBy("origin", "destination", "vehicle").agg(F.median("rate").alias("median_rate_usd"), F.median("distance_km").alias("median_distance_km"), F.count("*").alias("samples"), F.min("part_id").cast("string").alias("lane_id"))
+    return sinks.rate_seeds(lanes.withColumn("unit", F.lit(None).cast("string")))

@@ -41,3 +41,17 @@ def sheets(tables: dict[str, DataFrame], order: dict[str, Sequence[str]], folder
         manifest = one if manifest is None else manifest.unionByName(one)
     manifest.write.mode("overwrite").parquet(f"{folder}/99_manifest")
     return manifest
+
+
+def rate_seeds(lanes: DataFrame) -> DataFrame:
+    """Rows of a rate card table from approved lanes (origin, destination, vehicle, unit, median_rate_usd, median_distance_km,
+    samples, lane_id). Missing parts are empty, a missing unit is per truck, missing numbers are 0."""
+    part = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    number = lambda c, digits: F.bround(F.coalesce(F.col(c), F.lit(0.0)), digits).alias(c)
+    ends = [part(F.col(c)) for c in ("origin", "destination", "vehicle")]
+    unit = F.coalesce(F.nullif(F.trim("unit"), F.lit("")), F.lit("per truck"))
+    return lanes.select(
+        F.upper(F.concat_ws("||", *ends, unit)).alias("lane"), number("median_rate_usd", 4).alias("contracted_rate"), F.lit("PER_TRUCK").alias("rate_basis"), F.lit("USD").alias("currency"), F.lit("Y").alias("match_eligible"),
+        F.coalesce("lane_id", F.lit("")).alias("lane_id"), number("median_distance_km", 2), F.coalesce("samples", F.lit(0)).cast("long").alias("samples"), F.lit("DOMESTIC").alias("workflow_type"),
+        F.concat(F.lit("origin="), ends[0], F.lit(" dest="), ends[1], F.lit(" veh="), ends[2]).alias("notes"),
+    )
