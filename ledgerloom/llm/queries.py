@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, fingerprints, jaccard_join, language_id, packing, secret_scan, sstable, substring_dedup, url_filters, warc
+from . import ann, bpe, fingerprints, jaccard_join, language_id, packing, secret_scan, sstable, substring_dedup, url_filters, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -120,6 +120,11 @@ SELECT file, page_id, loff AS "offset", llen::BIGINT AS length, sha256(loff || '
 FROM placed WHERE rsha IS NULL OR loff <> roff OR llen <> rlen OR lsha <> rsha"""
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(whitening.usable(_table(spark, sf_dir, "embeddings")))
+    return found.select(F.col("id").alias("vec_id"), "component", "n", F.expr("try_cast(deviation AS bigint)").alias("deviation"), "whitened", "explained", "identity_error")
+
+
 def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -128,6 +133,6 @@ def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_fingerprints, op3_url_filters, op4_jaccard_join, op5_substring_dedup, op6_language_id, op7_bpe, op8_ann, op9_sstable, op10_warc, op13_secret_scan)
+    f.__name__: f for f in (op1_packing, op2_fingerprints, op3_url_filters, op4_jaccard_join, op5_substring_dedup, op6_language_id, op7_bpe, op8_ann, op9_sstable, op10_warc, op11_whitening, op13_secret_scan)
 }
 ORACLE_SQL: dict[str, str] = {"op3_url_filters": OP3_SQL, "op10_warc": OP10_SQL}
