@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, fingerprints, jaccard_join, language_id, packing, secret_scan, sstable, substring_dedup, url_filters, warc, whitening
+from . import ann, bpe, fingerprints, jaccard_join, language_id, packing, prefix_trie, secret_scan, sstable, substring_dedup, url_filters, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -125,6 +125,43 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("vec_id"), "component", "n", F.expr("try_cast(deviation AS bigint)").alias("deviation"), "whitened", "explained", "identity_error")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = prefix_trie.turns(_table(spark, sf_dir, "conversations"))
+    found = prefix_trie.trie(prefix_trie.paths(prefix_trie.rebuilt(own)))
+    return found.select(F.col("conv").alias("conv_id"), "depth", F.col("parent_conv").alias("parent_conv_id"), "n_convs", "n_children", "n_leaves", F.col("saved").alias("saved_tokens"), F.col("ends").alias("ends_sha256"))
+
+
+OP12_SQL = """
+WITH own AS (
+  SELECT conv_id AS conv, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS j,
+         length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '') AS said, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS words
+  FROM conversations WHERE conv_id IS NOT NULL),
+steps AS (  -- crc32 bit by bit: a byte is mixed in, then eight shifts (-1)
+  SELECT DISTINCT conv, list_concat([4294967295::BIGINT], flatten(list_transform(range(1, length(conv::VARCHAR) + 1), lambda k: [ord(substr(conv::VARCHAR, k, 1))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))) AS bits FROM own),
+h AS (
+  SELECT conv, conv - conv % 20 AS base,
+         xor(list_reduce(bits, lambda a, o: CASE WHEN o >= 0 THEN xor(a, o) ELSE xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END) END), 4294967295) % 4 AS h FROM steps),
+rebuilt AS (
+  SELECT h.conv, 0 AS part, o.j, o.said, o.words FROM h JOIN own o ON o.conv = h.base AND o.j <= h.h
+  UNION ALL SELECT h.conv, 1, o.j, o.said, o.words FROM h JOIN own o ON o.conv = h.conv AND o.j > h.h),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv ORDER BY part, j) AS depth FROM rebuilt),
+paths AS (
+  SELECT conv, depth, md5(list(said) OVER (PARTITION BY conv ORDER BY depth)::VARCHAR) AS key, words FROM numbered
+  UNION ALL SELECT conv, 0, '', 0 FROM h),
+up AS (
+  SELECT *, lag(key) OVER (PARTITION BY conv ORDER BY depth) AS parent, depth = max(depth) OVER (PARTITION BY conv) AS ends FROM paths),
+nodes AS (
+  SELECT key, min(conv) AS conv, min(depth) AS depth, count(*) AS n_convs, min(parent) AS parent, (count(*) - 1) * min(words) AS own,
+         sha256(coalesce(string_agg(conv::VARCHAR, ',' ORDER BY conv) FILTER (ends), '')) AS ends FROM up GROUP BY key),
+fan AS (SELECT parent AS key, count(*) AS n_children FROM nodes WHERE parent IS NOT NULL GROUP BY parent),
+totals AS (
+  SELECT p.key, sum(n.own) AS saved, count(*) FILTER (f.key IS NULL) AS leaves
+  FROM nodes n LEFT JOIN fan f ON f.key = n.key JOIN paths p ON p.conv = n.conv AND p.depth <= n.depth GROUP BY p.key)
+SELECT n.conv AS conv_id, n.depth, u.conv AS parent_conv_id, n.n_convs, coalesce(f.n_children, 0) AS n_children, t.leaves AS n_leaves, t.saved::BIGINT AS saved_tokens, n.ends AS ends_sha256
+FROM nodes n JOIN totals t USING (key) LEFT JOIN fan f USING (key) LEFT JOIN nodes u ON u.key = n.parent"""
+
+
 def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -133,6 +170,6 @@ def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_fingerprints, op3_url_filters, op4_jaccard_join, op5_substring_dedup, op6_language_id, op7_bpe, op8_ann, op9_sstable, op10_warc, op11_whitening, op13_secret_scan)
+    f.__name__: f for f in (op1_packing, op2_fingerprints, op3_url_filters, op4_jaccard_join, op5_substring_dedup, op6_language_id, op7_bpe, op8_ann, op9_sstable, op10_warc, op11_whitening, op12_prefix_trie, op13_secret_scan)
 }
-ORACLE_SQL: dict[str, str] = {"op3_url_filters": OP3_SQL, "op10_warc": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_url_filters": OP3_SQL, "op10_warc": OP10_SQL, "op12_prefix_trie": OP12_SQL}
