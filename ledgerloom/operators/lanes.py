@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers, places
+from . import lookup
 
 MAX_LANES = 100_000
 KEY = ["origin", "destination", "vehicle", "unit"]
@@ -114,14 +115,18 @@ def weighted(lines: DataFrame, refs: DataFrame, threshold: float = 0.6) -> DataF
 
 def executed_reference(lines: DataFrame, by_shipment: DataFrame, by_lane: DataFrame) -> DataFrame:
     """lines (line_id, refs array in order, lane, actual) with the executed rate of the first known shipment reference, else of
-    the lane's best candidate (site fit, then samples, then nearness of rates; ties: smallest candidate_id), and its method."""
+    the lane's best candidate (site fit, then samples, then nearness of rates; ties: smallest candidate_id), and its method.
+
+    Fit and samples do not depend on the line, so a lane keeps only the candidates that are best in both, and among those a line looks up
+    the nearest rate. by_shipment has one rate for a reference; line_id may repeat if its rows are equal in refs.
+    """
     first = lines.select("line_id", F.posexplode("refs").alias("pos", "ref")).join(by_shipment.select("ref", F.col("rate").alias("shipment_rate")), "ref").groupBy("line_id").agg(F.min_by("shipment_rate", "pos").alias("shipment_rate"))
-    packed = by_lane.groupBy("lane").agg(F.collect_list(F.struct("fit", "samples", "rate", "candidate_id")).alias("candidates"))
-    joined = lines.join(first, "line_id", "left").join(packed, "lane", "left")
-    order = F.array_sort(F.transform("candidates", lambda c: F.struct((-c["fit"]).alias("a"), (-c["samples"]).alias("b"), F.abs(c["rate"] - F.col("actual")).alias("g"), c["candidate_id"].alias("id"), c["rate"].alias("rate"))))
-    lane_rate = F.get(order, F.lit(0))["rate"]
-    method = F.when(F.col("shipment_rate").isNotNull(), "shipment_reference").when(lane_rate.isNotNull(), "lane_median")
-    return joined.select(*lines.columns, F.coalesce("shipment_rate", lane_rate).alias("executed_rate"), method.alias("method"))
+    rank = F.struct("fit", "samples")
+    best = by_lane.where("lane is not null").groupBy("lane").agg(F.max(rank).alias("rank"))
+    able = by_lane.join(best, (by_lane["lane"] == best["lane"]) & (rank == F.col("rank")), "left_semi").where("rate is not null").withColumnRenamed("rate", "lane_rate")
+    joined = lookup.nearest_value(lines.join(first, "line_id", "left"), able, ["lane"], "actual", "lane_rate", ["lane_rate"], "candidate_id", 1_000.0)
+    method = F.when(F.col("shipment_rate").isNotNull(), "shipment_reference").when(F.col("lane_rate").isNotNull(), "lane_median")
+    return joined.select(*lines.columns, F.coalesce("shipment_rate", "lane_rate").alias("executed_rate"), method.alias("method"))
 
 
 def contained(short: DataFrame, long: DataFrame) -> DataFrame:
