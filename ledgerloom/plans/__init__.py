@@ -1,6 +1,6 @@
 """Registered queries over the given tables."""
 
-from . import audit, io, rest, shipments, texts
+from . import audit, invoices, io, rest, shipments, texts
 from .base import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "audit", "io", "rest", "shipments", "texts"]
+__all__ = ["ORACLE", "QUERIES", "audit", "invoices", "io", "rest", "shipments", "texts"]
