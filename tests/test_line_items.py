@@ -29,7 +29,7 @@ def test_generic_rows():
     rows = [["Charge", "Qty", "Sum"], ["Towing", "3 box", "USD 1,000.50"], ["towing", "2 TEU", None], ["Subtotal", "", "9"], ["none", "", "0"], ["x", "", "1.2.3"], ["short"]]
     got = generic("ignored 12345", [{"page": 2, "rows": rows}])
     assert got == [("pdf_t_2_0", "Towing USD 1,000.50", "USD", 3.0, 3.0, None, "table"), ("pdf_t_2_1", "towing", "AED", 2.0, 2.0, None, "table")]  # the first column with a figure has the amounts
-    assert generic("Fuel surcharge 1,200.00 USD 2\nshort 1\n" + "x" * 201 + " 1", None) == [("pdf_l_0", "Fuel surcharge USD", "USD", 2.0, None, None, "text")]
+    assert generic("Fuel surcharge 1,200.00 USD 2\nshort 1\n" + "x" * 201 + " 1", None) == [("pdf_l_0", "Fuel surcharge", "USD", 2.0, None, None, "text")]
     assert generic(None, []) == generic("no figures here", [{"page": 1, "rows": [["a", "b"]]}]) == [(None,) * 7]
     assert generic("12,500.00", None) == [("pdf_l_0", "12,500.00", "AED", 12500.0, None, None, "text")]
 
