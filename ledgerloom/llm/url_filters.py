@@ -1,6 +1,6 @@
 """URL filters: pattern rules indexed by their rarest literal token.
 
-A rule carries a regular expression over ``host + path`` and the literal tokens any match must contain. Token counts over
+A rule carries a regular expression over host, ``?`` and path (neither has a ``?`` of its own, whatever else is in a URL) and the literal tokens any match must contain. Token counts over
 all URLs choose each rule's rarest token; a URL's tokens fetch its candidate rules, and only those run their expressions.
 Rules are the caller's (at most MAX_RULES, checked, so their index may be sent to every task).
 
@@ -39,17 +39,17 @@ class Rule:
 def host_rule(host: str, path: str, verdict: str) -> Rule:
     """Fits host and its subdomains, and paths that start with path. Its tokens: the host's, and the path's closed ones."""
     closed = TOKEN.findall(path.translate(LOWER).rstrip(LETTERS))
-    return Rule(host + path, rf"(?:.*\.)?{re.escape(host)}\x00{re.escape(path)}", verdict, (*TOKEN.findall(host), *closed), host + path)
+    return Rule(host + path, rf"(?:[^?]*\.)?{re.escape(host)}\?{re.escape(path)}", verdict, (*TOKEN.findall(host), *closed), host + path)
 
 
 def pattern_rule(pattern: str, tokens: Iterable[str], verdict: str = "block") -> Rule:
-    """The method's own rule: a pattern over host, NUL and path; tokens are whole [0-9a-z]+ runs that a match must hold."""
+    """The method's own rule: a pattern over host, ``?`` and path; tokens are whole [0-9a-z]+ runs that a match must hold."""
     return Rule(pattern, pattern, verdict, tuple(tokens), None)
 
 
 def list_rule(line: str) -> Rule | None:
     """A rule of a public filter list (the common ``||host^path``, ``|``, ``*``, ``^``, ``@@`` syntax) over host and path; ``@@``
-    exceptions come before blocking rules. None for comments, cosmetic rules, rules with options (they need the request),
+    exceptions come before blocking rules. None for comments, cosmetic rules, rules with options (they need the request) or a query (only host and path are judged),
     expressions, and rules without a token that every match must hold as a whole, which no index can file.
     """
     body = line.strip()
@@ -57,7 +57,7 @@ def list_rule(line: str) -> Rule | None:
         return None
     allow = body.startswith("@@")
     body = body[2 * allow :].lower()
-    if "$" in body or (len(body) > 1 and body[0] == body[-1] == "/"):
+    if "$" in body or "?" in body or (len(body) > 1 and body[0] == body[-1] == "/"):
         return None
     host, start, end = body.startswith("||"), body.startswith("|"), body.endswith("|")
     body = body.removeprefix("||" if host else "|" if start else "").removesuffix("|")
@@ -65,19 +65,19 @@ def list_rule(line: str) -> Rule | None:
     tokens = [m[0] for m in TOKEN.finditer(body) if closed(m.start() - 1, start) and closed(m.end(), end)]
     if not tokens:
         return None
-    parts = {"*": ".*", "^": r"(?:\x00?[^0-9a-z_.%\x00-]|\x00?$)", "/": r"\x00?/"}
+    parts = {"*": ".*", "^": r"(?:\??[^0-9a-z_.%?-]|\??$)", "/": r"\??/"}
     pattern = "".join(parts.get(c) or re.escape(c) for c in body)
-    before = r"(?:[^\x00]*\.)?" if host else "" if start else ".*"
-    return Rule(line.strip(), f"(?i:{before}{pattern}{r'\x00?' if end else ''})" + ("" if end else "(?:.*)"), "allow" if allow else "block", tuple(tokens), None, 0 if allow else 1)
+    before = r"(?:[^?]*\.)?" if host else "" if start else ".*"
+    return Rule(line.strip(), f"(?i:{before}{pattern}{r'\??' if end else ''})" + ("" if end else "(?:.*)"), "allow" if allow else "block", tuple(tokens), None, 0 if allow else 1)
 
 
 #: The host rules of the contract and the method's own patterns for advertising and tracking hosts; a rule of
 #: each tracking word, as tokens are whole words, and word ends are ASCII's, as in tokens and SQL.
 HOST_RULES = (host_rule("net", "/", "block"), host_rule("example.net", "/en/", "allow"), host_rule("example.com", "/de/", "block"), host_rule("org", "/fr/", "allow"))
 OWN_RULES = (
-    pattern_rule(r"(?:.*\.)?ads[-.][^\x00]*\x00.*", ("ads",)),
-    *(pattern_rule(rf"[^\x00]*(?a:\b{t}\b)[^\x00]*\x00.*", (t,)) for t in ("track", "tracker", "tracking")),
-    pattern_rule(r"[^\x00]*\x00/(?:[^/]+/)*banner/.*", ("banner",)),
+    pattern_rule(r"(?:[^?]*\.)?ads[-.][^?]*\?.*", ("ads",)),
+    *(pattern_rule(rf"[^?]*(?a:\b{t}\b)[^?]*\?.*", (t,)) for t in ("track", "tracker", "tracking")),
+    pattern_rule(r"[^?]*\?/(?:[^/]+/)*banner/.*", ("banner",)),
 )
 
 
@@ -112,15 +112,16 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = HOST_RULES + OWN_RULES, ur
     for i, token in rarest_tokens(pages, rules, url).items():
         index.setdefault(token, []).append(i)
 
+    shared = pages.sparkSession.sparkContext.broadcast((rules, index))  # MAX_RULES bounds it
     compiled: dict[int, re.Pattern] = {}  # a task's own copy, filled as rules are met
 
     @F.pandas_udf("host string, path string, rule string, verdict string")
     def apply(urls: pd.Series) -> pd.DataFrame:
-        rows = []
+        (rules, index), rows = shared.value, []
         for u in urls:
             u = u if isinstance(u, str) else None
             host, path = parse(u)
-            subject, best = f"{host}\x00{path}", None
+            subject, best = f"{host}?{path}", None
             for token in url_tokens(u) if host or path else ():
                 for i in index.get(token, ()):
                     rule = rules[i]

@@ -17,6 +17,7 @@ def test_odd_urls(spark):
         "a://Example.NET/en/1?q": ("example.net", "/en/1", "example.net/en/", "allow"), "a://xexample.net/en/": ("xexample.net", "/en/", "net/", "block"),
         "a://example.com/DE/": ("example.com", "/DE/", None, "allow"), "a://w.example.com/de/#f": ("w.example.com", "/de/", "example.com/de/", "block"),
         "a://q.org/fr/": ("q.org", "/fr/", "org/fr/", "allow"), "a://ads-track.q.org/x": ("ads-track.q.org", "/x", None, "block"), "a://x?y://net/": ("x", "", None, "allow"),
+        "a://x.com/y.net\x00/z": ("x.com", "/y.net\x00/z", None, "allow"), "a://b\x00.net/z": ("b\x00.net", "/z", "net/", "block"), "a://x\n.net/": ("x\n.net", "/", "net/", "block"), "a://x.com/a.ads-b.c/d": ("x.com", "/a.ads-b.c/d", None, "allow"),
     }
     pages = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls)] * 2, "page_id long, url string, host string")
     rows = url_filters.judge(pages).select("url", "judged.*").collect()
@@ -49,3 +50,29 @@ def test_filter_list_rules(spark):
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
     got = {r.url: r.verdict for r in url_filters.judge(pages, tuple(r for r in rules if r)).select("url", "judged.verdict").collect()}
     assert got == urls
+
+
+def test_many_list_rules_equal_every_rule_tried(spark):
+    """A few hundred list rules and host rules: the index gives what trying each rule on each URL gives."""
+    import random
+    import re
+
+    rnd = random.Random(11)
+    words = ["ad", "ads", "pix", "net", "cdn", "img", "a1", "shop", "news"]
+    host = lambda: ".".join(rnd.choices(words, k=rnd.randint(1, 3)))
+    path = lambda: "/" + "/".join(rnd.choices(words, k=rnd.randint(0, 3)))
+    lines = [rnd.choice(["||{h}^", "||{h}{p}/", "@@||{h}^", "|{h}{p}|", "*{p}/*", "/{p}^*{p}", "{h}^"]).format(h=host(), p=path()) for _ in range(300)]
+    rules = tuple({r.text: r for r in map(url_filters.list_rule, lines) if r}.values()) + url_filters.HOST_RULES
+    assert len(rules) > 150
+    urls = [f"http://{host()}{path()}{rnd.choice(['', '/', '?q=1', '#net/'])}" for _ in range(400)]
+
+    def tried(url):
+        h, p = url_filters.parse(url)
+        fit = [r for r in rules if re.fullmatch(r.pattern + ("" if r.label is None else ".*"), f"{h}?{p}", re.S)]
+        best = min(fit, key=lambda r: (r.label is None, r.first, -len(r.text), r.text), default=None)
+        return (best.label, best.verdict) if best else (None, "allow")
+
+    rows = url_filters.judge(spark.createDataFrame([(u,) for u in urls], "url string"), rules).select("url", "judged.*").collect()
+    assert {r.verdict for r in rows} == {"allow", "block"}
+    for r in rows:
+        assert (r.rule, r.verdict) == tried(r.url), r.url
