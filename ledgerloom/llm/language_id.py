@@ -91,9 +91,9 @@ def _scores(counts: DataFrame, most: int, languages: list[str]) -> tuple[list[st
     over all, smaller text). What a language lacks has the same frequency in each, however few rows it has."""
     if not languages:
         return [], np.zeros((0, 0))
-    by = counts.groupBy("word").pivot("lang", languages).agg(F.sum("count"))
-    columns = [F.coalesce(F.col(f"`{x}`"), F.lit(0)) for x in languages]
-    table = by.select("word", F.array(*columns).alias("counts")).withColumn("total", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x))
+    by = counts.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("lang", "count"))).alias("by"))  # an entry a language
+    each = F.transform(F.array(*map(F.lit, languages)), lambda x: F.coalesce(F.try_element_at("by", x), F.lit(0).cast("long")))
+    table = by.select("word", each.alias("counts")).withColumn("total", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))
     best = counts.withColumn("rank", rank).where(F.col("rank") <= most).groupBy("word").agg(F.min("rank").alias("rank"))
     top = table.join(best, "word").orderBy("rank", F.desc("total"), "word").limit(most).select("word", "counts").toArrow()

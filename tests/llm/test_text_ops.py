@@ -276,6 +276,16 @@ def test_language_id_odd_rows(spark):
     assert {r.language.lang_pred for r in language_id.predict(docs, nothing).collect()} == {"und"}
 
 
+def test_language_names_and_long_texts(spark):
+    """Names with a backtick, a dot or quotes are learned like others, and a long text is scored whole."""
+    names = ["d`e", "e.n", "f'r\"", ""]
+    rows = [(f"{w}a {w}b {w}c", n) for w, n in zip(("kat", "dog", "oiseau", "vog"), names)]
+    model = language_id.train(spark.createDataFrame(rows * 3, "text string, lang string"))
+    assert model.languages == sorted(names)
+    docs = spark.createDataFrame([(n, f"{t} " * 20_000) for t, n in rows] + [("d`e", "doga " * 10_000 + "kata " * 10_001)], "want string, text string")
+    assert all(r.want == r.language.lang_pred for r in language_id.predict(docs, model).collect())
+
+
 def test_language_id_of_few_rows(spark):
     """A language of few rows beside large ones is learned; a text copied into many rows is neither all in nor all out."""
     rng = random.Random(3)
