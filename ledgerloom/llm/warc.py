@@ -14,7 +14,7 @@ by level, only the children of nodes that differ; below the leaves that are left
 Defined results: null url or html is empty text, line breaks in a url are percent-encoded; null page_ids make one leaf of each
 volume; repeated rows are records of their own, equal ones are paired in order; a record that only one replica has is reported
 with nulls on the other side, and those behind it with their changed offsets. What cannot be parsed is a record without
-page_id up to the file's end. Two empty replicas agree. Columns other than page_id, url, html are not read.
+page_id up to the next line that says WARC/1.1. Two empty replicas agree. Columns other than page_id, url, html are not read.
 """
 
 from __future__ import annotations
@@ -37,7 +37,8 @@ from .common import parts, shared_dir, small_batches, written
 
 BITS, MAX_FILES = 4, 50_000
 RANGE = ["offset", "length", "digest"]
-HEAD = re.compile(rb"WARC/1\.1\r\n(?:[^\r\n]+\r\n)*\r\n")
+FIRST = b"WARC/1.1\r\n"
+FIELDS = {"page": re.compile(rb"WARC-Record-ID: <urn:page:(-?\d*)>\r\n"), "size": re.compile(rb"Content-Length: (\d+)\r\n")}
 
 
 def record(page_id: Column, url: Column, html: Column) -> Column:
@@ -93,7 +94,7 @@ def write(pages: DataFrame, file: Column, counts: DataFrame, folder: str | None
 
         def done() -> pd.DataFrame:
             out.close()
-            name = f"{'null' if own[0] is None else quote(str(own[0]), safe='')}-{own[1]}.warc.gz"
+            name = f"{'=null' if own[0] is None else quote(str(own[0]), safe='').replace('%', '=')}-{own[1]}.warc.gz"  # no name but null's has = before n
             store.move(temporary, f"{base}/{name}")
             return pd.DataFrame([(*own, f"{folder}/{name}", records, size)], columns=["file", "volume", "path", "records", "bytes"])
 
@@ -116,20 +117,57 @@ def write(pages: DataFrame, file: Column, counts: DataFrame, folder: str | None
     return written(made.withColumn("file", F.col("file").cast(dealt.schema["file"].dataType)), "warc-files")
 
 
+class Pieces:
+    """A stream's lines, long ones in pieces: `piece`, and whether it starts a line (`fresh`)."""
+
+    def __init__(self, stream: io.BufferedIOBase, step: int):
+        self.stream, self.step, self.piece = stream, step, b"\n"
+        self.next()
+
+    def next(self) -> None:
+        self.fresh = self.piece.endswith(b"\n")
+        self.piece = self.stream.readline(self.step)
+
+    def body(self, left: int) -> Iterator[bytes]:
+        """The next `left` bytes; a new line starts behind them."""
+        while left and (piece := self.stream.read(min(self.step, left))):
+            yield piece
+            left -= len(piece)
+        self.piece = b"\n"
+        self.next()
+
+
 def parse(stream: io.BufferedIOBase, step: int = 1 << 20) -> Iterator[tuple[int | None, int, int, str]]:
-    """(page_id, offset, length, SHA-256 of all bytes) of each record of an uncompressed stream."""
-    offset = 0
-    while head := stream.readline():
-        while not head.endswith(b"\r\n\r\n") and len(head) < step and (line := stream.readline()):
-            head += line
-        known = HEAD.fullmatch(head) and re.search(rb"\r\nWARC-Record-ID: <urn:page:(-?\d*)>\r\n", head)
-        size = re.search(rb"\r\nContent-Length: (\d+)\r\n", head) if known else None
-        left, digest, length = int(size[1]) + 4 if size else -1, sha256(head), len(head)
-        while left and (piece := stream.read(min(step, left) if left > 0 else step)):
+    """(page_id, offset, length, SHA-256 of all bytes) of each record of an uncompressed stream. Header lines of any length are
+    read in pieces. What has no sound header is one record without page_id, up to the next line that says WARC/1.1."""
+    at, offset = Pieces(stream, step), 0
+    while at.piece:
+        digest, length, found = sha256(), 0, {}
+
+        def take(piece: bytes) -> None:
+            nonlocal length
             digest.update(piece)
             length += len(piece)
-            left -= len(piece) if left > 0 else 0
-        yield int(known[1]) if size and known[1] else None, offset, length, digest.hexdigest()
+
+        if at.fresh and at.piece == FIRST:
+            take(at.piece)
+            at.next()
+            while at.piece and not (at.fresh and at.piece in (FIRST, b"\r\n")):
+                for name, pattern in FIELDS.items():
+                    if at.fresh and name not in found and (m := pattern.fullmatch(at.piece)):
+                        found[name] = m[1]
+                take(at.piece)
+                at.next()
+        sound = at.piece == b"\r\n" and len(found) == len(FIELDS)
+        if sound:
+            take(at.piece)
+            for piece in at.body(int(found["size"]) + 4):
+                take(piece)
+        else:
+            while at.piece and not (at.fresh and at.piece == FIRST and length):
+                take(at.piece)
+                at.next()
+        yield int(found["page"]) if sound and found["page"] else None, offset, length, digest.hexdigest()
         offset += length
 
 
@@ -153,18 +191,18 @@ def _with_range(x: Column) -> Column:
     return F.concat_ws(":", x["offset"].cast("string"), x["length"].cast("string"), x["digest"])
 
 
-def tree(leaf: DataFrame, levels: int) -> DataFrame:
-    """(level, file, volume, node, offset, length, digest) of all nodes: level 0 a page_id's records, `levels` the roots."""
-    below = leaf.select("file", "volume", F.col("page_id").alias("node"), F.struct(*RANGE).alias("range"))
-    found = None
+def tree(leaf: DataFrame, levels: int, name: str) -> list[DataFrame]:
+    """(file, volume, node, offset, length, digest) of the nodes of each level: first a page_id's records, last the roots. Each
+    level is written, and the next one is made from it."""
+    below, found = leaf.select("file", "volume", F.col("page_id").alias("node"), F.struct(*RANGE).alias("range")), []
     for level in range(levels + 1):
         node = F.col("node") if level == 0 else F.lit(0).cast("long") if level == levels else F.shiftright("node", BITS)
         grouped = below.groupBy("file", "volume", node.alias("node")).agg(F.array_sort(F.collect_list("range")).alias("under"))
         text = F.array_join(F.transform("under", _with_range), "|")
         length = F.aggregate("under", F.lit(0).cast("long"), lambda a, x: a + x["length"])
-        below = grouped.select("file", "volume", "node", F.struct(F.col("under")[0]["offset"].alias("offset"), length.alias("length"), F.sha2(text, 256).alias("digest")).alias("range"))
-        here = below.select(F.lit(level).alias("level"), "file", "volume", "node", "range.*")
-        found = here if found is None else found.unionByName(here)
+        made = grouped.select("file", "volume", "node", F.struct(F.col("under")[0]["offset"].alias("offset"), length.alias("length"), F.sha2(text, 256).alias("digest")).alias("range"))
+        below = written(made, f"merkle-{name}-{level}")
+        found.append(below.select("file", "volume", "node", "range.*"))
     return found
 
 
@@ -178,14 +216,14 @@ def audit(left: DataFrame, right: DataFrame) -> DataFrame:
     """Records that differ between two replicas' leaves(): file, volume, page_id, and offset, length, digest of either side."""
     left, right = written(left, "merkle-left"), written(right, "merkle-right")
     levels, key = levels_for(left, right), ["file", "volume", "node"]
-    sides = [written(tree(x, levels), f"merkle-{name}-nodes", "level") for x, name in ((left, "left"), (right, "right"))]
+    sides = [tree(x, levels, name) for x, name in ((left, "left"), (right, "right"))]
 
     def same(a: str, b: str, columns: list[str]) -> Column:
         return F.expr(" and ".join(f"{a}.{c} <=> {b}.{c}" for c in columns))
 
     wrong = None
     for level in range(levels, -1, -1):
-        a, b = (x.where(F.col("level") == level).select(*key, "offset", "length", "digest") for x in sides)
+        a, b = (x[level] for x in sides)
         if wrong is not None:
             parents = wrong.withColumnRenamed("node", "up").alias("p")
             up = F.lit(0).cast("long") if level == levels - 1 else F.shiftright("node", BITS)

@@ -113,6 +113,24 @@ def test_warc_broken_file():
     assert [(p, o, n) for p, o, n, _ in warc.parse(io.BytesIO(raw + b"junk" + raw))] == [(7, 0, len(raw)), (None, len(raw), len(raw) + 4)]
 
 
+def test_warc_resumes_behind_damage():
+    one = lambda page, body, more=b"": b"WARC/1.1\r\nWARC-Record-ID: <urn:page:%d>\r\n%sContent-Length: %d\r\n\r\n%s\r\n\r\n" % (page, more, len(body), body)
+    long = one(1, b"ab\ncd", b"WARC-Target-URI: " + b"x" * 5000 + b"\r\n")
+    raw = long + b"WARC/1.1\r\nbroken\r\n" + one(2, b"") + b"\njunk\n" + one(3, b"WARC/1.1\r\n") + one(4, b"y")[:-3]
+    for step in (64, 1 << 20):
+        got = list(warc.parse(io.BytesIO(raw), step))
+        assert [r[0] for r in got] == [1, None, 2, None, 3, 4] and [r[1] for r in got] == [sum(n for _, _, n, _ in got[:i]) for i in range(len(got))]
+        assert sum(r[2] for r in got) == len(raw) and got[0][3] == hashlib.sha256(long).hexdigest()
+
+
+def test_warc_null_file_and_long_url(spark):
+    pages = spark.createDataFrame([(1, "u", "a", None), (2, "v" * 1_200_000, "b", None), (3, "w", "c", "null"), (4, "", "d", "a b/%"), (5, "", "e", "=null")], "page_id long, url string, html string, f string")
+    counts = warc.volumes(pages, F.col("f"))
+    files = warc.write(pages, F.col("f"), counts)
+    assert files.select("path").distinct().count() == 4
+    assert warc.audit(warc.read(files), warc.leaves(pages, F.col("f"), counts)).count() == 0
+
+
 def test_pipeline(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "jaccard_join", "substring_dedup", "packing"]
