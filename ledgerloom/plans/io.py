@@ -113,3 +113,52 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     runs = event_stream(t).select("user_id", "event_type", F.col("ts").cast("timestamp").alias("at"), F.lit("ok").alias("status")).where("event_type <> 'error'")
     return jobs.run_to(jobs.first_runs(runs, ["user_id", "event_type"], "at", "3650 days").select("user_id", "event_type"), folder(t, "guard"), folder(t, "guard-checkpoint"))
+
+
+def sliced_events(t: Tables, slices: int = 4) -> str:
+    """The events table as a folder that has grown by stretches of time, so that a stream meets them in that order."""
+    target = folder(t, "events")
+    reach = t.events.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    size = (reach["b"] - reach["a"]) / slices if reach["a"] else None
+    for n in range(slices if size is not None else 0):
+        until = C("ts") < F.lit(reach["a"] + (n + 1) * size) if n < slices - 1 else F.lit(True)
+        t.events.where((C("ts") >= F.lit(reach["a"] + n * size)) & until).write.mode("append").parquet(target)
+    if size is None:
+        t.events.write.parquet(target)
+    return target
+
+
+STATUSES = {"view": "PENDING", "signup": "PENDING", "click": "RUNNING", "purchase": "DONE", "error": "FAILED"}
+
+
+@query("t3_polled_status", """WITH p AS (SELECT user_id || '-' || floor(epoch(ts) / 86400)::BIGINT AS job, ts, CASE event_type WHEN 'purchase' THEN 'DONE' WHEN 'error' THEN 'FAILED' WHEN 'click' THEN 'RUNNING' ELSE 'PENDING' END AS status FROM events),
+o AS (SELECT *, row_number() OVER w AS n, lag(ts) OVER w AS before FROM p WINDOW w AS (PARTITION BY job ORDER BY ts, status)),
+e AS (SELECT job, min(n) FILTER (status IN ('DONE', 'FAILED')) AS terminal, min(n) FILTER (ts - before > INTERVAL 6 HOURS) AS gap, max(n) AS last FROM o GROUP BY job),
+c AS (SELECT job, least(coalesce(terminal, last), coalesce(gap - 1, last)) AS n, coalesce(gap <= coalesce(terminal, last), false) AS late, terminal IS NULL AND gap IS NULL AS silent FROM e)
+SELECT c.job, CASE WHEN late OR silent AND o.ts + INTERVAL 6 HOURS <= (SELECT max(ts) - INTERVAL 10 DAYS FROM events) THEN 'TIMEOUT' ELSE o.status END AS status, c.n::BIGINT AS n_polls FROM c JOIN o ON o.job = c.job AND o.n = c.n""")
+def _(t: Tables) -> DataFrame:
+    """What a user did on a day, as polls of a job: statuses with a cached terminal one, silence of six hours is a timeout."""
+    events = jobs.table_stream(t.spark, sliced_events(t))
+    job = F.concat_ws("-", "user_id", F.floor(F.unix_seconds(C("ts").cast("timestamp")) / 86400))
+    polls = events.select(job.alias("job"), C("ts").cast("timestamp").alias("at"), F.create_map(*[F.lit(x) for kv in STATUSES.items() for x in kv])[C("event_type")].alias("status"))
+    return jobs.final_status(jobs.run_to(jobs.polled(polls), folder(t, "polls"), folder(t, "polls-checkpoint"))).select("job", "status", "n_polls")
+
+
+@query("t4_paired_extractions", """WITH a AS (SELECT event_id // 2 AS k, ts, event_type, floor(value / 20) AS v FROM events WHERE event_id % 2 = 0 AND event_id % 10 <> 4),
+b AS (SELECT event_id // 2 AS k, ts, event_type, floor(value / 20) AS v FROM events WHERE event_id % 2 = 1 AND event_id % 14 <> 5),
+m AS (SELECT coalesce(a.k, b.k) AS pair, a.k AS x, b.k AS y, a.ts AS at1, b.ts AS at2, a.event_type <> b.event_type AS t, a.v <> b.v AS d FROM a FULL JOIN b ON a.k = b.k AND b.ts BETWEEN a.ts - INTERVAL 6 MINUTES AND a.ts + INTERVAL 6 MINUTES)
+SELECT pair, CASE WHEN y IS NULL THEN 'LEFT_ONLY' WHEN x IS NULL THEN 'RIGHT_ONLY' WHEN t OR d THEN 'DISAGREE' ELSE 'AGREE' END AS verdict,
+  CASE WHEN x IS NOT NULL AND y IS NOT NULL THEN array_to_string([z FOR z IN [CASE WHEN t THEN 'event_type' END, CASE WHEN d THEN 'value' END] IF z IS NOT NULL], ',') END AS differ FROM m""")
+def _(t: Tables) -> DataFrame:
+    """Neighbouring events as two extractions of one document, some without an answer; a far later one on each side lets the
+    watermark pass all others."""
+    target = sliced_events(t)
+    last = t.events.agg(F.max("ts").alias("ts")).select(F.explode(F.array(F.lit(-2).cast("long"), F.lit(-3).cast("long"))).alias("event_id"), (C("ts") + F.expr("INTERVAL 400 DAYS")).alias("ts"))
+    rest = {f.name: F.lit(None).cast(f.dataType) for f in t.events.schema if f.name not in last.columns}
+    last.withColumns(rest).select(*t.events.columns).write.mode("append").parquet(target)
+    k = C("event_id")
+    side = lambda rows: rows.select(F.floor(k / 2).alias("pair"), C("ts").cast("timestamp").alias("at"), "event_type", F.floor(C("value") / 20).alias("value"))
+    stream = jobs.table_stream(t.spark, target)
+    left, right = side(stream.where((k % 2 == 0) & (k % 10 != 4))), side(jobs.table_stream(t.spark, target).where((k % 2 != 0) & (k % 14 != 5)))
+    found = jobs.run_to(jobs.paired(left, right, "pair", ["event_type", "value"], "6 minutes"), folder(t, "pairs"), folder(t, "pairs-checkpoint"))
+    return found.select("pair", "verdict", "differ")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def table_stream(spark: SparkSession, path: str, files_per_trigger: int = 8) -> DataFrame:
@@ -39,9 +43,60 @@ def latest_status(polls: DataFrame, key: str = "job_id", status: str = "status",
     return polls.groupBy(key).agg(F.coalesce(F.min_by(status, F.when(done, F.col(at))), F.max_by(status, at)).alias("status"))
 
 
-def paired(first: DataFrame, second: DataFrame, key: str, within: str = "10 minutes") -> DataFrame:
-    """Two extraction streams (key, at, value) paired when they come within the interval, with whether they agree."""
-    a = first.withWatermark("at", within).select(F.col(key).alias("k1"), F.col("at").alias("at1"), F.col("value").alias("left_value"))
-    b = second.withWatermark("at", within).select(F.col(key).alias("k2"), F.col("at").alias("at2"), F.col("value").alias("right_value"))
+POLL = "job string, status string, at timestamp, n_polls long"
+HELD = "status string, at_us long, n_polls long, over boolean"
+TERMINAL = ("DONE", "FAILED")
+
+
+def polled(polls: DataFrame, patience: str = "6 hours", late: str = "10 days") -> DataFrame:
+    """A stream of POLL rows from a stream of polls (job, at, status): what a job's polls have come to whenever that changes.
+
+    A job's polls count in order of time. The first terminal status stays, and later polls of the job are not looked at any more; a job
+    of which nothing terminal has come within `patience` of its last poll is TIMEOUT, which is terminal as well. If no later poll
+    tells so, a timer on event time does, once the watermark (`late` behind the newest poll) has passed. The last row of a job
+    (most polls, then terminal) is its status. Null jobs, times and statuses are left out. Rows later than the watermark are dropped.
+    """
+    wait = int(polls.sparkSession.sql(f"SELECT cast(INTERVAL {patience} AS INTERVAL SECOND) AS w").first()["w"].total_seconds() * 1_000_000)
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        status, at, n, over = state.get if state.exists else (None, None, 0, False)
+        if state.hasTimedOut:
+            state.update(("TIMEOUT", at + wait, n, True))
+            yield pd.DataFrame([(key[0], "TIMEOUT", pd.Timestamp(at + wait, unit="us"), n)], columns=["job", "status", "at", "n_polls"])
+            return
+        before = (status, n)
+        # A batch's polls of one job, as (time, status) alone.
+        for moment, said in sorted((int(m.value // 1000), s) for part in parts for m, s in zip(part["at"], part["status"])):
+            if over:
+                break
+            if at is not None and moment - at > wait:
+                status, at, over = "TIMEOUT", at + wait, True
+                break
+            status, at, n, over = said, moment, n + 1, said in TERMINAL
+        state.update((status, at, n, over))
+        if not over:
+            state.setTimeoutTimestamp(max((at + wait) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        if (status, n) != before:
+            yield pd.DataFrame([(key[0], status, pd.Timestamp(at, unit="us"), n)], columns=["job", "status", "at", "n_polls"])
+
+    known = polls.where("job is not null and at is not null and status is not null").select("job", "at", "status")
+    return known.withWatermark("at", late).groupBy("job").applyInPandasWithState(step, POLL, HELD, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def final_status(rows: DataFrame) -> DataFrame:
+    """The last of polled()'s rows for each job."""
+    ended = F.col("status").isin(*TERMINAL, "TIMEOUT")
+    return rows.groupBy("job").agg(F.max_by(F.struct("status", "at", "n_polls"), F.struct("n_polls", ended)).alias("s")).select("job", "s.*")
+
+
+def paired(first: DataFrame, second: DataFrame, key: str, fields: list[str], within: str = "10 minutes", late: str = "10 days") -> DataFrame:
+    """Two extraction streams (key, at, fields) side by side: a row for each pair that comes within the interval, whichever is first, with
+    the fields that differ, and a row for each extraction that the watermark has passed without an answer. verdict is
+    AGREE, DISAGREE, LEFT_ONLY or RIGHT_ONLY; nulls of both sides agree."""
+    side = lambda df, n: df.withWatermark("at", late).select(F.col(key).alias(f"k{n}"), F.col("at").alias(f"at{n}"), F.struct(*fields).alias(f"row{n}"))
     near = F.expr(f"k1 = k2 AND at2 BETWEEN at1 - INTERVAL {within} AND at1 + INTERVAL {within}")
-    return a.join(b, near).select(F.col("k1").alias(key), "left_value", "right_value", F.col("left_value").eqNullSafe(F.col("right_value")).alias("agree"))
+    met = side(first, 1).join(side(second, 2), near, "full_outer")
+    differ = F.array_compact(F.array(*[F.when(~F.col(f"row1.{f}").eqNullSafe(F.col(f"row2.{f}")), f) for f in fields]))
+    both = F.col("at1").isNotNull() & F.col("at2").isNotNull()
+    verdict = F.when(F.col("at2").isNull(), "LEFT_ONLY").when(F.col("at1").isNull(), "RIGHT_ONLY").when(F.size(differ) > 0, "DISAGREE").otherwise("AGREE")
+    return met.select(F.coalesce("k1", "k2").alias(key), "at1", "at2", verdict.alias("verdict"), F.when(both, F.array_join(differ, ",")).alias("differ"))
