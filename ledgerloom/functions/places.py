@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -37,21 +38,62 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-@F.pandas_udf(T.DoubleType())
-def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """100 * 2 * LCS / (len(a) + len(b)), the indel similarity."""
+def common_length(x: str, y: str) -> int:
+    """Length of the longest common subsequence: a column of its table at a time, as bits of one whole number."""
+    at: dict[str, int] = {}
+    for i, c in enumerate(x):
+        at[c] = at.get(c, 0) | 1 << i
+    full = (1 << len(x)) - 1
+    v = full
+    for c in y:
+        u = v & at.get(c, 0)
+        v = (v + u | v - u) & full
+    return len(x) - v.bit_count()
+
+
+def indel(x: str, y: str) -> float:
+    """100 * 2 * LCS / (len(x) + len(y))."""
+    return 200.0 * common_length(x, y) / (len(x) + len(y)) if x or y else 100.0
+
+
+class IdTable:
+    """indel() of one text against many at once: columns of characters, and a machine word of bits for each text."""
+
+    def __init__(self, texts: list[str], longest: int = 256):
+        self.texts, self.sizes = texts, np.array([len(t) for t in texts], dtype=np.int64)
+        self.long = np.flatnonzero(self.sizes > longest)  # these are compared one by one
+        short = np.where(self.sizes > longest, 0, self.sizes)
+        letters = sorted(set("".join(t for t in texts if len(t) <= longest)))
+        self.place = {c: i + 1 for i, c in enumerate(letters)}  # 0 stands for no character
+        self.codes = np.zeros((int(short.max(initial=0)), len(texts)), dtype=np.int32)
+        for j, t in enumerate(texts):
+            if short[j]:
+                self.codes[: len(t), j] = [self.place[c] for c in t]
+
+    def ratios(self, x: str) -> np.ndarray:
+        if len(x) > 62:
+            return np.array([indel(x, t) for t in self.texts])
+        masks = np.zeros(len(self.place) + 1, dtype=np.uint64)
+        for i, c in enumerate(x):
+            if c in self.place:
+                masks[self.place[c]] |= np.uint64(1 << i)
+        full = np.uint64((1 << len(x)) - 1)
+        v = np.full(len(self.texts), full, dtype=np.uint64)
+        for row in self.codes:
+            u = v & masks[row]
+            v = (v + u | v - u) & full
+        common = len(x) - np.bitwise_count(v).astype(np.int64)
+        total = len(x) + self.sizes
+        out = np.where(total > 0, 200.0 * common / np.maximum(total, 1), 100.0)
+        for j in self.long:
+            out[j] = indel(x, self.texts[j])
+        return out
 
-    def one(x: str, y: str) -> float:
-        if not x and not y:
-            return 100.0
-        row = [0] * (len(y) + 1)
-        for c in x:
-            before = 0
-            for j, d in enumerate(y):
-                row[j + 1], before = (before + 1 if c == d else max(row[j + 1], row[j])), row[j + 1]
-        return 200.0 * row[-1] / (len(x) + len(y))
 
-    return pd.Series([one(x or "", y or "") for x, y in zip(a, b)])
+@F.pandas_udf(T.DoubleType())
+def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """indel() of each pair; null counts as empty."""
+    return pd.Series([indel(x or "", y or "") for x, y in zip(a, b)])
 
 
 def upper_ascii(text: Column) -> Column:
@@ -60,7 +102,7 @@ def upper_ascii(text: Column) -> Column:
 
 
 def clean(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(upper_ascii(text), r"[^A-Z0-9\s\-()]", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.replace(upper_ascii(text), F.lit("&"), F.lit(" AND ")), r"[^A-Z0-9\s\-()]", " "), r"\s+", " "))
 
 
 def place(text: Column) -> Column:

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import shared
 from ..sources import sheets
 from ..streaming import jobs
 from .base import Tables, query
@@ -17,13 +14,7 @@ C = F.col
 
 
 def folder(t: Tables, name: str) -> str:
-    """A new folder below the cluster's shared one; where none is set, a local one in local mode, and an error on a cluster."""
-    base = t.spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not t.spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
-        base = "file://" + os.path.join(tempfile.gettempdir(), "ledgerloom")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    return shared.folder(t.spark, name)
 
 
 def event_stream(t: Tables) -> DataFrame:

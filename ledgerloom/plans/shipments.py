@@ -137,9 +137,41 @@ def _(t: Tables) -> DataFrame:
     return lanes.fuzzy(t.lines().withColumn("unit", F.lit("RT")).dropDuplicates(["line_id"]), lane_table(t))
 
 
-@query("j14_weighted_reference")
+REFS = """, keyed AS (SELECT line_id, row_number() OVER () AS k, upper(trim(origin)) AS o, upper(trim(destination)) AS d, upper(trim(vehicle)) AS v, CASE WHEN part_id % 5 = 0 THEN 'PER RT' ELSE 'PER TRUCK' END AS u, distance_km AS km, rate, part_id FROM lines),
+refs AS (SELECT o, d, v, 'PER TRUCK' AS u, min(part_id) AS ref_id, median(rate) AS rate, median(km) AS km FROM keyed WHERE part_id % 4 = 0 GROUP BY o, d, v),
+asked AS (SELECT q.*, x.ref_id AS direct, EXISTS (SELECT 1 FROM refs p WHERE p.v = q.v AND p.u = q.u) AS pooled FROM keyed q LEFT JOIN refs x ON x.o = q.o AND x.d = q.d AND x.v = q.v AND x.u = q.u),
+scored AS (SELECT q.k, r.ref_id, CASE WHEN q.o = r.o THEN 0.35::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN q.d = r.d THEN 0.35::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN q.v = r.v THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END
+    + CASE WHEN q.km IS NOT NULL AND r.km IS NOT NULL THEN 0.1::DOUBLE * greatest(0.0::DOUBLE, 1.0::DOUBLE - abs(q.km - r.km) / 15.0::DOUBLE) ELSE 0.0::DOUBLE END
+    + CASE WHEN q.rate IS NOT NULL AND r.rate <> 0 THEN 0.1::DOUBLE * greatest(0.0::DOUBLE, 1.0::DOUBLE - abs((q.rate - r.rate) / r.rate) * 100.0::DOUBLE / 30.0::DOUBLE) ELSE 0.0::DOUBLE END AS score
+  FROM asked q JOIN refs r ON NOT q.pooled OR (r.v = q.v AND r.u = q.u) WHERE q.direct IS NULL),
+best AS (SELECT k, ref_id, score FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, ref_id) AS n FROM scored WHERE score >= 0.6::DOUBLE) WHERE n = 1)
+SELECT line_id, CASE WHEN direct IS NOT NULL THEN 'direct' WHEN b.ref_id IS NOT NULL THEN 'similarity' ELSE 'none' END AS method, coalesce(direct, b.ref_id) AS ref_id, round(b.score, 3) AS score FROM asked LEFT JOIN best b USING (k)"""
+
+
+@query("j14_weighted_reference", LINES + REFS)
 def _(t: Tables) -> DataFrame:
-    return lanes.weighted(t.lines().withColumn("unit", F.lit("truck")), lane_table(t))
+    """References are lanes of every fourth part; lines by the trip find no pool of their unit and so meet those of every vehicle."""
+    shown = lambda c: F.upper(F.trim(c)).alias(c)
+    keyed = t.lines().select("line_id", "part_id", *map(shown, ("origin", "destination", "vehicle")), F.when(C("part_id") % 5 == 0, "PER RT").otherwise("PER TRUCK").alias("unit"), "distance_km", "rate")
+    kept = keyed.where("part_id % 4 = 0").groupBy("origin", "destination", "vehicle").agg(F.min("part_id").alias("ref_id"), F.median("rate").alias("rate"), F.median("distance_km").alias("distance_km"))
+    return lanes.weighted(keyed, kept.withColumn("unit", F.lit("PER TRUCK"))).select("line_id", "method", "ref_id", "score")
+
+
+@query("j11_s16_place_routing", "WITH a AS (SELECT n_nationkey AS ordinal, CASE WHEN n_nationkey % 6 = 5 THEN 'CHINA' ELSE replace(n_name, '_', ' ') END AS raw, CASE WHEN n_nationkey % 5 = 0 THEN '' ELSE 'Port & ' || replace(n_name, '_', ' ') END AS normal, CASE n_nationkey % 3 WHEN 0 THEN 'Sea  Port' WHEN 1 THEN '' ELSE 'site-2' END AS grp, ['active', 'review', 'closed', ''][n_nationkey % 4 + 1] AS status FROM nation), l AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY raw ORDER BY ordinal DESC) = 1), c AS (SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN '' ELSE upper(replace(n_name, '_', ' ')) END AS place FROM customer JOIN nation ON n_nationkey = c_nationkey) SELECT c_custkey, CASE WHEN status IN ('active', '') AND normal <> '' THEN upper(replace(normal, '&', 'AND')) ELSE place END AS place_normal, CASE WHEN place = '' THEN 'blank' WHEN raw IS NULL THEN 'fallback' ELSE CASE status WHEN '' THEN 'alias:' WHEN 'active' THEN 'alias:' WHEN 'review' THEN 'review:' ELSE 'blocked:' END || CASE grp WHEN 'Sea  Port' THEN 'sea_port' WHEN '' THEN 'site' ELSE 'site_2' END END AS place_source FROM c LEFT JOIN l ON l.raw = c.place")
+def _(t: Tables) -> DataFrame:
+    """Customers' places by an alias table with statuses that is written as CSV and read back."""
+    from ..sources import sheets, sinks
+    from .io import folder
+
+    k = C("n_nationkey")
+    table = t.nation.select(
+        k.cast("string").alias("ordinal"), F.when(k % 6 == 5, "china").otherwise(C("n_name")).alias("raw_place"), F.when(k % 5 == 0, "").otherwise(F.concat(F.lit("Port & "), C("n_name"))).alias("normalized_place"),
+        F.when(k % 3 == 0, "Sea  Port").when(k % 3 == 1, "").otherwise("site-2").alias("place_group"), pick(("active", "review", "closed", ""), k).alias("status"))
+    target = folder(t, "aliases")
+    sinks.csv_datasets({"aliases": table}, target)
+    aliases = sheets.read_delimited(t.spark, f"{target}/aliases").withColumn("ordinal", C("ordinal").cast("int"))
+    placed = t.customer.join(t.nation, C("c_nationkey") == k).select("c_custkey", F.when(C("c_custkey") % 11 == 0, "  ").otherwise(F.concat(F.lit(" "), F.lower("n_name"))).alias("place"))
+    return lanes.routed_places(placed, aliases, "place").select("c_custkey", "place_normal", "place_source")
 
 
 EXEC = LINES + ", s AS (SELECT shipment_ref AS ref, median(amount) AS rate FROM lines WHERE part_id % 5 = 0 GROUP BY 1), c AS (SELECT origin AS lane, destination, median(amount) AS rate, count(*) AS samples, length(destination) % 3 AS fit, min(part_id) * 100 + min(supp_id) AS candidate_id FROM lines WHERE part_id % 3 = 0 GROUP BY 1, 2), b AS (SELECT l.line_id, l.amount, c.rate, l.k, row_number() OVER (PARTITION BY k ORDER BY fit DESC, samples DESC, abs(c.rate - l.amount), candidate_id) AS n FROM (SELECT *, row_number() OVER () AS k FROM lines) l LEFT JOIN c ON c.lane = l.origin), x AS (SELECT l.line_id, s.rate AS srate, l.amount FROM lines l LEFT JOIN s ON s.ref = l.shipment_ref) "
@@ -173,6 +205,16 @@ def _(t: Tables) -> DataFrame:
     return best.select("c_custkey", C("known").alias("shipment"), "ratio", F.greatest(F.lit(0.0), C("ratio") - 10).alias("confidence"))
 
 
+@query("j20_document_confidence", "SELECT o_orderkey AS document_id, CASE o_orderkey % 4 WHEN 0 THEN 90.0::DOUBLE WHEN 1 THEN 95.0::DOUBLE WHEN 2 THEN 200.0::DOUBLE * (length('HVDC-' || o_orderkey) - 1) / (2 * length('HVDC-' || o_orderkey) - 1) - 10 ELSE 0.0::DOUBLE END AS confidence, o_orderkey % 4 = 0 AS filename_match, o_orderkey % 4 = 1 AS content_match FROM orders")
+def _(t: Tables) -> DataFrame:
+    """A document for each order: named after its shipment, naming it in its text, naming it with a letter missing, or neither."""
+    k = C("o_orderkey")
+    shipment = F.concat(F.lit("HVDC-"), k.cast("string"))
+    ids = F.when(k % 4 == 1, F.array(F.lit("zz"), F.lower(shipment))).when(k % 4 == 2, F.array(F.lit("qq"), F.regexp_replace(shipment, "^H", ""))).otherwise(F.array().cast("array<string>"))
+    docs = t.orders.select(k.alias("document_id"), F.when(k % 4 == 0, F.concat(F.lit("dn "), F.lower(shipment), F.lit(".pdf"))).otherwise("scan.pdf").alias("file_name"), ids.alias("ids"), shipment.alias("shipment"))
+    return lanes.document_confidence(docs).select("document_id", "confidence", "filename_match", "content_match")
+
+
 @query("j21_special_zones", LINES + " SELECT line_id, destination IN ('Mirfa PMO Samsung', 'Al Markaz') AS special FROM lines")
 def _(t: Tables) -> DataFrame:
     zones = t.spark.createDataFrame([("Mirfa PMO Samsung",), ("Al Markaz",)], "destination string").withColumn("special", F.lit(True))

@@ -141,9 +141,12 @@ def test_fuzzy_lanes_equal_brute_force(spark, monkeypatch):
     for r in sorted(lanes.fuzzy(lines, known, 2).collect(), key=lambda r: (r.line_id, r.place)):
         got.setdefault(r.line_id, []).append((r.lane_id, r.score, r.direction))
     assert got == {i: best(q, 2) for i, q in qs.items()}
-    monkeypatch.setattr(lanes, "MAX_LANES", 3)
-    with pytest.raises(ValueError):
-        lanes.fuzzy(lines, known)
+    monkeypatch.setattr(lanes, "BLOCK", 1)
+    monkeypatch.setattr(lanes, "SHARE", 1)
+    again = {}
+    for r in sorted(lanes.fuzzy(lines, known.repartition(4), 2).collect(), key=lambda r: (r.line_id, r.place)):
+        again.setdefault(r.line_id, []).append((r.lane_id, r.score, r.direction))
+    assert again == got and lanes.fuzzy(lines, known.where("false")).collect() == []
 
 
 def test_contained_references_and_nearest_ids(spark):
@@ -156,7 +159,9 @@ def test_contained_references_and_nearest_ids(spark):
     rng = random.Random(5)
     ids = ["".join(rng.choice("AB-01") for _ in range(rng.randrange(0, 9))) for _ in range(120)]
     typed, known = ids[:60], ids[60:]
-    found = lanes.nearest_ids(spark.createDataFrame([(x,) for x in typed], "typed string"), spark.createDataFrame([(x,) for x in known], "known string"), 75.0)
+    typed += ["HVDC-ADPT-SCT-0007", "A" * 70, "", "HVDC-ADOPT-SCT-00 x"]
+    known += ["HVDC-ADOPT-SCT-0100", "HVDC-ADOPT-SCT-0013", "A" * 66 + "B", "A" * 300, "HVDC-ADOPT-SCT"]
+    found = lanes.nearest_ids(spark.createDataFrame([(x,) for x in typed], "typed string"), spark.createDataFrame([(x,) for x in known], "known string").repartition(3), 75.0)
 
     def ratio(a, b):
         row = [0] * (len(b) + 1)
@@ -170,7 +175,10 @@ def test_contained_references_and_nearest_ids(spark):
         if best >= 75:
             want[x] = best
     assert {r.typed: pytest.approx(r.ratio) for r in found.collect()} == want
-    assert all(ratio(r.typed, r.known) == pytest.approx(r.ratio) for r in found.collect())
+    for r in found.collect():
+        assert r.known == min(y for y in known if ratio(r.typed, y) == ratio(r.typed, r.known)) and ratio(r.typed, r.known) == pytest.approx(r.ratio)
+    table = places.IdTable([*known, "C" * 400])
+    assert all(list(table.ratios(x)) == pytest.approx([ratio(x, y) for y in table.texts]) for x in typed)
 
 
 def _lcs_row(row, x, b):
