@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import numbers, rules
+from ..functions import numbers, rules, scans
 from ..functions import text as T
 from ..operators import lookup
 from ..sources import sinks
@@ -135,11 +135,16 @@ def _(t: Tables) -> DataFrame:
     return packed.select("r_regionkey", F.concat(F.get_json_object("j", "$.r_regionkey"), F.lit(":"), F.get_json_object("j", "$.r_name")).alias("card"))
 
 
-@query("f37_json_in_text", "SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN event_id END AS id FROM events")
+@query("f37_json_in_text", "SELECT event_id, CASE WHEN event_id % 6 <> 0 AND event_id % 6 <> 5 THEN event_id END AS id, CASE event_id % 6 WHEN 2 THEN 'a } b { \"c\" \\\\' WHEN 3 THEN 'first' END AS note FROM events")
 def _(t: Tables) -> DataFrame:
+    """Answers with no object, a nested one, one with braces, quotes and backslashes in a string, two objects, a fenced one, one without end."""
     k = C("event_id")
-    said = F.when(k % 3 == 0, "no object { here").otherwise(F.concat(F.lit('Answer:\n{"id": '), k.cast("string"), F.lit(', "x": {"y": 1}} thanks')))
-    return t.events.select("event_id", F.get_json_object(T.json_object(said), "$.id").cast("long").alias("id"))
+    kinds = [F.lit("no object { here"), '{"id": %d, "x": {"y": 1}}', '{"note": "a } b { \\"c\\" \\\\\\\\", "id": %d}', '{"id": %d, "note": "first"} and {"id": -1, "note": "second"}', '[AI_GENERATED] ```json\n{"id": %d}\n```', 'so {"id": %d, "x": {"y": 1}']
+    said = kinds[0]
+    for n in range(1, 6):
+        said = F.when(k % 6 == n, F.concat(F.lit('Answer "quoted":\n'), F.format_string(kinds[n], k), F.lit(" thanks"))).otherwise(said)
+    found = t.events.select("event_id", scans.first_json(said).alias("j"))
+    return found.select("event_id", F.get_json_object("j", "$.id").cast("long").alias("id"), F.get_json_object("j", "$.note").alias("note"))
 
 
 @query("f38_f39_comparable", "SELECT p_partkey, upper(regexp_replace(trim(p_name), '\\s+', ' ', 'g')) AS name, floor(p_retailprice * 100 + 0.5) / 100 AS price, ln(1 + p_size) / ln(51) AS scale FROM part")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import places
-from ..operators import lanes, logistics, lookup
+from ..operators import anomalies, lanes, logistics, lookup
 from .audit import lanes as lane_checks
 from .base import LINES, Tables, pick, query
 
@@ -312,3 +312,10 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     """The rule's own branch without a forest library: no anomaly anywhere."""
     return lane_checks(t).select("line_id", F.lit(0).alias("anomaly"))
+
+
+@query("m1_isolation_scores")
+def _(t: Tables) -> DataFrame:
+    """How soon random splits isolate a line by amount, rate, quantity and distance."""
+    lines = t.lines().select("line_id", "amount", "rate", "qty", "distance_km")
+    return anomalies.isolation_scores(lines, ["amount", "rate", "qty", "distance_km"], "line_id").select("line_id", F.round("anomaly_score", 6).alias("anomaly_score"), (C("anomaly_score") >= 0.6).alias("anomaly"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import numbers, places, rules
 from ..functions import text as T
 from ..operators import documents
+from ..operators import scans as scan_operators
 from .base import LINES, PLACES, VEHICLES, Tables, pick, query, sql_list, sql_pick
 
 C = F.col
@@ -191,3 +192,25 @@ def _(t: Tables) -> DataFrame:
     wanted = F.array(F.lit("F"), F.lit("O"), F.lit("X"))
     s = t.orders.groupBy(C("o_custkey").alias("k")).agg(F.array_sort(F.collect_set("o_orderstatus")).alias("a"))
     return s.select("k", F.array_join("a", ",").alias("statuses"), F.size(F.array_intersect(wanted, C("a"))).cast("long").alias("n_common"), F.size(F.array_except(wanted, C("a"))).cast("long").alias("n_missing"), F.size(F.array_union(C("a"), wanted)).cast("long").alias("n_either"))
+
+
+CELL_PATTERNS = " UNION ALL ".join(f"SELECT doc_id, r, c, '{k}' AS category, unnest(" + (f"list_filter(regexp_extract_all(x, '{p}'), lambda m: length(regexp_replace(m, '[^0-9]', '', 'g')) >= 7)" if k == "PHONE" else f"regexp_extract_all(x, '{p}')") + ") AS m FROM cells" for k, p in T.DLP)
+
+
+@query("f32_cell_scan", NOTED + ", l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS r FROM noted), cells AS (SELECT doc_id, r, unnest(string_split(line, '. ')) AS x, unnest(range(len(string_split(line, '. ')))) AS c FROM l), h AS (" + CELL_PATTERNS + ") SELECT doc_id::VARCHAR AS path, r::BIGINT AS \"row\", c::BIGINT AS col, category, count(*) AS n FROM h WHERE m <> '' GROUP BY ALL")
+def _(t: Tables) -> DataFrame:
+    """Documents as grids of cells, a row for each line, a column for each sentence."""
+    rows = noted(t).select(C("doc_id").cast("string").alias("path"), F.posexplode(F.split("text", "\n")).alias("row", "line"))
+    grid = rows.select("path", F.lit("s").alias("sheet"), C("row").cast("long").alias("row"), F.posexplode(F.split("line", r"\. ")).alias("col", "text")).withColumn("col", C("col").cast("long"))
+    return scan_operators.cells(grid).groupBy("path", "row", "col", "category").agg(F.count("*").alias("n"))
+
+
+PLANTS = ("Rate_USD: 123.5", "[REDACTED] Rate_USD: 55", "box MSCU1234567 or TCLU7654321", "you@example.com, then real.name@corp.example.org", "approved by: nobody in particular", "code 1234567890123 and 900101-1234567", "nothing")
+
+
+@query("f35_repository_scan")
+def _(t: Tables) -> DataFrame:
+    """Documents as files of a repository, with what is private, masked or a placeholder in their first line."""
+    k = C("doc_id")
+    path = F.concat(F.when(k % 9 == 0, "pkg/tests/").otherwise("src/"), k.cast("string"), pick((".md", ".json", ".pdf", ".PY"), k))
+    return scan_operators.repository(t.documents.select(path.alias("path"), F.concat(pick(PLANTS, k), F.lit("\n"), F.coalesce("text", F.lit(""))).alias("text")), ("tests",))

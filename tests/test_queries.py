@@ -10,7 +10,7 @@ import pytest
 
 from ledgerloom import plans
 
-ROWS_ONLY = {"f30_mask_pii", "f1_f7_sequence_ratio", "j11_j12_exact_lanes", "j13_w2_fuzzy_lanes", "j19_j20_fuzzy_ids"}
+ROWS_ONLY = {"f30_mask_pii", "f1_f7_sequence_ratio", "j11_j12_exact_lanes", "j13_w2_fuzzy_lanes", "j19_j20_fuzzy_ids", "f35_repository_scan", "m1_isolation_scores"}
 
 
 def plain(v):
