@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers, places, rules
-from ..operators import lookup, recon
+from ..operators import lookup, quantiles, recon
 from .base import CARDS, LINES, Tables, pick, query, sql_cases, sql_list, sql_pick
 
 C = F.col
@@ -238,9 +238,9 @@ def _(t: Tables) -> DataFrame:
     return lookup.compare(a, b, "id", ["priority", "status"])
 
 
-@query("a3_final_recon", LINES + ", r AS (SELECT currency, shipment_ref, line_id, reason_code, amount::DECIMAL(18,4) AS a, (amount - CASE WHEN variance_pct > 0 THEN amount * variance_pct / 100 ELSE 0 END)::DECIMAL(18,4) AS b FROM guarded), s AS (SELECT currency, shipment_ref, sum(a) AS invoice_total, sum(b) AS reviewed_total FROM r GROUP BY 1, 2) SELECT currency, shipment_ref, invoice_total::DOUBLE AS invoice_total, reviewed_total::DOUBLE AS reviewed_total, (invoice_total - reviewed_total)::DOUBLE AS variance, CASE WHEN invoice_total > 0 THEN (invoice_total - reviewed_total)::DOUBLE / invoice_total::DOUBLE * 100 ELSE 0 END AS variance_pct, CASE WHEN invoice_total = reviewed_total THEN 'MATCHED' ELSE 'MISMATCH' END AS recon_status FROM s")
+@query("a3_final_recon", LINES + ", r AS (SELECT currency, shipment_ref, line_id, order_id, line_no, reason_code, amount::DECIMAL(18,4) AS a, (amount - CASE WHEN variance_pct > 0 THEN amount * variance_pct / 100 ELSE 0 END)::DECIMAL(18,4) AS b FROM guarded), s AS (SELECT currency, shipment_ref, sum(a) AS invoice_total, sum(b) AS reviewed_total, (list(reason_code ORDER BY order_id, line_no, line_id) FILTER (reason_code IS NOT NULL))[1] AS evidence_ref FROM r GROUP BY 1, 2) SELECT currency, shipment_ref, invoice_total::DOUBLE AS invoice_total, reviewed_total::DOUBLE AS reviewed_total, (invoice_total - reviewed_total)::DOUBLE AS variance, CASE WHEN invoice_total > 0 THEN (invoice_total - reviewed_total)::DOUBLE / invoice_total::DOUBLE * 100 ELSE 0 END AS variance_pct, CASE WHEN invoice_total = reviewed_total THEN 'MATCHED' ELSE 'MISMATCH' END AS recon_status, evidence_ref FROM s")
 def final_recon(t: Tables) -> DataFrame:
-    out = recon.final_recon(t.lines()).drop("evidence_ref")
+    out = recon.final_recon(t.lines())
     return out.withColumns({c: C(c).cast("double") for c in ("invoice_total", "reviewed_total", "variance")})
 
 
@@ -253,13 +253,13 @@ def _(t: Tables) -> DataFrame:
     return j.select("order_id", C("line_total").cast("double").alias("line_total"), recon.reconcile(total, C("line_total"), C("type_b_total"), C("order_id") % 2 == 0).alias("r")).select("order_id", "line_total", "r.*")
 
 
-@query("a5_gate", LINES + f", b AS (SELECT order_id, line_id, max(CASE {BAND_SQL} WHEN 'PASS' THEN 0 WHEN 'WARN' THEN 1 ELSE 2 END) AS r FROM guarded GROUP BY 1, 2), e AS (SELECT order_id, line_id, CASE WHEN part_id % 20 = 0 THEN 2 ELSE 1 END AS r FROM lines WHERE part_id % 10 = 0), p AS (SELECT order_id, line_id, greatest(max(b.r), coalesce(max(e.r), 0)) AS r FROM b LEFT JOIN e USING (order_id, line_id) GROUP BY 1, 2), d AS (SELECT o_orderkey AS order_id, 2 AS r FROM orders WHERE o_orderkey % 50 = 0), u AS (SELECT order_id, r, 1 AS line FROM p UNION ALL SELECT order_id, r, 0 FROM e UNION ALL SELECT order_id, r, 0 FROM d) SELECT order_id AS job_id, ['PASS', 'AMBER', 'ZERO'][max(r) + 1] AS verdict, count_if(line = 1 AND r = 2) AS n_zero, count_if(line = 1 AND r = 1) AS n_amber FROM u GROUP BY 1")
+@query("a5_gate", LINES + f", b AS (SELECT order_id, line_id, max(CASE {BAND_SQL} WHEN 'PASS' THEN 0 WHEN 'WARN' THEN 1 ELSE 2 END) AS r FROM guarded GROUP BY 1, 2), e AS (SELECT order_id, line_id, CASE WHEN part_id % 20 = 0 THEN 2 ELSE 1 END AS r FROM lines WHERE part_id % 10 = 0), p AS (SELECT order_id, line_id, greatest(max(b.r), coalesce(max(e.r), 0)) AS r FROM b LEFT JOIN e USING (order_id, line_id) GROUP BY 1, 2), d AS (SELECT o_orderkey AS order_id, 2 AS r FROM orders WHERE o_orderkey % 50 = 0), n AS (SELECT order_id, CASE WHEN distance_km IS NULL THEN 1 WHEN distance_km > 395 THEN 2 ELSE 0 END AS r FROM lines), u AS (SELECT order_id, r, 1 AS line FROM p UNION ALL SELECT order_id, r, 0 FROM e UNION ALL SELECT order_id, r, 0 FROM d UNION ALL SELECT order_id, r, 0 FROM n) SELECT order_id AS job_id, ['PASS', 'AMBER', 'ZERO'][max(r) + 1] AS verdict, count_if(line = 1 AND r = 2) AS n_zero, count_if(line = 1 AND r = 1) AS n_amber FROM u GROUP BY 1")
 def _(t: Tables) -> DataFrame:
     guarded = recon.cost_guard(t.lines()).withColumnRenamed("order_id", "job_id")
     evidence = guarded.where("part_id % 10 = 0").select("job_id", "line_id", F.when(C("part_id") % 20 == 0, "ZERO").otherwise("AMBER").alias("severity"))
     duplicates = t.orders.where("o_orderkey % 50 = 0").select(C("o_orderkey").alias("job_id"), F.lit("ZERO").alias("severity"))
-    no_lanes = guarded.select("job_id", F.lit("PASS").alias("verdict"))
-    return recon.gate(guarded.select("job_id", "line_id", "band"), evidence, duplicates, no_lanes)
+    far = guarded.select("job_id", F.when(C("distance_km").isNull(), "AMBER").when(C("distance_km") > 395, "ZERO").otherwise("PASS").alias("verdict"))
+    return recon.gate(guarded.select("job_id", "line_id", "band"), evidence, duplicates, far)
 
 
 @query("a6_counts", LINES + f"SELECT count_if(band = 'CRITICAL') AS n_critical, count_if(band = 'WARN') AS n_warn, count(*) AS n_lines, printf('%d of %d lines need review', count_if(band <> 'PASS'), count(*)) AS summary FROM (SELECT {BAND_SQL} AS band FROM guarded)")
@@ -270,12 +270,14 @@ def _(t: Tables) -> DataFrame:
 
 @query("a9_a10_medians", LINES + "SELECT origin, destination, vehicle, median(rate) AS rate, median(distance_km) AS distance_km, count(*) AS n FROM lines GROUP BY ALL")
 def _(t: Tables) -> DataFrame:
-    return t.lines().groupBy("origin", "destination", "vehicle").agg(F.median("rate").alias("rate"), F.median("distance_km").alias("distance_km"), F.count("*").alias("n"))
+    keys = ["origin", "destination", "vehicle"]
+    rate, distance = quantiles.quantiles(t.lines(), keys, "rate", (0.5,), ("rate",)), quantiles.quantiles(t.lines(), keys, "distance_km", (0.5,), ("distance_km",))
+    return t.lines().groupBy(*keys).agg(F.count("*").alias("n")).join(rate, keys).join(distance, keys)
 
 
 @query("a11_winsorize", LINES + ", q AS (SELECT vehicle, currency, quantile_cont(amount, 0.05) AS lo, quantile_cont(amount, 0.95) AS hi FROM lines GROUP BY 1, 2) SELECT line_id, least(greatest(amount, lo), hi) AS amount_winsorized FROM lines JOIN q USING (vehicle, currency)")
 def _(t: Tables) -> DataFrame:
-    return recon.winsorized(t.lines(), ["vehicle", "currency"], "amount").select("line_id", "amount_winsorized")
+    return quantiles.winsorized(t.lines(), ["vehicle", "currency"], "amount").select("line_id", "amount_winsorized")
 
 
 @query("a12_a26_value_counts", LANE_SQL + "SELECT 'band' AS field, band AS value, count(*) AS n FROM lane GROUP BY 2 UNION ALL SELECT 'verdict', verdict, count(*) FROM lane GROUP BY 2 UNION ALL SELECT 'rate_band', rate_band, count(*) FROM lane GROUP BY 2")
@@ -284,9 +286,13 @@ def _(t: Tables) -> DataFrame:
     return lanes(t).unpivot([], fields, "field", "value").groupBy("field", "value").agg(F.count("*").alias("n"))
 
 
-@query("a13_lane_reference", LINES + "SELECT origin, destination, count(*) AS n, arg_min(vehicle, k) FILTER (vehicle <> '') AS vehicle, (SELECT 1) AS one FROM (SELECT *, line_id AS k FROM lines) GROUP BY 1, 2")
+@query("a13_lane_reference", LINES + ", f AS (SELECT origin, destination, shipment_ref, min(line_id) AS met FROM lines GROUP BY 1, 2, 3), r AS (SELECT origin, destination, string_agg(shipment_ref, ' | ' ORDER BY met, shipment_ref) AS refs FROM f GROUP BY 1, 2) SELECT l.origin, l.destination, count(*) AS n, arg_min(l.vehicle, l.line_id) FILTER (l.vehicle <> '') AS vehicle, any_value(r.refs) AS refs FROM lines l JOIN r USING (origin, destination) GROUP BY 1, 2")
 def _(t: Tables) -> DataFrame:
-    return t.lines().groupBy("origin", "destination").agg(F.count("*").alias("n"), F.min_by(F.nullif("vehicle", F.lit("")), F.when(C("vehicle") != "", C("line_id"))).alias("vehicle")).withColumn("one", F.lit(1))
+    keys = ["origin", "destination"]
+    seen = t.lines().groupBy(*keys, "shipment_ref").agg(F.min("line_id").alias("at"))  # a reference once, where it is met first
+    refs = seen.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "shipment_ref"))), lambda x: x["shipment_ref"]), " | ").alias("refs"))
+    first = F.min_by(F.nullif("vehicle", F.lit("")), F.when(C("vehicle") != "", C("line_id")))
+    return t.lines().groupBy(*keys).agg(F.count("*").alias("n"), first.alias("vehicle")).join(refs, keys)
 
 
 @query("a14_type_b_tie_out", LINES + "SELECT currency, sum(CASE WHEN part_id % 12 = 2 THEN amount::DECIMAL(18,2) ELSE 0 END)::DOUBLE AS thc, sum(CASE WHEN part_id % 12 = 4 THEN amount::DECIMAL(18,2) ELSE 0 END)::DOUBLE AS storage, sum(amount::DECIMAL(18,2))::DOUBLE AS total FROM lines GROUP BY 1")

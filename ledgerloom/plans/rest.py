@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers, rules, scans
 from ..functions import text as T
-from ..operators import lookup
+from ..operators import lookup, quantiles, sheet_rows
 from ..sources import sinks
 from .audit import RATE_SQL, rate_checks
 from .base import CARDS, LINES, Tables, pick, query, sql_pick
@@ -29,10 +29,19 @@ def _(t: Tables) -> DataFrame:
     return rate_checks(t).select("line_id", rules.rate_sheet_severity(C("verdict"), C("rate_type"), C("ai_rate_status"), C("evidence_status")).alias("severity"))
 
 
-@query("r39_r53_sheet_rows", LINES + "SELECT line_id, CASE WHEN part_id % 5 <> 0 THEN 'PARTIAL' ELSE 'NO_REF' END AS match_status, CASE WHEN part_id % 5 <> 0 THEN 'AMBER' ELSE 'ZERO' END AS severity, 'NOT_ASSESSED' AS tax_status FROM lines")
+@query("r39_r53_sheet_rows", LINES + "SELECT line_id, CASE WHEN part_id % 5 <> 0 THEN 'PARTIAL' ELSE 'NO_REF' END AS match_status, CASE WHEN part_id % 5 <> 0 THEN 'AMBER' ELSE 'ZERO' END AS severity FROM lines")
 def _(t: Tables) -> DataFrame:
     given = F.nullif(F.when(C("part_id") % 5 != 0, C("shipment_ref")).otherwise(""), F.lit("")).isNotNull()
-    return t.lines().select("line_id", F.when(given, "PARTIAL").otherwise("NO_REF").alias("match_status"), F.when(given, "AMBER").otherwise("ZERO").alias("severity"), F.lit("NOT_ASSESSED").alias("tax_status"))
+    return t.lines().select("line_id", F.when(given, "PARTIAL").otherwise("NO_REF").alias("match_status"), F.when(given, "AMBER").otherwise("ZERO").alias("severity"))
+
+
+@query("r53_duplicate_and_tax_sheets", "WITH i AS (SELECT o_orderkey AS k, o_custkey % 7 AS v, o_orderkey % 40 AS n, o_totalprice AS amount FROM orders), p AS (SELECT v, n, count(*) AS c, min(amount) AS lo, max(amount) AS hi, min(k) AS first FROM i WHERE k % 3 = 0 GROUP BY 1, 2) SELECT 'duplicate' AS sheet, k AS id, CASE WHEN greatest(abs(lo - amount), abs(hi - amount)) <= 0.01 THEN 'DUPLICATE_INVOICE' ELSE 'AMOUNT_MISMATCH' END AS status, CASE WHEN greatest(abs(lo - amount), abs(hi - amount)) <= 0.01 THEN 'ZERO' ELSE 'AMBER' END AS severity FROM i JOIN p USING (v, n) UNION ALL SELECT 'tax', k, CASE WHEN k % 4 = 1 THEN 'POLICY_MATCH' ELSE 'NOT_ASSESSED' END, 'PASS' FROM i")
+def _(t: Tables) -> DataFrame:
+    """Rows of the duplicate sheet (invoices that earlier ones share vendor and number with) and of the tax sheet (whether a policy applied)."""
+    k = C("o_orderkey")
+    inv = t.orders.select(k.alias("id"), (C("o_custkey") % 7).alias("vendor_hash"), (k % 40).alias("invoice_hash"), C("o_totalprice").alias("amount"))
+    policies = t.orders.where("o_orderkey % 4 = 1").select(k.alias("id"), F.lit("P1").alias("fx_policy_id"))
+    return sheet_rows.duplicates(lookup.duplicate_invoices(inv, inv.where("id % 3 = 0"))).unionByName(sheet_rows.tax(inv, policies))
 
 
 PAGES = NOTED + ", p AS (SELECT doc_id, text, upper(text) AS u, length(text) AS n FROM noted), q AS (SELECT doc_id, n, CASE WHEN contains(regexp_replace(u, '[ \\t\\n\\r\\f\\x0b]+', ' ', 'g'), 'GATE PASS') THEN 'BOE_CUSTOMS' WHEN contains(regexp_replace(u, '[ \\t\\n\\r\\f\\x0b]+', ' ', 'g'), 'DELIVERY ORDER') THEN 'DELIVERY_ORDER' ELSE 'UNKNOWN' END AS doc_type, least(1.0::DOUBLE, n / 500.0::DOUBLE) AS confidence, doc_id % 8 IN (1, 2) AS has_amount FROM p)"
@@ -164,5 +173,8 @@ def _(t: Tables) -> DataFrame:
 
 @query("k8_rate_seeds", LINES + "SELECT upper(concat_ws('||', trim(origin), trim(destination), trim(vehicle), 'per truck')) AS lane, round_even(coalesce(median(rate), 0), 4) AS contracted_rate, 'PER_TRUCK' AS rate_basis, 'USD' AS currency, 'Y' AS match_eligible, min(part_id)::VARCHAR AS lane_id, round_even(coalesce(median(distance_km), 0), 2) AS median_distance_km, count(*) AS samples, 'DOMESTIC' AS workflow_type, 'origin=' || trim(origin) || ' dest=' || trim(destination) || ' veh=' || trim(vehicle) AS notes FROM lines GROUP BY origin, destination, vehicle")
 def _(t: Tables) -> DataFrame:
-    lanes = t.lines().groupBy("origin", "destination", "vehicle").agg(F.median("rate").alias("median_rate_usd"), F.median("distance_km").alias("median_distance_km"), F.count("*").alias("samples"), F.min("part_id").cast("string").alias("lane_id"))
+    keys = ["origin", "destination", "vehicle"]
+    lanes = t.lines().groupBy(*keys).agg(F.count("*").alias("samples"), F.min("part_id").cast("string").alias("lane_id"))
+    for column, name in (("rate", "median_rate_usd"), ("distance_km", "median_distance_km")):
+        lanes = lanes.join(quantiles.quantiles(t.lines(), keys, column, (0.5,), (name,)), keys)
     return sinks.rate_seeds(lanes.withColumn("unit", F.lit(None).cast("string")))

@@ -283,14 +283,23 @@ def _(t: Tables) -> DataFrame:
     return sinks.fixed_columns(t.part.select(C("p_partkey").alias("no"), C("p_name").alias("description"), C("p_retailprice").alias("rate")), ["no", "description", "shipment_ref", "rate"])
 
 
-@query("r19_human_gates", LINES + ", o AS (SELECT order_id, sum(amount::DECIMAL(18,2)) AS total, bool_or(rate IS NULL) AS unknown_rate, bool_or(reason_code = 'QTY_X_RATE_MISMATCH') AS critical, min(coalesce(qty, 0)) AS q FROM guarded GROUP BY 1) SELECT order_id, 'HGT_01' AS trigger_id, 'ZERO' AS severity FROM o WHERE total >= 100000 UNION ALL SELECT order_id, 'HGT_02', 'ZERO' FROM o WHERE critical UNION ALL SELECT order_id, 'HGT_03', 'AMBER' FROM o WHERE unknown_rate UNION ALL SELECT order_id, 'HGT_08', 'AMBER' FROM o WHERE q < 1")
+GATES = """, o AS (SELECT order_id, sum(amount::DECIMAL(18,2) * CASE WHEN order_id % 3 = 0 THEN 3.6725 ELSE 1 END) AS total, bool_or(rate IS NULL) AS unknown_rate, bool_or(reason_code = 'QTY_X_RATE_MISMATCH') AS critical,
+  bool_or(part_id % 50 = 7) AS fx, bool_or(part_id % 60 = 11) AS marine, bool_or(part_id % 9 = 0 AND part_id % 2 = 0) AS store, bool_or(part_id % 9 = 0 AND part_id % 4 = 3) AS rules FROM guarded GROUP BY 1)
+SELECT order_id, t.id AS trigger_id, t.s AS severity, t.r AS required_role FROM o, LATERAL (VALUES ('HGT_01', 'ZERO', 'FINANCE_APPROVER', total >= 100000), ('HGT_02', 'ZERO', 'COST_CONTROL_LEAD,FINANCE_APPROVER', critical), ('HGT_03', 'AMBER', 'COST_CONTROL_LEAD', unknown_rate),
+  ('HGT_04', 'ZERO', 'FINANCE_APPROVER', fx), ('HGT_05', 'ZERO', 'MARINE_LEAD', marine), ('HGT_06', 'AMBER', 'WAREHOUSE_MANAGER', store), ('HGT_07', 'ZERO', 'COMPLIANCE_LEAD', rules), ('HGT_08', 'AMBER', 'DOCUMENT_CONTROLLER', order_id % 10 < 4)) t(id, s, r, fits) WHERE coalesce(fits, false)"""
+
+
+@query("r19_human_gates", LINES + GATES)
 def _(t: Tables) -> DataFrame:
-    from ..operators import recon
+    """All eight triggers: total in dirhams, bands, rates, overrides, evidence of marine, stores and compliance, confidence."""
+    from ..operators import gates, recon
 
-    o = recon.cost_guard(t.lines()).groupBy("order_id").agg(F.sum(C("amount").cast("decimal(18,2)")).alias("total"), F.bool_or(C("rate").isNull()).alias("unknown_rate"), F.bool_or(C("band") == "CRITICAL").alias("critical"), F.min(F.coalesce("qty", F.lit(0.0))).alias("q"))
-    triggers = [("HGT_01", "ZERO", C("total") >= 100000), ("HGT_02", "ZERO", C("critical")), ("HGT_03", "AMBER", C("unknown_rate")), ("HGT_08", "AMBER", C("q") < 1)]
-    each = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(i).alias("trigger_id"), F.lit(s).alias("severity"))) for i, s, c in triggers]))
-    return o.select("order_id", F.explode(each).alias("x")).select("order_id", "x.*")
+    p = C("part_id")
+    lines = recon.cost_guard(t.lines()).select(
+        C("order_id").alias("job_id"), "band", F.when(C("rate").isNull(), "UNKNOWN").otherwise("KNOWN").alias("rate_status"), (p % 50 == 7).alias("fx_override"), F.when(p % 60 == 11, F.array(F.lit("MOSB_EVIDENCE_MISSING"))).alias("reason_codes"),
+        F.when(p % 9 == 0, "MISSING").otherwise("OK").alias("evidence_status"), F.when(p % 2 == 0, pick(("WAREHOUSE_HANDLING", "WAREHOUSE_STORAGE"), p)).alias("charge_component"), F.when(p % 4 == 3, F.array(F.lit("BOE"), F.lit("COMPLIANCE"))).alias("required_evidence"))
+    jobs = t.lines().groupBy(C("order_id").alias("job_id")).agg(F.sum(C("amount").cast("decimal(18,2)")).alias("invoice_total")).withColumns({"currency": F.when(C("job_id") % 3 == 0, "USD").otherwise("AED"), "parser_confidence": F.when(C("job_id") % 10 < 4, 0.9).when(C("job_id") % 10 == 9, None).otherwise(0.95)})
+    return gates.human_gates(jobs, lines).select(C("job_id").alias("order_id"), "trigger_id", "severity", "required_role")
 
 
 @query("r36_line_view_risk", "WITH x AS (SELECT l_orderkey AS id, l_linenumber AS n, ['PASS', 'WARN', 'CRITICAL', 'HIGH'][l_partkey % 4 + 1] AS band, ['PASS', 'AMBER', 'ZERO'][l_suppkey % 3 + 1] AS rate_status FROM lineitem) SELECT CASE WHEN band IN ('CRITICAL', 'HIGH') THEN 'HIGH' WHEN band = 'WARN' THEN 'MEDIUM' WHEN rate_status = 'ZERO' THEN 'HIGH' WHEN rate_status = 'AMBER' THEN 'MEDIUM' ELSE 'LOW' END AS risk, count(*) AS n FROM x GROUP BY 1")
@@ -300,12 +309,13 @@ def _(t: Tables) -> DataFrame:
     return t.lineitem.groupBy(risk.alias("risk")).agg(F.count("*").alias("n"))
 
 
-@query("r38_header_checks", "WITH h AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE 'INV' || o_orderkey END AS invoice_no, 'V' || o_custkey AS vendor, CASE WHEN o_orderkey % 6 <> 0 THEN o_totalprice::VARCHAR END AS invoice_total FROM orders) SELECT id, 'invoice_no' AS field_name, CASE WHEN invoice_no <> '' THEN 'PRESENT' ELSE 'MISSING' END AS match_status FROM h UNION ALL SELECT id, 'vendor', 'PRESENT' FROM h UNION ALL SELECT id, 'invoice_total', CASE WHEN invoice_total IS NOT NULL THEN 'PRESENT' ELSE 'MISSING' END FROM h")
+@query("r38_header_checks", "WITH h AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE 'INV' || o_orderkey END AS invoice_no, 'V' || o_custkey AS vendor, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate::DATE::VARCHAR END AS issue_date, 'AED' AS currency, CASE WHEN o_orderkey % 6 <> 0 THEN 1 END AS total FROM orders) SELECT id, t.f AS field_name, CASE WHEN t.ok THEN 'PRESENT' ELSE 'MISSING' END AS match_status, CASE WHEN NOT t.ok THEN 'AMBER' END AS severity FROM h, LATERAL (VALUES ('invoice_no', invoice_no <> ''), ('vendor', true), ('issue_date', issue_date IS NOT NULL), ('currency', true), ('invoice_total', total IS NOT NULL)) t(f, ok)")
 def _(t: Tables) -> DataFrame:
+    from ..operators import sheet_rows
+
     k = C("o_orderkey")
-    h = t.orders.select(k.alias("id"), F.when(k % 4 == 0, "").otherwise(F.concat(F.lit("INV"), k.cast("string"))).alias("invoice_no"), F.concat(F.lit("V"), C("o_custkey").cast("string")).alias("vendor"), F.when(k % 6 != 0, C("o_totalprice").cast("string")).alias("invoice_total"))
-    tall = h.unpivot(["id"], ["invoice_no", "vendor", "invoice_total"], "field_name", "value")
-    return tall.select("id", "field_name", F.when(F.nullif("value", F.lit("")).isNotNull(), "PRESENT").otherwise("MISSING").alias("match_status"))
+    h = t.orders.select(k.alias("id"), F.when(k % 4 == 0, "").otherwise(F.concat(F.lit("INV"), k.cast("string"))).alias("invoice_no"), F.concat(F.lit("V"), C("o_custkey").cast("string")).alias("vendor"), F.when(k % 5 != 0, F.to_date("o_orderdate")).alias("issue_date"), F.lit("AED").alias("currency"), F.when(k % 6 != 0, C("o_totalprice")).alias("invoice_total"))
+    return sheet_rows.headers(h, "id").select("id", "field_name", "match_status", "severity")
 
 
 @query("m1_anomaly", LINES + " SELECT line_id, 0 AS anomaly FROM lines")
