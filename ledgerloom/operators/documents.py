@@ -47,7 +47,8 @@ def ocr_pages(docs: DataFrame, key: str, json: str, most: int = 20) -> DataFrame
 def dlp_findings(docs: DataFrame, key: str, text: str, patterns=T.DLP, most: int | None = None) -> DataFrame:
     """(key, type, line_no, masked) of all matches of all patterns, at most `most` by text and pattern where that is the rule.
 
-    Lines are exploded once and every pattern is tried on them in one projection.
+    Lines are exploded once and patterns are tried on them in one projection, those of the library only where the line has what
+    they need.
     """
     lines = docs.select(key, F.posexplode(F.split(text, "\n")).alias("at", "line"))
 
@@ -55,6 +56,11 @@ def dlp_findings(docs: DataFrame, key: str, text: str, patterns=T.DLP, most: int
         return F.transform(F.regexp_extract_all("line", F.lit(pattern), F.lit(0)), lambda m: F.struct(F.lit(kind).alias("type"), F.lit(i).alias("pattern"), T.snippet(m).alias("masked")))
 
     hits = [hits_of(i, kind, p) for i, (kind, p) in enumerate(patterns)]
+    if patterns is T.DLP:
+        none = F.array().cast("array<struct<type:string,pattern:int,masked:string>>")
+        only = lambda places: F.flatten(F.array(*[hits[i] for i in sorted(places)]))
+        rest = set(range(len(hits))) - T.DIGITS - T.ALWAYS
+        hits = [F.when(F.col("line").rlike("[0-9]"), only(T.DIGITS)).otherwise(none), only(T.ALWAYS), F.when(F.col("line").rlike(T.SIGNS), only(rest)).otherwise(none)]
     found = lines.select(key, (F.col("at") + 1).alias("line_no"), F.explode(F.flatten(F.array(*hits))).alias("h")).select(key, "line_no", "h.*")
     if most is None:
         return found.drop("pattern")

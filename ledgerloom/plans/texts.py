@@ -66,9 +66,11 @@ def _(t: Tables) -> DataFrame:
     return documents.chunks(md, "doc_id", "md").select("doc_id", "heading", "sha256")
 
 
-@query("f14_document_type", NOTED + ", u AS (SELECT doc_id, regexp_replace(upper(text), '[ \\t\\n\\r\\f\\x0b]+', ' ', 'g') AS x FROM noted) SELECT doc_id, CASE WHEN contains(x, 'GATE PASS') THEN 'BOE_CUSTOMS' WHEN contains(x, 'DELIVERY ORDER') THEN 'DELIVERY_ORDER' ELSE 'UNKNOWN' END AS doc_type, CASE WHEN contains(x, 'GATE PASS') THEN 95 WHEN contains(x, 'DELIVERY ORDER') THEN 92 ELSE 0 END AS confidence FROM u")
+@query("f14_document_type", NOTED + ", u AS (SELECT doc_id, regexp_replace(upper(text), '[ \\t\\n\\r\\f\\x0b]+', ' ', 'g') AS x FROM noted), d AS (SELECT doc_id, CASE WHEN contains(x, 'GATE PASS') OR doc_id % 7 = 3 THEN 'BOE_CUSTOMS' WHEN contains(x, 'DELIVERY ORDER') OR doc_id % 7 = 5 THEN 'DELIVERY_ORDER' ELSE 'UNKNOWN' END AS doc_type FROM u) SELECT doc_id, doc_type, CASE doc_type WHEN 'BOE_CUSTOMS' THEN 95 WHEN 'DELIVERY_ORDER' THEN 92 ELSE 0 END AS confidence FROM d")
 def _(t: Tables) -> DataFrame:
-    return noted(t).select("doc_id", T.document_type(C("text")).alias("d")).select("doc_id", "d.*")
+    """By text and file name: every seventh document's name is Arabic for customs declaration, every other seventh's a delivery order."""
+    name = F.when(C("doc_id") % 7 == 3, "بيان  جمركي 7.pdf").when(C("doc_id") % 7 == 5, "delivery order.pdf").otherwise("scan.pdf")
+    return noted(t).select("doc_id", T.document_type(C("text"), name).alias("d")).select("doc_id", "d.*")
 
 
 @query("f15_f10_shipments", NOTED + ", m AS (SELECT doc_id, list_transform(regexp_extract_all(upper(text), 'HVDC[\\s\\-_/]*ADOPT[\\s\\-_/]*(?:SCT|HE)[\\s\\-_/]*\\d{4}'), lambda x: 'HVDC-ADOPT-' || regexp_extract(x, 'SCT|HE') || '-' || right(x, 4)) AS own, ['HVDC-ADOPT-SCT-0' || lpad((doc_id % 997)::VARCHAR, 3, '0'), 'HVDC-ADOPT-SCT-0200'] AS listed FROM noted) SELECT doc_id, array_to_string(list_sort(list_distinct(own || listed)), ',') AS refs FROM m")
