@@ -3,7 +3,7 @@
 A text's set holds its distinct 5-word shingles. Texts of equal sets are one class. Two classes link at a Jaccard
 similarity of 0.75 or more; components are returned.
 
-Which classes meet follows from prefix filters. In any one global order of shingles, each class offers the first
+Which classes may meet in a task follows from prefix filters. In any one global order of shingles, each class offers the first
 n - ceil(0.75 n) + 1 + n // 8 of its n; two linked classes then share at least ``need`` = 1 + floor(0.75 n / 8) offered ones.
 (1) In hash order, in the same pass that makes the sets, a class with fewer than ``need`` offered shingles that another class
 offers is out. (2) Among the classes left, shingles are counted exactly and put in order of their counts, so that what
@@ -11,7 +11,8 @@ many texts share comes last; again classes with too few shared ones are out, and
 frequent ones, since two linked classes still meet in the rarest that they share. Classes that meet in a shingle make a
 cluster, and so do clusters that share a class.
 
-A cluster is joined by one task: a signature tree over its classes in order of size. Each node has the OR of its members'
+Clusters only deal classes out: a task gets whole clusters, about TREE classes in all, and one signature tree over all of them, in
+order of size, decides which pairs link. Each node has the OR of its members'
 token bitmaps, their size range and bitmap surplus; a dual traversal drops pairs of nodes whose sizes do not fit, whose
 largest possible overlap (common bits plus surplus) is too small, or which one component holds already. What is left is
 compared exactly, and a union-find keeps links that connect. So near copies cost about a comparison each, not one a pair.
@@ -44,6 +45,7 @@ MEMBERS, SHINGLES = 4_000, 4_000_000  # bounds of a cluster, and of a block in a
 FLUSH = 500_000  # entries that a task holds before it sends them
 SURPLUS = 8  # a class offers n // SURPLUS shingles more than a prefix filter needs
 LEAF, FAN = 8, 8
+TREE = 2_000  # classes that one tree over several clusters has, about
 LOW = np.uint64((1 << 32) - 1)
 
 
@@ -396,27 +398,20 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _join_clusters(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """(class, component) of members (class, n, cluster) whose clusters are within the bounds: each is joined by one tree."""
-    total = members.agg(F.sum("n").alias("n")).first()["n"] or 0
-    bucket = F.pmod(F.xxhash64("cluster"), F.lit(parts(total, SHINGLES // 8))).alias("bucket")
+    """(class, component) of members (class, n, cluster) whose clusters are within the bounds. A bucket holds whole clusters, about
+    TREE classes or SHINGLES // 8 shingles of them, and one tree over all its classes decides which of them link."""
+    total = members.agg(F.sum("n").alias("n"), F.count("*").alias("rows")).first()
+    bucket = F.pmod(F.xxhash64("cluster"), F.lit(max(parts(total["n"] or 0, SHINGLES // 8), parts(total["rows"], TREE)))).alias("bucket")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        cluster = dict(zip(rows["class"].tolist(), rows["cluster"].tolist()))
         classes, own = own_sets(rows)
-        of: dict[int, list[int]] = {}
-        for i, c in enumerate(classes):
-            of.setdefault(cluster[c], []).append(i)
-        into = list(classes)
-        for places in of.values():
-            links = Links(list(range(len(places))))
-            for x, y in tree_links([own[i] for i in places], list(range(len(places)))):
-                a, b = links.find(x), links.find(y)
-                links.parent[max(a, b)] = min(a, b)
-            for i, root in zip(places, links.roots().tolist()):
-                into[i] = classes[places[root]]
-        return pd.DataFrame({"class": classes, "component": into}).astype("int64")
+        links = Links(list(range(len(own))))
+        for x, y in tree_links(own, list(range(len(own)))) if len(own) > 1 else ():
+            a, b = links.find(x), links.find(y)
+            links.parent[max(a, b)] = min(a, b)
+        return pd.DataFrame({"class": classes, "component": [classes[r] for r in links.roots().tolist()]}).astype("int64")
 
-    filled = members.select("class", "cluster", bucket).join(texts, "class").select("bucket", "class", "cluster", "text")
+    filled = members.select("class", bucket).join(texts, "class").select("bucket", "class", "text")
     return filled.groupBy("bucket").applyInPandas(run, "class long, component long")
 
 
