@@ -16,7 +16,8 @@ SITES = ("AGI", "DAS", "MIR", "SHU")
 OFFSHORE = ("AGI", "DAS")
 WAREHOUSES = ("DSV_INDOOR", "DSV_OUTDOOR")
 LOCATIONS = (*WAREHOUSES, "MOSB", *SITES)
-MILESTONES = (("M50_ETD", "etd"), ("M55_ATD", "atd"), ("M60_ETA", "eta"), ("M70_ATA", "ata"), ("M92_CUSTOMS_CLOSED", "customs_close"), ("M140_FINAL_DELIVERED", "final_delivery"))
+MILESTONES = (("M50_ETD", "etd"), ("M55_ATD", "atd"), ("M60_ETA", "eta"), ("M70_ATA", "ata"), ("M80_ATTESTATION", "attestation"), ("M90_DO_COLLECTED", "do_collection"), ("M91_CUSTOMS_STARTED", "customs_start"), ("M92_CUSTOMS_CLOSED", "customs_close"), ("M140_FINAL_DELIVERED", "final_delivery"))
+SCHEMES = ("CASE_NO", "ShipmentUnit", "sourceLineId", "invoiceNo", "SCT_REF")
 RANKS = {"M040_DEPARTED": 10, "M050_ARRIVED": 20, "WH_RECEIPT": 40, "SITE_RECEIPT": 80, "M100_FINAL_DELIVERED": 90}
 
 
@@ -39,15 +40,18 @@ def milestones(register: DataFrame) -> DataFrame:
 
 
 def facts(register: DataFrame) -> DataFrame:
-    """register rows with arrays: declared sites, dated receipts and milestones, and what follows from them."""
+    """register rows with arrays: declared sites, dated receipts and milestones, and what follows from them. Each date cell is parsed once,
+    in a generator, through which the optimiser does not copy expressions into those that use its days (column day)."""
+    cells = [f"receipt_{x}" for x in LOCATIONS] + [c for _, c in MILESTONES]
+    register = register.withColumn("day", F.explode(F.array(F.struct(*[numbers.excel_date(F.col(c)).alias(c) for c in cells]))))
 
     def dated(pairs: list[tuple[str, str]]) -> Column:
-        return F.filter(F.array(*[F.struct(F.lit(name).alias("name"), numbers.excel_date(F.col(c)).alias("day")) for name, c in pairs]), lambda x: x["day"].isNotNull())
+        return F.filter(F.array(*[F.struct(F.lit(name).alias("name"), F.col(f"day.{c}").alias("day")) for name, c in pairs]), lambda x: x["day"].isNotNull())
 
     declared = F.array_compact(F.array(*[F.when(places.flag(F.col(f"flag_{s}"))["status"] == "ok", s) for s in SITES]))
     rows = register.withColumns({
-        "declared": declared, "received": dated([(x, f"receipt_{x}") for x in LOCATIONS]), "reached": dated(list(MILESTONES)), "final_day": numbers.excel_date(F.col("final_delivery")),
-        "ata_day": numbers.excel_date(F.col("ata")), "closed_day": numbers.excel_date(F.col("customs_close")), "mosb_day": numbers.excel_date(F.col("receipt_MOSB")),
+        "declared": declared, "received": dated([(x, f"receipt_{x}") for x in LOCATIONS]), "reached": dated(list(MILESTONES)), "final_day": F.col("day.final_delivery"),
+        "ata_day": F.col("day.ata"), "closed_day": F.col("day.customs_close"), "mosb_day": F.col("day.receipt_MOSB"),
     })
     at = F.transform("received", lambda r: r["name"])
     rows = rows.withColumns({
@@ -94,7 +98,7 @@ def _if(condition: Column, subject: Column | None = None) -> Column:
 def validation_log(register: DataFrame) -> DataFrame:
     f = facts(register)
     warned = F.array_compact(F.array(*[F.when(places.flag(F.col(f"flag_{s}"))["status"] == "warn", s) for s in SITES]))
-    broken = F.array_compact(F.array(*[F.when((F.nullif(F.trim(F.col(f"receipt_{x}")), F.lit("")).isNotNull()) & numbers.excel_date(F.col(f"receipt_{x}")).isNull(), x) for x in LOCATIONS]))
+    broken = F.array_compact(F.array(*[F.when((F.nullif(F.trim(F.col(f"receipt_{x}")), F.lit("")).isNotNull()) & F.col(f"day.receipt_{x}").isNull(), x) for x in LOCATIONS]))
 
     def early(day: str) -> Column:
         return F.transform(F.filter("received", lambda r: r["name"].isin(*SITES) & (r["day"] < F.col(day))), lambda r: r["name"])
@@ -128,7 +132,7 @@ def canonical_events(register: DataFrame) -> DataFrame:
         return F.struct(F.lit(kind).alias("event_type"), F.lit(RANKS[kind]).alias("event_rank"), site.alias("site"), day.alias("day"))
 
     none = F.lit(None).cast("string")
-    fixed = F.array(one("M040_DEPARTED", none, F.coalesce(numbers.excel_date(F.col("atd")), numbers.excel_date(F.col("etd")))), one("M050_ARRIVED", none, F.coalesce(F.col("ata_day"), numbers.excel_date(F.col("eta")))), one("M100_FINAL_DELIVERED", none, F.col("final_day")))
+    fixed = F.array(one("M040_DEPARTED", none, F.coalesce(F.col("day.atd"), F.col("day.etd"))), one("M050_ARRIVED", none, F.coalesce(F.col("ata_day"), F.col("day.eta"))), one("M100_FINAL_DELIVERED", none, F.col("final_day")))
     store = F.transform(F.filter("received", lambda r: r["name"].isin(*WAREHOUSES)), lambda r: one("WH_RECEIPT", r["name"], r["day"]))
     sites = F.transform(F.filter("received", lambda r: r["name"].isin(*SITES)), lambda r: one("SITE_RECEIPT", r["name"], r["day"]))
     return f.select("unit_id", F.explode(F.filter(F.concat(fixed, store, sites), lambda e: e["day"].isNotNull())).alias("e")).select("unit_id", "e.*")
@@ -142,9 +146,9 @@ def dwell(events: DataFrame) -> DataFrame:
 
 
 def identifiers(register: DataFrame, schemes: dict[str, Column]) -> DataFrame:
-    """(unit_id, scheme, value, confidence) of each identifier that is given."""
+    """(unit_id, scheme, value, normalized, confidence) of each identifier that is given; the rule has five SCHEMES."""
     wide = register.select("unit_id", *[c.alias(name) for name, c in schemes.items()]).unpivot(["unit_id"], list(schemes), "scheme", "value")
-    return wide.where(F.nullif(F.trim("value"), F.lit("")).isNotNull()).withColumn("confidence", F.lit(0.98))
+    return wide.where(F.nullif(F.trim("value"), F.lit("")).isNotNull()).withColumns({"normalized": places.case_id(F.col("value")), "confidence": F.lit(0.98)})
 
 
 def merged_cases(records: DataFrame, key: str, ordinal: str, latest: list[str]) -> DataFrame:

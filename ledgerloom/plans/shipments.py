@@ -15,7 +15,7 @@ C = F.col
 # How register cells follow from an order: (modulus, remainder, days after the order).
 DATES = {
     "receipt_DSV_INDOOR": (3, 0, 20), "receipt_DSV_OUTDOOR": (7, 1, 21), "receipt_MOSB": (5, 2, 30), "receipt_AGI": (6, 1, 29), "receipt_DAS": (8, 3, 33), "receipt_MIR": (4, 0, 25), "receipt_SHU": (9, 4, 25),
-    "etd": (2, 0, 1), "atd": (4, 0, 2), "eta": (3, 1, 10), "ata": (5, 0, 26), "customs_close": (7, 0, 27), "final_delivery": (11, 0, 28),
+    "etd": (2, 0, 1), "atd": (4, 0, 2), "eta": (3, 1, 10), "ata": (5, 0, 26), "attestation": (10, 2, 12), "do_collection": (6, 5, 14), "customs_start": (7, 3, 18), "customs_close": (7, 0, 27), "final_delivery": (11, 0, 28),
 }
 FLAGS = {"flag_AGI": (5, 1), "flag_DAS": (7, 2), "flag_MIR": (4, 0), "flag_SHU": (3, 1)}
 
@@ -101,11 +101,12 @@ def _(t: Tables) -> DataFrame:
     return logistics.dwell(logistics.canonical_events(register(t)))
 
 
-@query("e9_identifiers", "SELECT 'SCT-' || o_orderkey AS unit_id, 'PO' AS scheme, 'PO' || o_custkey AS value, 0.98::DOUBLE AS confidence FROM orders UNION ALL SELECT 'SCT-' || o_orderkey, 'BL', 'BL' || o_orderkey, 0.98 FROM orders WHERE o_orderkey % 2 = 0")
+@query("e9_identifiers", "WITH o AS (SELECT o_orderkey AS k, o_custkey AS c FROM orders) SELECT 'SCT-' || k AS unit_id, t.scheme, t.value, t.normalized, 0.98::DOUBLE AS confidence FROM o, LATERAL (VALUES ('CASE_NO', 'case  ' || k || '.0', 'CASE-' || k || '-0', true), ('ShipmentUnit', 'SCT-' || k, 'SCT-' || k, true), ('sourceLineId', k || '.0', k::VARCHAR, true), ('invoiceNo', 'inv/' || c || '/' || k, 'INV-' || c || '-' || k, k % 2 = 0), ('SCT_REF', 'sct_' || c, 'SCT-' || c, k % 3 = 0)) t(scheme, value, normalized, given) WHERE t.given")
 def _(t: Tables) -> DataFrame:
-    k = C("o_orderkey")
-    base = t.orders.select(F.concat(F.lit("SCT-"), k.cast("string")).alias("unit_id"), k, C("o_custkey"))
-    return logistics.identifiers(base, {"PO": F.concat(F.lit("PO"), C("o_custkey").cast("string")), "BL": F.when(k % 2 == 0, F.concat(F.lit("BL"), k.cast("string"))).otherwise(" ")})
+    k, c = C("o_orderkey").cast("string"), C("o_custkey").cast("string")
+    base = t.orders.select(F.concat(F.lit("SCT-"), k).alias("unit_id"), "o_orderkey", "o_custkey")
+    given = (F.concat(F.lit("case  "), k, F.lit(".0")), C("unit_id"), F.concat(k, F.lit(".0")), F.when(C("o_orderkey") % 2 == 0, F.concat(F.lit("inv/"), c, F.lit("/"), k)).otherwise(" "), F.when(C("o_orderkey") % 3 == 0, F.concat(F.lit("sct_"), c)))
+    return logistics.identifiers(base, dict(zip(logistics.SCHEMES, given)))
 
 
 @query("a15_merge_cases", "WITH r AS (SELECT (o_custkey % 90)::VARCHAR AS case_no, o_orderkey AS seq, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderpriority END AS note, o_orderdate::DATE AS d FROM orders) SELECT case_no, arg_min(note, seq) FILTER (note <> '') AS note, max(d) AS d FROM r GROUP BY 1")
