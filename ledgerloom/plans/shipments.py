@@ -178,11 +178,10 @@ def _(t: Tables) -> DataFrame:
 EXEC = LINES + ", s AS (SELECT shipment_ref AS ref, median(amount) AS rate FROM lines WHERE part_id % 5 = 0 GROUP BY 1), c AS (SELECT origin AS lane, destination, median(amount) AS rate, count(*) AS samples, length(destination) % 3 AS fit, min(part_id) * 100 + min(supp_id) AS candidate_id FROM lines WHERE part_id % 3 = 0 GROUP BY 1, 2), b AS (SELECT l.line_id, l.amount, c.rate, l.k, row_number() OVER (PARTITION BY k ORDER BY fit DESC, samples DESC, abs(c.rate - l.amount), candidate_id) AS n FROM (SELECT *, row_number() OVER () AS k FROM lines) l LEFT JOIN c ON c.lane = l.origin), x AS (SELECT l.line_id, s.rate AS srate, l.amount FROM lines l LEFT JOIN s ON s.ref = l.shipment_ref) "
 
 
-@query("j15_j16_executed_reference", "WITH lines0 AS (SELECT 1) SELECT * FROM (" + EXEC + "SELECT l.line_id, coalesce(s.rate, b.rate) AS executed_rate, CASE WHEN s.rate IS NOT NULL THEN 'shipment_reference' WHEN b.rate IS NOT NULL THEN 'lane_median' END AS method FROM (SELECT *, row_number() OVER () AS k FROM lines) l LEFT JOIN s ON s.ref = l.shipment_ref LEFT JOIN (SELECT k AS bk, rate FROM b WHERE n = 1) b ON b.bk = l.k WHERE l.line_id IN (SELECT line_id FROM lines GROUP BY 1 HAVING count(*) = 1))")
+@query("j15_j16_executed_reference", "WITH lines0 AS (SELECT 1) SELECT * FROM (" + EXEC + "SELECT l.line_id, coalesce(s.rate, b.rate) AS executed_rate, CASE WHEN s.rate IS NOT NULL THEN 'shipment_reference' WHEN b.rate IS NOT NULL THEN 'lane_median' END AS method FROM (SELECT *, row_number() OVER () AS k FROM lines) l LEFT JOIN s ON s.ref = l.shipment_ref LEFT JOIN (SELECT k AS bk, rate FROM b WHERE n = 1) b ON b.bk = l.k)")
 def _(t: Tables) -> DataFrame:
     lines = t.lines()
-    single = lines.groupBy("line_id").agg(F.count("*").alias("n")).where("n = 1").select("line_id")
-    asked = lines.join(single, "line_id", "left_semi").select("line_id", F.array(F.lit("none"), C("shipment_ref")).alias("refs"), C("origin").alias("lane"), C("amount").alias("actual"))
+    asked = lines.select("line_id", F.array(F.lit("none"), C("shipment_ref")).alias("refs"), C("origin").alias("lane"), C("amount").alias("actual"))
     by_shipment = lines.where("part_id % 5 = 0").groupBy(C("shipment_ref").alias("ref")).agg(F.median("amount").alias("rate"))
     by_lane = lines.where("part_id % 3 = 0").groupBy(C("origin").alias("lane"), "destination").agg(F.median("amount").alias("rate"), F.count("*").alias("samples"), (F.min("part_id") * 100 + F.min("supp_id")).alias("candidate_id")).withColumn("fit", F.length("destination") % 3)
     return lanes.executed_reference(asked, by_shipment, by_lane).select("line_id", "executed_rate", "method")
@@ -270,10 +269,10 @@ def _(t: Tables) -> DataFrame:
     return vat.unionByName(cost).groupBy("rule", "severity").agg(F.count("*").alias("n"))
 
 
-@query("k3_k5_upsert", "SELECT o_orderkey AS id, coalesce((SELECT arg_max(l_returnflag, l_linenumber * 10000000 + l_partkey * 1000 + l_suppkey) FROM lineitem WHERE l_orderkey = o_orderkey AND l_linenumber = 1), o_orderstatus) AS status FROM orders")
+@query("k3_k5_upsert", "SELECT o_orderkey AS id, coalesce((SELECT arg_max(l_returnflag, l_linenumber * 10000000 + l_partkey * 1000 + l_suppkey) FROM lineitem WHERE l_orderkey = o_orderkey), o_orderstatus) AS status FROM orders")
 def _(t: Tables) -> DataFrame:
     table = t.orders.select(C("o_orderkey").alias("id"), C("o_orderstatus").alias("status"))
-    changes = t.lineitem.where("l_linenumber = 1").select(C("l_orderkey").alias("id"), C("l_returnflag").alias("status"), (C("l_linenumber").cast("long") * 10000000 + C("l_partkey") * 1000 + C("l_suppkey")).alias("seq"))
+    changes = t.lineitem.select(C("l_orderkey").alias("id"), C("l_returnflag").alias("status"), (C("l_linenumber").cast("long") * 10000000 + C("l_partkey") * 1000 + C("l_suppkey")).alias("seq"))
     return lookup.upsert(table, changes, ["id"], "seq")
 
 
