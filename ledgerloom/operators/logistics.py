@@ -138,6 +138,33 @@ def canonical_events(register: DataFrame) -> DataFrame:
     return f.select("unit_id", F.explode(F.filter(F.concat(fixed, store, sites), lambda e: e["day"].isNotNull())).alias("e")).select("unit_id", "e.*")
 
 
+# A warehouse list's columns of stores and sites with what they stand for, and ranks of its events.
+STORE_COLUMNS = {"DHL WH": ("DHL", "WAREHOUSE"), "DSV Indoor": ("DSV_AUH", "INDOOR"), "DSV Al Markaz": ("AMZ", "INDOOR"), "AAA Storage": ("AAA", "OPEN_YARD"), "DSV Outdoor": ("DSV_AUH", "OUTDOOR"), "DSV MZP": ("MOSB", "OPEN_YARD")}
+SITE_COLUMNS = {"MOSB": "MOSB_SITE", "MIR": "MIR", "SHU": "SHU", "DAS": "DAS", "AGI": "AGI"}
+LIST_RANKS = {"M040_DEPARTED": 10, "M050_ARRIVED": 20, "WH_RECEIPT": 40, "WH_ISSUE": 60, "SITE_RECEIPT": 80, "M100_FINAL_DELIVERED": 90}
+
+
+def list_events(cases: DataFrame) -> DataFrame:
+    """(case_no, event_type, event_rank, site, zone, day, source_column) of a warehouse list: rows (case_no, ATD, ETD, ATA, ETA, `last out wh`, POL, POD, Final_Location, and
+    STORE_COLUMNS and SITE_COLUMNS), all text. The final delivery is the latest receipt at one of the four sites; where it was and where goods
+    were issued from is the last of these sites with a receipt, in order MIR, SHU, DAS, AGI, else the final location. Each date is parsed once."""
+    dates = ["ETD", "ATD", "ETA", "ATA", "last out wh", *STORE_COLUMNS, *SITE_COLUMNS]
+    rows = cases.withColumn("_d", F.explode(F.array(F.struct(*[numbers.excel_date(F.col(f"`{c}`")).alias(c) for c in dates]))))
+    day = lambda c: F.col("_d").getField(c)
+    sites = ("MIR", "SHU", "DAS", "AGI")
+    final = F.greatest(*[day(s) for s in sites])
+    here = F.coalesce(*[F.when(day(s).isNotNull(), s) for s in reversed(sites)], F.nullif(F.trim("Final_Location"), F.lit("")))
+    none = F.lit(None).cast("string")
+
+    def one(kind: str, when: Column, site: Column, zone: Column, source: str) -> Column:
+        return F.struct(F.lit(kind).alias("event_type"), F.lit(LIST_RANKS[kind]).alias("event_rank"), F.nullif(F.trim(site), F.lit("")).alias("site"), zone.alias("zone"), when.alias("day"), F.lit(source).alias("source_column"))
+
+    events = [one("M040_DEPARTED", F.coalesce(day("ATD"), day("ETD")), F.col("POL"), none, "ETD/ATD"), one("M050_ARRIVED", F.coalesce(day("ATA"), day("ETA")), F.col("POD"), none, "ETA/ATA")]
+    events += [one("WH_RECEIPT", day(c), F.lit(site), F.lit(zone), c) for c, (site, zone) in STORE_COLUMNS.items()] + [one("WH_ISSUE", day("last out wh"), here, none, "last out wh")]
+    events += [one("SITE_RECEIPT", day(c), F.lit(site), none, c) for c, site in SITE_COLUMNS.items()] + [one("M100_FINAL_DELIVERED", final, here, none, "Final_Location")]
+    return rows.select("case_no", F.explode(F.filter(F.array(*events), lambda e: e["day"].isNotNull())).alias("e")).select("case_no", "e.*")
+
+
 def dwell(events: DataFrame) -> DataFrame:
     """(unit_id, first_store, first_site, dwell_days, last_event): our definition of the latest-per-unit and dwell views."""
     store, site = F.col("event_type") == "WH_RECEIPT", F.col("event_type") == "SITE_RECEIPT"

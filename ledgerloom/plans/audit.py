@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers, places, rules
-from ..operators import lookup, quantiles, recon
+from ..operators import lookup, quantiles, recon, validation
 from .base import CARDS, LINES, Tables, pick, query, sql_cases, sql_list, sql_pick
 
 C = F.col
@@ -364,11 +364,37 @@ def _(t: Tables) -> DataFrame:
     return t.events.select("event_id", rules.lookup(pick((*rules.LEGACY_STATUS, "BROKEN"), C("event_id")), rules.LEGACY_STATUS).alias("status"))
 
 
-@query("r47_shipment_echo", "WITH s AS (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'BL' || c_custkey END AS bl, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'DN' || c_custkey END AS dn FROM customer) SELECT c_custkey, CASE WHEN (bl IS NOT NULL)::INT + (dn <> '')::INT = 0 THEN 'ZERO' WHEN (bl IS NOT NULL)::INT + (dn <> '')::INT = 2 THEN 'PASS' ELSE 'AMBER' END AS verdict, (bl IS NOT NULL)::INT + (dn <> '')::INT AS n FROM s")
+ECHO = "WITH s AS (SELECT c_custkey AS k, [CASE WHEN c_custkey % 2 = 0 THEN 'BL' || c_custkey END, 'S' || c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'J' || c_custkey END, CASE WHEN c_custkey % 5 <> 0 THEN 'DN' || c_custkey END] AS v FROM customer), e AS (SELECT CASE WHEN k % 60 = 1 THEN 0 ELSE len([x FOR x IN v IF x <> '']) END AS n, k, CASE WHEN k % 60 = 1 THEN NULL ELSE [x FOR x IN v IF x <> ''][1] END AS best FROM s) SELECT k AS c_custkey, CASE n WHEN 0 THEN 'ZERO' WHEN 4 THEN 'PASS' ELSE 'AMBER' END AS verdict, n::INT AS n, best FROM e"
+
+
+@query("r47_shipment_echo", ECHO)
+def _(t: Tables) -> DataFrame:
+    """Four references in order of their confidence, each of which may be missing or blank; some customers have none."""
+    key, k = C("c_custkey"), C("c_custkey").cast("string")
+    given = {"bl_number": F.when(key % 2 == 0, F.concat(F.lit("BL"), k)), "shipment_ref": F.concat(F.lit("S"), k), "job_number": F.when(key % 3 == 0, "").otherwise(F.concat(F.lit("J"), k)), "do_number": F.when(key % 5 != 0, F.concat(F.lit("DN"), k))}
+    echo = rules.shipment_echo({f: (F.when(key % 60 != 1, given[f]), c) for f, c in validation.REFERENCES.items()})
+    return t.customer.select("c_custkey", echo.alias("e")).select("c_custkey", "e.verdict", F.size("e.matches").alias("n"), F.get("e.matches", F.lit(0))["shipment_ref"].alias("best"))
+
+
+VALIDATED = """WITH o AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 10 = 0 THEN ' ' ELSE 'V' END AS vendor, ['AED', 'USD', 'KRW'][o_custkey % 3 + 1] AS cur, o_orderdate::DATE AS issue, o_orderdate::DATE + ((o_orderkey % 5)::INT - 1) AS due FROM orders),
+l AS (SELECT l_orderkey AS k, ['AED', 'USD', '', 'EUR'][l_partkey % 4 + 1] AS cur, concat_ws('-', l_linenumber, l_partkey, l_suppkey) AS id FROM lineitem),
+i AS (SELECT k, 'REQUIRED_FIELD_MISSING' AS code, 'error' AS severity FROM o WHERE vendor = ' ' UNION ALL SELECT k, 'UNSUPPORTED_CURRENCY', 'error' FROM o WHERE vendor <> ' ' AND cur = 'KRW' UNION ALL SELECT k, 'DUE_DATE_BEFORE_ISSUE_DATE', 'error' FROM o WHERE vendor <> ' ' AND due < issue
+  UNION ALL SELECT k, 'UNSUPPORTED_CURRENCY', 'error' FROM l JOIN o USING (k) WHERE vendor <> ' ' AND l.cur = 'EUR' UNION ALL SELECT k, 'FX_RATE_MISSING', 'warning' FROM l JOIN o USING (k) WHERE vendor <> ' ' AND l.cur IN ('AED', 'USD') AND l.cur <> o.cur
+  UNION ALL SELECT k, 'DUPLICATE_INVOICE', 'error' FROM o WHERE vendor <> ' ' AND k % 14 = 3)
+SELECT o.k AS invoice_id, NOT coalesce(bool_or(severity = 'error'), false) AS valid, count(code) AS n_issues, coalesce(string_agg(DISTINCT code, ',' ORDER BY code), '') AS codes FROM o LEFT JOIN i USING (k) GROUP BY o.k"""
+
+
+@query("r24_r26_validated_invoices", VALIDATED)
 def _(t: Tables) -> DataFrame:
-    key = C("c_custkey")
-    echo = rules.shipment_echo({"bl": (F.when(key % 2 == 0, F.concat(F.lit("BL"), key.cast("string"))), 0.95), "dn": (F.when(key % 3 == 0, "").otherwise(F.concat(F.lit("DN"), key.cast("string"))), 0.9)})
-    return t.customer.select("c_custkey", echo.alias("e")).select("c_custkey", "e.verdict", F.size("e.matches").alias("n"))
+    """Each invoice with whether it is valid; a blank vendor stops all other rules, lines may have a currency of their own."""
+    k = C("o_orderkey")
+    inv = t.orders.select(k.alias("invoice_id"), F.when(k % 10 == 0, " ").otherwise("V").alias("vendor"), pick(("AED", "USD", "KRW"), C("o_custkey")).alias("currency"), F.to_date("o_orderdate").alias("issue_date"), F.date_add(F.to_date("o_orderdate"), (k % 5).cast("int") - 1).alias("due_date"))
+    lines = t.lineitem.select(C("l_orderkey").alias("invoice_id"), F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey").alias("line_id"), pick(("AED", "USD", "", "EUR"), C("l_partkey")).alias("currency"))
+    issue = F.struct(F.lit("DUPLICATE_INVOICE").alias("code"), F.lit("error").alias("severity"), F.lit("invoice").alias("path"), F.lit(None).cast("string").alias("expected"), F.lit(None).cast("string").alias("actual"))
+    twice = inv.where("invoice_id % 14 = 3").select("invoice_id", issue.alias("issue"))
+    verdicts, issues = validation.validated(inv, lines, ("vendor", "issue_date"), [twice])
+    codes = issues.groupBy("invoice_id").agg(F.array_join(F.array_sort(F.collect_set("issue.code")), ",").alias("codes"))
+    return verdicts.join(codes, "invoice_id", "left").withColumn("codes", F.coalesce("codes", F.lit("")))
 
 
 @query("r27_numeric_integrity", LINES + "SELECT line_id, CASE WHEN qty IS NULL OR rate IS NULL THEN NULL WHEN abs(qty * rate - amount) <= 0.01 THEN 'PASS' ELSE 'AMBER' END AS status FROM lines")

@@ -329,3 +329,18 @@ def _(t: Tables) -> DataFrame:
     """How soon random splits isolate a line by amount, rate, quantity and distance."""
     lines = t.lines().select("line_id", "amount", "rate", "qty", "distance_km")
     return anomalies.isolation_scores(lines, ["amount", "rate", "qty", "distance_km"], "line_id").select("line_id", F.round("anomaly_score", 6).alias("anomaly_score"), (C("anomaly_score") >= 0.6).alias("anomaly"))
+
+
+LIST_DATES = {"ETD": (2, 0, 1), "ATD": (4, 0, 2), "ETA": (3, 1, 10), "ATA": (5, 0, 12), "last out wh": (4, 1, 24), "DHL WH": (13, 2, 14), "DSV Indoor": (3, 0, 15), "DSV Al Markaz": (11, 4, 16), "AAA Storage": (17, 5, 17), "DSV Outdoor": (7, 1, 18), "DSV MZP": (19, 6, 19), "MOSB": (5, 2, 26), "MIR": (4, 0, 28), "SHU": (9, 4, 27), "DAS": (8, 3, 33), "AGI": (6, 1, 29)}
+LIST = "WITH w AS (SELECT 'C' || o_orderkey AS case_no, o_orderkey AS k, " + ", ".join(f"CASE WHEN o_orderkey % {m} = {r} THEN o_orderdate::DATE + {n} END AS \"{c}\"" for c, (m, r, n) in LIST_DATES.items()) + " FROM orders), h AS (SELECT *, CASE WHEN AGI IS NOT NULL THEN 'AGI' WHEN DAS IS NOT NULL THEN 'DAS' WHEN SHU IS NOT NULL THEN 'SHU' WHEN MIR IS NOT NULL THEN 'MIR' WHEN k % 2 = 0 THEN 'Depot' END AS here FROM w), e AS (" + " UNION ALL ".join(
+    ["SELECT case_no, 'M040_DEPARTED' AS event_type, 10 AS event_rank, 'P1' AS site, NULL AS zone, coalesce(ATD, ETD) AS day, 'ETD/ATD' AS source_column FROM h", "SELECT case_no, 'M050_ARRIVED', 20, NULL, NULL, coalesce(ATA, ETA), 'ETA/ATA' FROM h", "SELECT case_no, 'WH_ISSUE', 60, here, NULL, \"last out wh\", 'last out wh' FROM h", "SELECT case_no, 'M100_FINAL_DELIVERED', 90, here, NULL, greatest(MIR, SHU, DAS, AGI), 'Final_Location' FROM h"]
+    + [f"SELECT case_no, 'WH_RECEIPT', 40, '{site}', '{zone}', \"{c}\", '{c}' FROM h" for c, (site, zone) in logistics.STORE_COLUMNS.items()] + [f"SELECT case_no, 'SITE_RECEIPT', 80, '{site}', NULL, {c}, '{c}' FROM h" for c, site in logistics.SITE_COLUMNS.items()]
+) + ") SELECT * FROM e WHERE day IS NOT NULL"
+
+
+@query("e7_list_events", LIST)
+def _(t: Tables) -> DataFrame:
+    """A warehouse list of all orders: six stores, five sites, issue and final delivery."""
+    k, day = C("o_orderkey"), F.to_date("o_orderdate")
+    dates = [F.when(k % m == r, F.date_format(F.date_add(day, n), "yyyy-MM-dd")).alias(c) for c, (m, r, n) in LIST_DATES.items()]
+    return logistics.list_events(t.orders.select(F.concat(F.lit("C"), k.cast("string")).alias("case_no"), F.lit("P1").alias("POL"), F.lit(" ").alias("POD"), F.when(k % 2 == 0, "Depot").otherwise("").alias("Final_Location"), *dates))
