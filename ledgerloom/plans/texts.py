@@ -216,3 +216,30 @@ def _(t: Tables) -> DataFrame:
     k = C("doc_id")
     path = F.concat(F.when(k % 9 == 0, "pkg/tests/").otherwise("src/"), k.cast("string"), pick((".md", ".json", ".pdf", ".PY"), k))
     return scan_operators.repository(t.documents.select(path.alias("path"), F.concat(pick(PLANTS, k), F.lit("\n"), F.coalesce("text", F.lit(""))).alias("text")), ("tests",))
+
+
+@query("s11_recogniser_answers", NOTED + ", h AS (SELECT doc_id, left(text, length(text) // 2) AS a, substr(text, length(text) // 2 + 1) AS b FROM noted), f AS (SELECT doc_id, CASE WHEN a <> '' AND b <> '' THEN a || chr(10) || b ELSE a || b END AS t FROM h) SELECT doc_id, 2 AS page_count, sha256(t) AS text_sha256, CASE doc_id % 3 WHEN 0 THEN 0.75::DOUBLE WHEN 1 THEN 0.5::DOUBLE ELSE least(1.0::DOUBLE, length(t) / 500.0::DOUBLE) END AS confidence FROM f")
+def _(t: Tables) -> DataFrame:
+    """Documents in two pages as a recogniser answers: annotated responses with confidences, plain pages with and without them."""
+    half, text = F.floor(F.char_length("text") / 2).cast("int"), C("text")
+    parts = (F.substring(text, F.lit(1), half), F.substring(text, half + 1, F.char_length(text)))
+    plain = lambda sure: F.to_json(F.struct(F.array(*[F.struct(p.alias("text"), c.alias("confidence")) for p, c in zip(parts, sure)]).alias("pages")))
+    word = lambda x: F.struct(F.lit(x).alias("confidence"))
+    page = lambda *c: F.struct(F.lit(None).cast("double").alias("confidence"), F.array(F.struct(F.array(F.struct(F.array(*map(word, c)).alias("words"))).alias("paragraphs"))).alias("blocks"))
+    noted_page = lambda p, *c: F.struct(F.struct(p.alias("text"), F.array(page(*c)).alias("pages")).alias("fullTextAnnotation"))
+    rich = F.to_json(F.struct(F.array(noted_page(parts[0], 0.5, 1.0), noted_page(parts[1], 0.75)).alias("responses")))
+    none = F.lit(None).cast("double")
+    said = F.when(C("doc_id") % 3 == 0, rich).when(C("doc_id") % 3 == 1, plain((F.lit(0.25), F.lit(0.75)))).otherwise(plain((none, none)))
+    found = documents.recognised(noted(t).select("doc_id", said.alias("j")), "doc_id", "j")
+    return found.select("doc_id", "page_count", F.sha2("full_text", 256).alias("text_sha256"), "confidence")
+
+
+@query("s10_parsed_documents", NOTED + " SELECT doc_id, 1 AS page_count, len(string_split(text, chr(10)))::BIGINT - len([x FOR x IN string_split(text, chr(10)) IF x = '']) AS n_spans, round(0.5::DOUBLE * (doc_id % 4) / 2, 3) AS confidence, 0.75::DOUBLE AS table_confidence FROM noted")
+def _(t: Tables) -> DataFrame:
+    """Documents as parsed pages: a span for each line, their confidences as given, and a table with a blank cell."""
+    sure = (C("doc_id") % 4).cast("double") * 0.25
+    spans = F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("text"), sure.alias("confidence")))
+    table = F.struct(F.array(F.array(F.lit("a"), F.lit("b")), F.array(F.lit(""), F.lit("d"))).alias("rows"))
+    json = F.to_json(F.struct(F.array(F.struct(spans.alias("spans"), F.array(table).alias("tables"))).alias("pages")))
+    found = documents.parsed_json(noted(t).select("doc_id", json.alias("j")), "doc_id", "j")
+    return found.select("doc_id", "page_count", F.size("spans").cast("long").alias("n_spans"), "confidence", F.get("tables", F.lit(0))["confidence"].alias("table_confidence"))
