@@ -97,20 +97,12 @@ def fields(text: Column) -> dict[str, Column]:
     return out
 
 
-def lanes(text: Column) -> list[tuple[str, Column, Column]]:
-    """(method, origin, destination) by the ways of finding them, in order: the routing section, a table, free text, a label."""
-    section = first(text, ROUTING, flags="(?is)")
-    routing = [F.coalesce(*[if_valid(cleaned(first(section, p, flags="(?i)"))) for p in LOADING]), F.coalesce(*[if_valid(first(section, p, flags="(?i)")) for p in DELIVERY])]
-    tables = []
-    for p in TABLES:
-        o, d = if_valid(cleaned(first(text, p, 1, "(?i)"))), if_valid(first(text, p, 2, "(?i)"))
-        tables.append(F.when(o.isNotNull() & d.isNotNull(), F.struct(o.alias("o"), d.alias("d"))))
-    table = F.coalesce(*tables)
-    o, d = if_valid(cleaned(first(text, FROM_TO, 1, "(?i)"))), if_valid(first(text, FROM_TO, 2, "(?i)"))
-    both = o.isNotNull() & d.isNotNull()
-    loading, delivery = if_valid(cleaned(first(text, LABELLED_LOADING, flags="(?i)"))), first(text, LABELLED_DELIVERY, flags="(?i)")
-    delivery = if_valid(F.when(~delivery.rlike("(?i)customer|account|address|name|number"), delivery))
-    return [("routing_section_clean", *routing), ("table", table["o"], table["d"]), ("text", F.when(both, o).otherwise(loading), F.when(both, d).otherwise(delivery)), ("direct_label", F.lit(None).cast("string"), if_valid(first(text, DIRECT_DELIVERY)))]
-
-
-__all__ = ["fields", "is_waybill", "lanes", "site", "valid_place"]
+def candidates(text: Column, section: Column) -> tuple[dict[str, Column], dict[str, Column]]:
+    """(origins, destinations) as they stand in the routing section (r), in tables (t), in a sentence (s), under labels (l) and under a bare
+    label (d)."""
+    cut = lambda source, pattern, group=1: first(source, pattern, group, "(?i)")
+    origins = {f"r{n}": cut(section, p) for n, p in enumerate(LOADING)} | {f"t{n}": cut(text, p) for n, p in enumerate(TABLES)} | {"s": cut(text, FROM_TO), "l": cut(text, LABELLED_LOADING)}
+    labelled = cut(text, LABELLED_DELIVERY)
+    labelled = F.when(~labelled.rlike("(?i)customer|account|address|name|number"), labelled)
+    destinations = {f"r{n}": cut(section, p) for n, p in enumerate(DELIVERY)} | {f"t{n}": cut(text, p, 2) for n, p in enumerate(TABLES)}
+    return origins, destinations | {"s": cut(text, FROM_TO, 2), "l": labelled, "d": first(text, DIRECT_DELIVERY)}

@@ -21,6 +21,14 @@ SCHEMES = ("CASE_NO", "ShipmentUnit", "sourceLineId", "invoiceNo", "SCT_REF")
 RANKS = {"M040_DEPARTED": 10, "M050_ARRIVED": 20, "WH_RECEIPT": 40, "SITE_RECEIPT": 80, "M100_FINAL_DELIVERED": 90}
 
 
+DATE_CELLS = (*[f"receipt_{x}" for x in LOCATIONS], *[c for _, c in MILESTONES])
+
+
+def day_of(cell: str) -> Column:
+    """A parsed date cell of facts()."""
+    return F.get("day", F.lit(DATE_CELLS.index(cell)))
+
+
 def requirements(register: DataFrame) -> DataFrame:
     """(unit_id, line_no, site) of each flag that is O."""
     wide = register.select("unit_id", "line_no", *[F.col(f"flag_{s}").alias(s) for s in SITES]).unpivot(["unit_id", "line_no"], list(SITES), "site", "flag")
@@ -42,16 +50,15 @@ def milestones(register: DataFrame) -> DataFrame:
 def facts(register: DataFrame) -> DataFrame:
     """register rows with arrays: declared sites, dated receipts and milestones, and what follows from them. Each date cell is parsed once,
     in a generator, through which the optimiser does not copy expressions into those that use its days (column day)."""
-    cells = [f"receipt_{x}" for x in LOCATIONS] + [c for _, c in MILESTONES]
-    register = register.withColumn("day", F.explode(F.array(F.struct(*[numbers.excel_date(F.col(c)).alias(c) for c in cells]))))
+    register = register.withColumn("day", F.explode(F.array(F.array(*[numbers.excel_date(F.col(c)) for c in DATE_CELLS]))))
 
     def dated(pairs: list[tuple[str, str]]) -> Column:
-        return F.filter(F.array(*[F.struct(F.lit(name).alias("name"), F.col(f"day.{c}").alias("day")) for name, c in pairs]), lambda x: x["day"].isNotNull())
+        return F.filter(F.array(*[F.struct(F.lit(name).alias("name"), day_of(c).alias("day")) for name, c in pairs]), lambda x: x["day"].isNotNull())
 
     declared = F.array_compact(F.array(*[F.when(places.flag(F.col(f"flag_{s}"))["status"] == "ok", s) for s in SITES]))
     rows = register.withColumns({
-        "declared": declared, "received": dated([(x, f"receipt_{x}") for x in LOCATIONS]), "reached": dated(list(MILESTONES)), "final_day": F.col("day.final_delivery"),
-        "ata_day": F.col("day.ata"), "closed_day": F.col("day.customs_close"), "mosb_day": F.col("day.receipt_MOSB"),
+        "declared": declared, "received": dated([(x, f"receipt_{x}") for x in LOCATIONS]), "reached": dated(list(MILESTONES)), "final_day": day_of("final_delivery"),
+        "ata_day": day_of("ata"), "closed_day": day_of("customs_close"), "mosb_day": day_of("receipt_MOSB"),
     })
     at = F.transform("received", lambda r: r["name"])
     rows = rows.withColumns({
@@ -98,7 +105,7 @@ def _if(condition: Column, subject: Column | None = None) -> Column:
 def validation_log(register: DataFrame) -> DataFrame:
     f = facts(register)
     warned = F.array_compact(F.array(*[F.when(places.flag(F.col(f"flag_{s}"))["status"] == "warn", s) for s in SITES]))
-    broken = F.array_compact(F.array(*[F.when((F.nullif(F.trim(F.col(f"receipt_{x}")), F.lit("")).isNotNull()) & F.col(f"day.receipt_{x}").isNull(), x) for x in LOCATIONS]))
+    broken = F.array_compact(F.array(*[F.when((F.nullif(F.trim(F.col(f"receipt_{x}")), F.lit("")).isNotNull()) & day_of(f"receipt_{x}").isNull(), x) for x in LOCATIONS]))
 
     def early(day: str) -> Column:
         return F.transform(F.filter("received", lambda r: r["name"].isin(*SITES) & (r["day"] < F.col(day))), lambda r: r["name"])
@@ -132,7 +139,7 @@ def canonical_events(register: DataFrame) -> DataFrame:
         return F.struct(F.lit(kind).alias("event_type"), F.lit(RANKS[kind]).alias("event_rank"), site.alias("site"), day.alias("day"))
 
     none = F.lit(None).cast("string")
-    fixed = F.array(one("M040_DEPARTED", none, F.coalesce(F.col("day.atd"), F.col("day.etd"))), one("M050_ARRIVED", none, F.coalesce(F.col("ata_day"), F.col("day.eta"))), one("M100_FINAL_DELIVERED", none, F.col("final_day")))
+    fixed = F.array(one("M040_DEPARTED", none, F.coalesce(day_of("atd"), day_of("etd"))), one("M050_ARRIVED", none, F.coalesce(F.col("ata_day"), day_of("eta"))), one("M100_FINAL_DELIVERED", none, F.col("final_day")))
     store = F.transform(F.filter("received", lambda r: r["name"].isin(*WAREHOUSES)), lambda r: one("WH_RECEIPT", r["name"], r["day"]))
     sites = F.transform(F.filter("received", lambda r: r["name"].isin(*SITES)), lambda r: one("SITE_RECEIPT", r["name"], r["day"]))
     return f.select("unit_id", F.explode(F.filter(F.concat(fixed, store, sites), lambda e: e["day"].isNotNull())).alias("e")).select("unit_id", "e.*")
@@ -149,8 +156,8 @@ def list_events(cases: DataFrame) -> DataFrame:
     STORE_COLUMNS and SITE_COLUMNS), all text. The final delivery is the latest receipt at one of the four sites; where it was and where goods
     were issued from is the last of these sites with a receipt, in order MIR, SHU, DAS, AGI, else the final location. Each date is parsed once."""
     dates = ["ETD", "ATD", "ETA", "ATA", "last out wh", *STORE_COLUMNS, *SITE_COLUMNS]
-    rows = cases.withColumn("_d", F.explode(F.array(F.struct(*[numbers.excel_date(F.col(f"`{c}`")).alias(c) for c in dates]))))
-    day = lambda c: F.col("_d").getField(c)
+    rows = cases.withColumn("_d", F.explode(F.array(F.array(*[numbers.excel_date(F.col(f"`{c}`")) for c in dates]))))
+    day = lambda c: F.get("_d", F.lit(dates.index(c)))
     sites = ("MIR", "SHU", "DAS", "AGI")
     final = F.greatest(*[day(s) for s in sites])
     here = F.coalesce(*[F.when(day(s).isNotNull(), s) for s in reversed(sites)], F.nullif(F.trim("Final_Location"), F.lit("")))
