@@ -24,6 +24,11 @@ RANKS = {"M040_DEPARTED": 10, "M050_ARRIVED": 20, "WH_RECEIPT": 40, "SITE_RECEIP
 DATE_CELLS = (*[f"receipt_{x}" for x in LOCATIONS], *[c for _, c in MILESTONES])
 
 
+def _complete(register: DataFrame) -> DataFrame:
+    """register with blank columns for the milestones that it does not have."""
+    return register.withColumns({c: F.lit(None).cast("string") for _, c in MILESTONES if c not in register.columns})
+
+
 def day_of(cell: str) -> Column:
     """A parsed date cell of facts()."""
     return F.get("day", F.lit(DATE_CELLS.index(cell)))
@@ -43,14 +48,14 @@ def receipts(register: DataFrame) -> DataFrame:
 
 def milestones(register: DataFrame) -> DataFrame:
     """(unit_id, line_no, code, day) of each milestone with a date."""
-    wide = register.select("unit_id", "line_no", *[F.col(c).alias(code) for code, c in MILESTONES]).unpivot(["unit_id", "line_no"], [code for code, _ in MILESTONES], "code", "raw")
+    wide = _complete(register).select("unit_id", "line_no", *[F.col(c).alias(code) for code, c in MILESTONES]).unpivot(["unit_id", "line_no"], [code for code, _ in MILESTONES], "code", "raw")
     return wide.select("unit_id", "line_no", "code", numbers.excel_date(F.col("raw")).alias("day")).where("day is not null")
 
 
 def facts(register: DataFrame) -> DataFrame:
     """register rows with arrays: declared sites, dated receipts and milestones, and what follows from them. Each date cell is parsed once,
     in a generator, through which the optimiser does not copy expressions into those that use its days (column day)."""
-    register = register.withColumn("day", F.explode(F.array(F.array(*[numbers.excel_date(F.col(c)) for c in DATE_CELLS]))))
+    register = _complete(register).withColumn("day", F.explode(F.array(F.array(*[numbers.excel_date(F.col(c)) for c in DATE_CELLS]))))
 
     def dated(pairs: list[tuple[str, str]]) -> Column:
         return F.filter(F.array(*[F.struct(F.lit(name).alias("name"), day_of(c).alias("day")) for name, c in pairs]), lambda x: x["day"].isNotNull())
