@@ -257,19 +257,25 @@ def executed_reference(lines: DataFrame, by_shipment: DataFrame, by_lane: DataFr
     return joined.select(*lines.columns, F.coalesce("shipment_rate", "lane_rate").alias("executed_rate"), method.alias("method"))
 
 
-def contained(short: DataFrame, long: DataFrame) -> DataFrame:
-    """(a, b) of short (a, x) and long (b, y) with x, not empty, inside y. x is filed under its last 8 characters (or 4, 2, 1 if it
-    is shorter), and y asks for all its substrings of those lengths, so no pair is missed."""
-    sizes = (8, 4, 2, 1)
-    n = F.char_length("x")
-    filed = short.where(n > 0).withColumn("k", F.coalesce(*[F.when(n >= q, F.right("x", F.lit(q))) for q in sizes]))
+#: Texts up to this length are looked up whole; values that tell beginnings and ends of texts of one length apart.
+WHOLE, MARKS = 16, 4096
 
-    def grams(q: int) -> Column:
-        own = F.transform(F.sequence(F.lit(1), F.char_length("y") - q + 1), lambda i: F.substring(F.col("y"), i, F.lit(q)))
-        return F.when(F.char_length("y") >= q, own).otherwise(F.array().cast("array<string>"))
 
-    asked = long.withColumn("k", F.explode(F.array_distinct(F.concat(*map(grams, sizes)))))
-    return filed.join(asked, "k").where(F.col("y").contains(F.col("x"))).select("a", "b")
+def contained(short: DataFrame, long: DataFrame) -> DataFrame:
+    """(a, b) of short (a, x) and long (b, y) with x, not empty, inside y. x is filed under itself up to WHOLE characters, else under its
+    last 16, 32, 64, ... (as many as it has), and y asks for all its substrings of the lengths that are filed, so no pair is missed, and only
+    texts above WHOLE meet without a match. What starts and ends as nothing filed of its length is not asked for."""
+    n = F.char_length("x")
+    size = F.when(n <= WHOLE, n).otherwise(F.pow(F.lit(2.0), F.floor(F.log2(n))).cast("int"))
+    # A length and what a text starts and ends with, in few enough values to be broadcast whatever the texts are.
+    marked = lambda rows: rows.withColumn("mark", F.col("q") * MARKS + F.pmod(F.hash(F.left("k", F.lit(1)), F.right("k", F.lit(1))), F.lit(MARKS)))
+    filed = marked(short.where(n > 0).withColumn("q", size).withColumn("k", F.right("x", F.col("q"))))
+    known = filed.select("q", "mark").distinct()
+    asked = long.join(F.broadcast(known.select("q").distinct()), F.char_length("y") >= F.col("q")).withColumn("i", F.explode(F.sequence(F.lit(1), F.char_length("y") - F.col("q") + 1)))
+    asked = marked(asked.withColumn("k", F.substring("y", F.col("i"), F.col("q")))).join(F.broadcast(known.select("mark")), "mark", "left_semi").where(F.position("k", "y") == F.col("i"))
+    # A text that is filed whole is its own key.
+    met = filed.select("a", "k", F.when(n > WHOLE, F.col("x")).alias("x")).join(asked.select("b", "k", F.when(F.col("q") >= WHOLE, F.col("y")).alias("y")), "k")
+    return met.where(F.col("x").isNull() | F.col("y").contains(F.col("x"))).select("a", "b")
 
 
 def documents_of_lines(lines: DataFrame, documents: DataFrame) -> DataFrame:

@@ -149,6 +149,28 @@ def test_fuzzy_lanes_equal_brute_force(spark, monkeypatch):
     assert again == got and lanes.fuzzy(lines, known.where("false")).collect() == []
 
 
+def test_numbers_meet_only_references_that_hold_them(spark):
+    """Of what ends in the same figures, only what a number can be inside of a reference is dealt out."""
+    plain = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for k, v in plain.items():
+        spark.conf.set(k, v)
+    try:
+        lines = spark.range(300).selectExpr("cast(id as int) AS line_id", "concat('HVDC-', (id + 100) * 10000 + 7777) AS ref", "cast(id as int) AS row_no")
+        docs = lines.selectExpr("line_id + 1000 AS document_id", "replace(ref, 'HVDC-', '') AS ref", "row_no + 1000 AS row_no")
+        found = lanes.documents_of_lines(lines, docs)
+        assert {tuple(r) for r in found.collect()} == {(n, n + 1000) for n in range(300)}
+        todo, met = [found._jdf.queryExecution().executedPlan()], []
+        while todo:
+            node = todo.pop()
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+            if node.nodeName() == "Exchange":
+                met.append(node.metrics().apply("shuffleRecordsWritten").value())
+        assert met and sum(met) <= 4000
+    finally:
+        for k in plain:
+            spark.conf.unset(k)
+
+
 def test_contained_references_and_nearest_ids(spark):
     lines = [(1, "hvdc-123", 5), (2, "HVDC-12", 6), (3, " 7 ", 7), (4, "", 8), (5, None, 9), (6, "HVDC-ADOPT-SCT-0001, 0002", 10)]
     docs = [(10, "HVDC-12", 0), (11, "sct hvdc-123 b", 0), (12, "0002", 7), (13, "", 0), (14, "17", 0), (15, "adopt-sct-0001, 0002", 0)]
