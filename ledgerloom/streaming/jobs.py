@@ -44,43 +44,66 @@ def latest_status(polls: DataFrame, key: str = "job_id", status: str = "status",
 
 
 POLL = "job string, status string, at timestamp, n_polls long"
-HELD = "status string, at_us long, n_polls long, over boolean"
+HELD = "jobs array<string>, statuses array<string>, at_us array<long>, n_polls array<long>, over array<boolean>"
 TERMINAL = ("DONE", "FAILED")
+#: Groups of jobs whose state is held together: a call and a stored state for each job would cost more than the job's polls.
+GROUPS = 4096
 
 
-def polled(polls: DataFrame, patience: str = "6 hours", late: str = "10 days") -> DataFrame:
+def polled(polls: DataFrame, patience: str = "6 hours", late: str = "10 days", groups: int = GROUPS) -> DataFrame:
     """A stream of POLL rows from a stream of polls (job, at, status): what a job's polls have come to whenever that changes.
 
     A job's polls count in order of time. The first terminal status stays, and later polls of the job are not looked at any more; a job
     of which nothing terminal has come within `patience` of its last poll is TIMEOUT, which is terminal as well. If no later poll
     tells so, a timer on event time does, once the watermark (`late` behind the newest poll) has passed. The last row of a job
     (most polls, then terminal) is its status. Null jobs, times and statuses are left out. Rows later than the watermark are dropped.
+
+    Jobs are held in `groups` groups by a hash of the job, each with one state and the timer of the job that is due first. A stream that goes on
+    from a checkpoint needs the number it began with.
     """
     wait = int(polls.sparkSession.sql(f"SELECT cast(INTERVAL {patience} AS INTERVAL SECOND) AS w").first()["w"].total_seconds() * 1_000_000)
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, at, n, over = state.get if state.exists else (None, None, 0, False)
-        if state.hasTimedOut:
-            state.update(("TIMEOUT", at + wait, n, True))
-            yield pd.DataFrame([(key[0], "TIMEOUT", pd.Timestamp(at + wait, unit="us"), n)], columns=["job", "status", "at", "n_polls"])
-            return
-        before = (status, n)
-        # A batch's polls of one job, as (time, status) alone.
-        for moment, said in sorted((int(m.value // 1000), s) for part in parts for m, s in zip(part["at"], part["status"])):
-            if over:
-                break
-            if at is not None and moment - at > wait:
-                status, at, over = "TIMEOUT", at + wait, True
-                break
-            status, at, n, over = said, moment, n + 1, said in TERMINAL
-        state.update((status, at, n, over))
-        if not over:
-            state.setTimeoutTimestamp(max((at + wait) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        if (status, n) != before:
-            yield pd.DataFrame([(key[0], status, pd.Timestamp(at, unit="us"), n)], columns=["job", "status", "at", "n_polls"])
-
-    known = polls.where("job is not null and at is not null and status is not null").select("job", "at", "status")
-    return known.withWatermark("at", late).groupBy("job").applyInPandasWithState(step, POLL, HELD, "append", GroupStateTimeout.EventTimeTimeout)
+        held = {job: rest for job, *rest in zip(*state.get)} if state.exists else {}
+        found = []
+        if not state.hasTimedOut:
+            # A batch's polls of these jobs, as (job, time, status) alone, by job and time.
+            said = {}
+            for part in parts:
+                for job, moment, status in zip(part["job"], part["at"], part["status"]):
+                    said.setdefault(job, []).append((moment.value // 1000, status))
+            for job, own in said.items():
+                status, at, n, over = held.get(job, (None, None, 0, False))
+                before = (status, n)
+                for moment, now in sorted(own):
+                    if over:
+                        break
+                    if at is not None and moment - at > wait:
+                        status, at, over = "TIMEOUT", at + wait, True
+                        break
+                    status, at, n, over = now, moment, n + 1, now in TERMINAL
+                held[job] = [status, at, n, over]
+                if (status, n) != before:
+                    found.append((job, status, at, n))
+        passed, due = state.getCurrentWatermarkMs(), None
+        for job, (_, at, n, over) in held.items():
+            if not over:
+                timer = (at + wait) // 1000 + 1
+                if timer < passed:
+                    held[job] = ["TIMEOUT", at + wait, n, True]
+                    found.append((job, "TIMEOUT", at + wait, n))
+                else:
+                    due = timer if due is None else min(due, timer)
+        state.update((list(held), *map(list, zip(*held.values()))))
+        if due is not None:
+            state.setTimeoutTimestamp(max(due, passed + 1))
+        if found:
+            rows = pd.DataFrame(found, columns=["job", "status", "at", "n_polls"])
+            rows["at"] = pd.to_datetime(rows["at"], unit="us")
+            yield rows
+
+    known = polls.where("job is not null and at is not null and status is not null").select(F.pmod(F.xxhash64("job"), F.lit(groups)).alias("group"), "job", "at", "status")
+    return known.withWatermark("at", late).groupBy("group").applyInPandasWithState(step, POLL, HELD, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def final_status(rows: DataFrame) -> DataFrame:

@@ -41,3 +41,15 @@ def test_paired_extractions_across_a_restart(spark, tmp_path):
     assert run([(1, at(0), "x", 1.0), (2, at(0), None, 2.0), (3, at(0), "z", 3.0)], [(1, at(0.1), "x", 1.0), (4, at(0), "q", 4.0)]) == [(1, "AGREE", "")]
     got = run([(5, at(1), "v", 5.0), (99, at(999), "", 0.0)], [(2, at(0.1), None, 9.0), (5, at(2), "v", 5.0), (98, at(999), "", 0.0)])
     assert got == [(1, "AGREE", ""), (2, "DISAGREE", "amount"), (3, "LEFT_ONLY", None), (4, "RIGHT_ONLY", None), (5, "LEFT_ONLY", None), (5, "RIGHT_ONLY", None)]
+
+
+def test_jobs_of_one_group_do_not_touch_each_other(spark, tmp_path):
+    """Forty jobs in three groups: done, failed, silent, late, and one that comes last and lets the watermark pass the others."""
+    rows = [(f"j{n}", at(n % 5 + hour), status) for n in range(40) for hour, status in ((0, "PENDING"), (1 + 8 * (n % 4 == 3), ("DONE", "FAILED", "RUNNING", "DONE")[n % 4]))]
+    source, got = str(tmp_path / "in"), {}
+    for part in (rows[:50], rows[50:], [("last", at(900), "PENDING")]):
+        spark.createDataFrame(part, "job string, at timestamp, status string").coalesce(1).write.mode("append").parquet(source)
+        found = jobs.run_to(jobs.polled(jobs.table_stream(spark, source), groups=3), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+        got = {r.job: (r.status, r.n_polls) for r in jobs.final_status(found).collect()}
+    ends = (("DONE", 2), ("FAILED", 2), ("TIMEOUT", 2), ("TIMEOUT", 1))
+    assert got == {f"j{n}": ends[n % 4] for n in range(40)} | {"last": ("PENDING", 1)}
